@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from lexroute.llm.textops import SPACE, blocks, utf8
 
 #: Distinct fragments a worker remembers before it starts anew: bounds its memory.
-CACHE_FRAGMENTS = 300_000
+CACHE_FRAGMENTS = 600_000
 
 
 def default_path() -> str:
@@ -76,7 +75,8 @@ class ForcedBoundaryBPE:
                 joined[v[:-1], v[1:]] = True
         for token, i in added.items():
             self.raw[i] = token.encode()
-        self.decimal = [str(i) for i in range(len(self.raw))]
+        self.raw_pool = Ragged.of(self.raw)
+        self.decimal_pool = Ragged.of([b"%d," % i for i in range(len(self.raw))])
         can = ~joined
         left = np.arange(256)
         can[:, (left & 0xC0) == 0x80] = False  # not inside a code point
@@ -85,7 +85,7 @@ class ForcedBoundaryBPE:
         alnum[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
         can[~alnum, 0x27] = False
         self.can = can.ravel()
-        self.ids: dict[bytes, tuple[int, ...]] = {}
+        self.known, self.ids = Numbered(), Ragged(np.int32)
 
     def cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Sorted positions at which fragments begin, each text's edges included."""
@@ -106,31 +106,79 @@ class ForcedBoundaryBPE:
         cut[off] = True
         return np.flatnonzero(cut)
 
-    def encode_block(self, data: np.ndarray, off: np.ndarray) -> Iterator[list[int]]:
-        """The ids of each text."""
+    def encode_block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after another, and n+1 offsets."""
         at = self.cuts(data, off)
         raw = data.tobytes()
         edges = at.tolist()
-        parts = [raw[i:j] for i, j in zip(edges, edges[1:])]
-        if len(self.ids) > CACHE_FRAGMENTS:
-            self.ids = {}
-        known = self.ids
-        new = list({p for p in parts if p not in known})
+        if len(self.known) > CACHE_FRAGMENTS:
+            self.known, self.ids = Numbered(), Ragged(np.int32)
+        known = self.known
+        which = np.fromiter(map(known.__getitem__, [raw[i:j] for i, j in zip(edges, edges[1:])]), np.int64, len(edges) - 1)
+        new, known.new = known.new, []
         for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for p, e in zip(some, self.core.encode_batch([p.decode() for p in some], add_special_tokens=False)):
-                known[p] = tuple(e.ids)
-        first = np.searchsorted(at, off).tolist()
-        get = known.__getitem__
-        for a, b in zip(first, first[1:]):
-            yield list(chain.from_iterable(map(get, parts[a:b])))
+            self.ids.add([e.ids for e in self.core.encode_batch_fast([p.decode() for p in new[a : a + 4096]], add_special_tokens=False)])
+        ids, ends = self.ids.gather(which)
+        return ids, np.concatenate([[0], ends])[np.searchsorted(at, off)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        data, off = utf8(pa.array(texts, pa.large_string()))
-        return list(self.encode_block(data, off))
+        ids, at = self.encode_block(*utf8(pa.array(texts, pa.large_string())))
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    def decode_bytes(self, ids) -> bytes:
+        return self.raw_pool.gather(np.asarray(ids, np.int64))[0].tobytes()
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+    def written(self, ids) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self.decimal_pool.gather(np.asarray(ids, np.int64))[0].tobytes()[:-1]
+
+
+class Numbered(dict):
+    """Numbers its keys from 0 as they are first asked for, and lists those that are new."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+class Ragged:
+    """Rows of varying length in one flat array that grows by doubling."""
+
+    def __init__(self, kind):
+        self.flat, self.used, self.ends, self.rows = np.zeros(1024, kind), 0, np.zeros(1024, np.int64), 0
+
+    @classmethod
+    def of(cls, rows: list[bytes]) -> Ragged:
+        out = cls(np.uint8)
+        out.add([np.frombuffer(r, np.uint8) for r in rows])
+        return out
+
+    def add(self, rows: list) -> None:
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), self.flat.dtype, int(sizes.sum()))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(rows) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.ends[self.rows : self.rows + len(rows)] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+        self.rows += len(rows)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows asked for, one after another, and where each ends."""
+        begin = np.where(which > 0, self.ends[which - 1], 0)
+        size = self.ends[which] - begin
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(begin - (ends - size), size) + np.arange(total)], ends
 
 
 def wide_space_ends(data: np.ndarray) -> np.ndarray:
@@ -168,8 +216,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
         bpe = coder(path)
         for batch in batches:
             for a, b, data, off in blocks(batch.column(1)):
-                ids = list(bpe.encode_block(data, off))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                ids, at = bpe.encode_block(data, off)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -204,10 +253,11 @@ def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for a, b, data, off in blocks(batch.column(1)):
                 n, x, y = [], [], []
-                for ids in bpe.encode_block(data, off):
-                    n.append(len(ids))
-                    x.append(sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
-                    y.append(sha256(bpe.decode(ids).encode()).hexdigest())
+                ids, at = bpe.encode_block(data, off)
+                for i, j in zip(at.tolist(), at[1:].tolist()):
+                    n.append(j - i)
+                    x.append(sha256(bpe.written(ids[i:j])).hexdigest())
+                    y.append(sha256(bpe.decode(ids[i:j]).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -157,10 +157,11 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
             for a, b, data, off in blocks(batch.column(1)):
                 rows: list[list] = [[] for _ in range(6)]
                 of = []
-                for k, ids in enumerate(bpe.encode_block(data, off)):
-                    ids.append(CLOSING)
-                    raw, start = np.array(ids, "<u4").tobytes(), 0
-                    for i, n in enumerate(cut_lengths(len(ids), capacity)):
+                ids, at = bpe.encode_block(data, off)
+                raws, closing = ids.astype("<u4").tobytes(), np.array([CLOSING], "<u4").tobytes()
+                for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                    raw, start = raws[4 * x : 4 * y] + closing, 0
+                    for i, n in enumerate(cut_lengths(y - x + 1, capacity)):
                         of.append(a + k)
                         for out, x in zip(rows, (i, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), task, int(seen[n]))):
                             out.append(x)
