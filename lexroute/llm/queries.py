@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexroute.llm import bpe, packing
+from lexroute.llm import bpe, packing, rules
 from lexroute.llm.sparkops import table
 
 
@@ -14,8 +14,13 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark, sf_dir):
+    out = rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *rules.COUNTS, "base_failed", "kept", "quality_probability")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op2_bpe_round_trip, op7_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
