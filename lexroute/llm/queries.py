@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from lexroute.llm import bpe, packing, rules
-from lexroute.llm.sparkops import table
+from pyspark.sql import functions as F
+
+from lexroute.llm import bpe, langid, packing, quality, rules
+from lexroute.llm.sparkops import fold, table
 
 
 def op2_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold("doc_id", 5) != 0)
+    out = langid.identify(docs, model)
+    return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    out = quality.score(table(spark, sf_dir, "documents"), labels, fold("doc_id", 3) != 1)
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark, sf_dir):
     out = rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *rules.COUNTS, "base_failed", "kept", "quality_probability")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op7_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op7_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
