@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexroute.llm import bpe, langid, packing, quality, rules
+from lexroute.llm import bpe, langid, packing, quality, rules, substring
 from lexroute.llm.sparkops import fold, table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op7_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_language_id, op7_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,10 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexroute-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()  # what only df's lineage held, such as shuffle files, can go now
+    sc._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
