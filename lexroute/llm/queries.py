@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexroute.llm import bpe, langid, packing, quality, rules, substring
+from lexroute.llm import bpe, langid, neardup, packing, quality, rules, substring
 from lexroute.llm.sparkops import fold, table
 
 
@@ -27,6 +27,11 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark, sf_dir):
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold=80)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     out = quality.score(table(spark, sf_dir, "documents"), labels, fold("doc_id", 3) != 1)
@@ -39,7 +44,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_language_id, op7_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_language_id, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

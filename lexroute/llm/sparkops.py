@@ -35,3 +35,22 @@ def fold(column: str, modulus: int):
 def width(df: DataFrame) -> int:
     """Shuffle partitions of the session, for repartition() by key."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(id, component) of every id in the links (a, b): the smallest id reachable.
+
+    Each round takes the smallest label among an id's neighbours, then that
+    label's own label. Rounds end when nothing changes; each is made durable.
+    """
+    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")))
+    for _ in range(most_rounds):
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
+        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "low").alias("component"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        step = durable(step.join(jump, "component").select("id", "old", F.least("component", "further").alias("component")))
+        labels = step.select("id", "component")
+        if step.filter("old <> component").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
