@@ -13,11 +13,11 @@ their own, so short texts fill theirs too.
    most buckets with others (a copied original rather than one of its copies).
    Pairs whose collision-corrected estimate is far below the threshold go;
    the others are verified on their full sets, and links give components.
-4. Buckets that still hold several components choose the next pivot. After PIVOTS
-   of them, what is left (members of one bucket in different components) is
-   compared pair by pair in blocks of bounded size, by estimate, then verified. So a
-   group of thousands of copies costs a few comparisons for each, and no link
-   between components is lost to a cap.
+4. Buckets chained by common members are groups. A group that still holds several
+   components is compared on full sets in blocks of bounded size; a block returns
+   a spanning forest of the links it finds between components, never its pairs. So a
+   group of thousands of copies gives a few rows for each, and no link between
+   components is lost to a cap.
 
 With REGISTERS = 128 and 25 bands of 5, a pair at the threshold of 0.8 shares a
 bucket with probability 1 - (1 - 0.8**5)**25 = 0.99995.
@@ -39,7 +39,9 @@ from lexroute.llm.sparkops import components, durable
 from lexroute.llm.textops import LOWER, Prefix, blocks, byte_prefix, local_index, mix, utf8, word_spans
 
 REGISTERS, MANTISSA, BANDS, BAND = 128, 10, 25, 5
-SHINGLE, THRESHOLD, MARGIN, PIVOTS, BLOCK = 5, 80, 0.25, 3, 256
+SHINGLE, THRESHOLD, MARGIN, BLOCK, SLICE = 5, 80, 0.25, 256, 1 << 14
+#: Groups of chained buckets up to this size are compared whole; beyond it, bucket by bucket.
+WIDE = 8192
 #: Chance that two unequal minima give equal registers.
 ACCIDENT = 2.0**-MANTISSA / 1.4
 
@@ -166,36 +168,89 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int,
     close = pairs.join(side(reps, "a", "registers", "n"), "a").join(side(reps, "b", "registers", "n"), "b").mapInArrow(near, "a long, b long")
     close = durable(close)
     with_b = close.join(side(texts, "b", "text"), "b")
-    return durable(with_b.join(side(texts, "a", "text"), "a").mapInArrow(exact, "a long, b long"))
+    return durable(with_b.join(side(texts, "a", "text"), "a").mapInArrow(exact, "a long, b long"), free=True)
 
 
-def rest_pairs(members: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one bucket in different components that the estimate lets pass, in blocks of bounded size."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("k"))
-    dealt = members.join(durable(sizes), "bucket").join(reps.select("id", "n", "registers"), "id")
-    parts = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = dealt.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
+def sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, members binary): the sorted hashes of each text's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, off in blocks(batch.column("text")):
+                rows, h = shingles(data, off, shingle)
+                cut = np.searchsorted(rows, np.arange(b - a + 1)).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["id", "members"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, members binary")
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets in x with all in y, by matrix products over slices of their common members."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    flat = [np.concatenate(z) if z else np.zeros(0, np.uint64) for z in (x, y)]
+    row = [np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (x, y)]
+    common = np.intersect1d(*flat)
+    at = [np.searchsorted(common, f) for f in flat]
+    for k in range(2):
+        ok = common[np.minimum(at[k], len(common) - 1)] == flat[k] if len(common) else np.zeros(len(flat[k]), bool)
+        at[k], row[k] = at[k][ok], row[k][ok]
+    for a in range(0, len(common), SLICE):
+        m = []
+        for k, z in enumerate((x, y)):
+            here = (at[k] >= a) & (at[k] < a + SLICE)
+            d = np.zeros((len(z), SLICE), np.float32)
+            d[row[k][here], at[k][here] - a] = 1
+            m.append(d)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def forest(component: list, links: np.ndarray) -> list[int]:
+    """Of links between rows (pairs of indices), those that join components not joined before."""
+    parent: dict = {c: c for c in component}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    kept = []
+    for k, (i, j) in enumerate(links):
+        a, b = root(component[i]), root(component[j])
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return kept
+
+
+def rest_links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components of one group: exact on full sets, in blocks of bounded size.
+
+    members: (group, id, component). Each block returns only links that join
+    components, never all of its pairs.
+    """
+    sizes = members.groupBy("group").agg(F.count("*").alias("k"))
+    dealt = members.join(durable(sizes), "group").join(durable(sets(texts.join(durable(members.select("id").distinct()), "id"), shingle)), "id")
+    dealt = dealt.withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "n", "registers")
+    dealt = dealt.select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "members")
 
     def run(pdf):
         import pandas as pd
 
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = (pdf[pdf["part"] == p] for p in (i, j))
-        rx, ry = (np.frombuffer(b"".join(z["registers"]), np.uint16).reshape(-1, REGISTERS) for z in (x, y))
-        out = []
-        for k in range(len(x)):
-            ok = (x["component"].iloc[k] != y["component"].to_numpy()) & (x["id"].iloc[k] != y["id"].to_numpy())
-            n, m = x["n"].iloc[k], y["n"].to_numpy()
-            ok &= 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
-            hit = np.flatnonzero(ok)
-            hit = hit[estimate(rx[k], ry[hit]) >= threshold / 100 - MARGIN] if len(hit) else hit
-            ids = y["id"].to_numpy()[hit]
-            out.append(np.column_stack([np.minimum(x["id"].iloc[k], ids), np.maximum(x["id"].iloc[k], ids)]))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        x, y = (pdf[pdf["part"] == p].sort_values("id") for p in (i, j))
+        sx, sy = ([np.frombuffer(v, np.uint64) for v in z["members"]] for z in (x, y))
+        both = intersections(sx, sy)
+        union = np.array([len(v) for v in sx])[:, None] + np.array([len(v) for v in sy])[None, :] - both
+        cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
+        links = np.argwhere((100 * both >= threshold * union) & (cx[:, None] != cy[None, :]))
+        links[:, 1] += len(x)
+        ids = np.concatenate([x["id"].to_numpy(), y["id"].to_numpy()])
+        links = links[forest(np.concatenate([cx, cy]).tolist(), links)]
+        return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
+
+    return durable(dealt.groupBy("group", "i", "j").applyInPandas(run, "a long, b long"), free=True)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -213,33 +268,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     members = durable(members.join(durable(weight), "id").select("bucket", "id", F.struct("w", (-F.col("id")).alias("m")).alias("rank")))
     same = labelled.filter("rep is not null and id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     texts = source.join(durable(members.select("id").distinct()), "id") if not members.isEmpty() else None
-    links, label = None, None
-    for turn in range(PIVOTS + 1 if texts is not None else 0):
-        if label is None:
-            now = members.withColumn("component", F.col("id"))
-        else:
-            known = label.withColumnRenamed("component", "c")
-            now = members.join(known, "id", "left").select("bucket", "id", "rank", F.coalesce("c", "id").alias("component"))
-        lead = now.groupBy("bucket").agg(F.max("rank").alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        if turn == 0:
-            pivots = lead.select("bucket", (-F.col("top.m")).alias("p"), (-F.col("top.m")).alias("pc"))
-        else:
-            now = durable(now.join(durable(lead.select("bucket")), "bucket"))
-            if now.isEmpty():
-                break
-            if turn < PIVOTS:  # the best member outside the component of the bucket's best
-                best = now.groupBy("bucket").agg(F.max_by("component", "rank").alias("c0"))
-                pivots = now.join(durable(best), "bucket").filter("component <> c0").groupBy("bucket").agg(F.max(F.struct("rank", "id", "component")).alias("x")).select("bucket", F.col("x.id").alias("p"), F.col("x.component").alias("pc"))
-        if turn < PIVOTS:
-            pairs = now.join(durable(pivots), "bucket").filter("id <> p and component <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        else:
-            pairs = rest_pairs(now, reps, threshold)
-        pairs = durable(pairs.distinct())
-        found = verified(pairs, reps, texts, shingle, threshold)
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            label = components(links)
-    final = label if label is not None else labelled.select(F.col("id"), F.col("rep").alias("component")).limit(0)
+    final = labelled.select(F.col("id"), F.col("rep").alias("component")).limit(0)
+    if texts is not None:
+        lead = durable(members.groupBy("bucket").agg(F.max("rank").alias("top")).select("bucket", (-F.col("top.m")).alias("p")))
+        pairs = durable(members.join(lead, "bucket").filter("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
+        links = verified(pairs, reps, texts, shingle, threshold)
+        final = components(links)
+        group = components(pairs).select("id", F.col("component").alias("group"))
+        now = durable(group.join(final, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component")))
+        # a group of two was compared already; one of a single component has no more to find
+        open_ = durable(now.groupBy("group").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("k > 2 and lo < hi").select("group", "k"))
+        left = now.join(open_, "group")
+        wide = members.join(left.filter(f"k > {WIDE}"), "id").select(F.struct(F.lit(1).alias("kind"), F.col("bucket").alias("of")).alias("group"), "id", "component")
+        left = durable(left.filter(f"k <= {WIDE}").select(F.struct(F.lit(0).alias("kind"), F.col("group").alias("of")).alias("group"), "id", "component").union(wide))
+        if not left.isEmpty():
+            more = rest_links(left, texts, shingle, threshold)
+            if not more.isEmpty():
+                final = components(links.union(more))
     # copies follow their class; an id of several texts ties their classes together
     by_id = labelled.filter("rep is not null").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     torn = by_id.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")

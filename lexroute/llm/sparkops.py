@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, free: bool = False) -> DataFrame:
     """Cuts the lineage with checkpoint() in the shared folder that the session names.
 
-    A folder of our own is set only where none is named, as in local tests.
+    A folder of our own is set only where none is named, as in local tests. free:
+    the shuffle files of what came before are large, and are let go at once.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexroute-"))
     out = df.checkpoint()
-    gc.collect()  # what only df's lineage held, such as shuffle files, can go now
-    sc._jvm.System.gc()
+    del df
+    for _ in range(2 if free else 0):  # Spark removes shuffle files once its garbage collector has met their plan
+        gc.collect()
+        sc._jvm.System.gc()
+        time.sleep(0.3)
     return out
 
 
@@ -40,17 +45,22 @@ def width(df: DataFrame) -> int:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in the links (a, b): the smallest id reachable.
 
-    Each round takes the smallest label among an id's neighbours, then that
-    label's own label. Rounds end when nothing changes; each is made durable.
+    Each round labels every id with the smallest id next to it and contracts the
+    links to their labels; it ends when no link is left between different
+    labels. The smallest id of a component always keeps its own label, so it is
+    the one that remains. Links shrink from round to round.
     """
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")))
+    rest = durable(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "low").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = durable(step.join(jump, "component").select("id", "old", F.least("component", "further").alias("component")))
-        labels = step.select("id", "component")
-        if step.filter("old <> component").isEmpty():
+        both = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = durable(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("low")))
+        if labels is None:
+            labels = low.withColumnRenamed("low", "component")
+        else:
+            labels = durable(labels.join(low.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("low", "component").alias("component")))
+        ends = rest.join(low.select(F.col("id").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("y")), "b")
+        rest = durable(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if rest.isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
