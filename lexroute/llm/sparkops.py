@@ -21,13 +21,19 @@ def durable(df: DataFrame, free: bool = False) -> DataFrame:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexroute-"))
     out = df.checkpoint()
     del df
-    for _ in range(2 if free else 0):  # Spark removes shuffle files once its garbage collector has met their plan
-        gc.collect()
-        sc._jvm.System.gc()
-        time.sleep(0.3)
+    if free:
+        let_go(out.sparkSession)
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark removes shuffle files and checkpoints that nothing refers to once its garbage collector has met them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

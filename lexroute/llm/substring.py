@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexroute.llm.sparkops import durable
+from lexroute.llm.sparkops import durable, let_go
 from lexroute.llm.textops import Prefix, blocks, byte_prefix, local_index, word_spans
 
 WINDOW, LEAST_ANCHOR = 35, 12
@@ -94,8 +95,8 @@ def keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
 
 def repeated_only(counts: DataFrame, places: DataFrame) -> DataFrame:
     """Per key, the positions of hashes that are met more than once."""
-    often = durable(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    return durable(places.join(often, "h").groupBy("key").agg(F.collect_list("pos").alias("pos")))
+    often = durable(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), free=True)
+    return durable(places.join(often, "h").groupBy("key").agg(F.collect_list("pos").alias("pos")), free=True)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -115,31 +116,49 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
                 at, h = w.anchors(window)
                 yield _places(h, keys[a:b][w.row[at]], w.index[at])
 
-    hits = repeated_only(rows.mapInArrow(anchor_counts, "h long, n int"), rows.mapInArrow(anchor_places, "h long, key long, pos int"))
+    def extended(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for a, b, data, off in blocks(batch.column(1)):
+                w = Words(data, off)
+                part = batch.column(2).slice(a, b - a)
+                found = np.asarray(part.flatten()) + np.repeat(w.first[:-1], np.asarray(part.value_lengths()))
+                at, h = w.windows_with(found, window)
+                cut = np.searchsorted(w.row[at], np.arange(b - a + 1))
+                pos = [run_ends(w.index[at[i:j]]).tobytes() for i, j in zip(cut.tolist(), cut[1:].tolist())]
+                hashes = [h[i:j].tobytes() for i, j in zip(cut.tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(pos, pa.binary()), pa.array(hashes, pa.binary())], ["key", "pos", "hashes"])
 
-    def extended(batch):
-        keys = batch.column(0).to_numpy()
-        for a, b, data, off in blocks(batch.column(1)):
-            w = Words(data, off)
-            part = batch.column(2).slice(a, b - a)
-            found = np.asarray(part.flatten()) + np.repeat(w.first[:-1], np.asarray(part.value_lengths()))
-            at, h = w.windows_with(found, window)
-            yield w, keys[a:b], at, h
+    def flat(batch, kind, column):
+        return np.frombuffer(b"".join(batch.column(column).to_pylist()), kind)
 
     def window_counts(batches):
         for batch in batches:
-            for _, _, _, h in extended(batch):
-                yield _counts(h)
+            yield _counts(flat(batch, np.uint64, "hashes"))
 
     def window_places(batches):
         for batch in batches:
-            for w, keys, at, h in extended(batch):
-                yield _places(h, keys[w.row[at]], w.index[at])
+            runs = flat(batch, np.int32, "pos").reshape(-1, 2)
+            long = runs[:, 1] - runs[:, 0]
+            pos = np.repeat(runs[:, 1] - np.cumsum(long), long) + np.arange(int(long.sum()))
+            size = np.asarray(pc.binary_length(batch.column("hashes"))) // 8
+            yield _places(flat(batch, np.uint64, "hashes"), np.repeat(batch.column("key").to_numpy(), size), pos)
 
-    near = rows.join(hits, "key").select("key", "text", "pos")
+    # the windows' hashes are made durable, packed by text, so the texts move once
+    hits = repeated_only(rows.mapInArrow(anchor_counts, "h long, n int"), rows.mapInArrow(anchor_places, "h long, key long, pos int"))
+    near = durable(rows.join(hits, "key").select("key", "text", "pos").mapInArrow(extended, "key long, pos binary, hashes binary"), free=True)
+    del hits
     return repeated_only(near.mapInArrow(window_counts, "h long, n int"), near.mapInArrow(window_places, "h long, key long, pos int"))
 
 
+def run_ends(index: np.ndarray) -> np.ndarray:
+    """Rising integers as (first, end) of their runs, flat."""
+    if not len(index):
+        return np.zeros(0, np.int32)
+    edge = np.flatnonzero(np.diff(index) != 1)
+    return np.column_stack([index[np.append(0, edge + 1)], index[np.append(edge, len(index) - 1)] + 1]).astype(np.int32).ravel()
+
+
 def covered_words(w: Words, pos: pa.Array, window: int) -> np.ndarray:
     """Which words of a block lie in a repeated window."""
     mark = np.zeros(len(w.start) + 1, np.int64)
@@ -151,6 +170,7 @@ def covered_words(w: Words, pos: pa.Array, window: int) -> np.ndarray:
 
 def with_windows(docs: DataFrame, window: int, text: str, id: str) -> DataFrame:
     found = repeated_windows(docs, window, text, id).select(F.col("key").alias("_key"), F.col("pos").alias("_pos"))
+    let_go(docs.sparkSession)
     return docs.withColumn("_key", F.xxhash64(F.col(id), F.col(text).cast("string"))).join(found, "_key", "left")
 
 
