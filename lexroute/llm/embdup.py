@@ -59,14 +59,15 @@ def directions(dim: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=0)
 
 
-def unit(column: str):
-    """The vector as doubles of length one, or null if it can't link."""
-    x = F.transform(F.col(column), lambda v: v.cast("double"))
-    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    peak = F.array_max(F.transform(x, F.abs))
-    y = F.transform(x, lambda v: v / peak)
-    norm = F.sqrt(F.aggregate(y, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(F.col(column).isNotNull() & good & (peak > 0), F.transform(y, lambda v: v / norm))
+def unit(x) -> np.ndarray | None:
+    """The vector at length one, or None if it can't link."""
+    if x is None or not len(x):
+        return None
+    v = np.array(x, dtype=float)
+    if not np.isfinite(v).all() or not v.any():
+        return None
+    v /= np.abs(v).max()
+    return v / np.linalg.norm(v)
 
 
 def block_links(pdf: pd.DataFrame, cosine: float, need: int) -> pd.DataFrame:
@@ -102,8 +103,12 @@ def block_links(pdf: pd.DataFrame, cosine: float, need: int) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) of every row."""
     need = needed()
-    base = vectors.select(F.col(id).cast("long").alias("id"), unit(column).alias("v"))
-    raw = durable(base)
+
+    def scaled(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "v": [unit(x) for x in pdf["v"]]})
+
+    raw = durable(vectors.select(F.col(id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).mapInPandas(scaled, "id long, v array<double>"))
     good = raw.filter("v is not null and id is not null")
     classes = durable(good.groupBy("v").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")))
 
