@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     drawn = durable(sketches(source, shingle))
     whole = drawn.filter("n > 0 and id is not null")
     classes = durable(whole.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")))
-    labelled = durable(drawn.join(classes, ["c1", "c2", "n"], "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("registers")).alias("registers")))
+    labelled = durable(drawn.join(classes, ["c1", "c2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("registers")).alias("registers")))
     reps = labelled.filter("id = rep").select("id", "n", "registers")
     buckets = bands(reps)
     full = durable(buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1"))
