@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexroute.llm import bpe, embdup, langid, lm, neardup, packing, quality, rules, substring
+from lexroute.llm import bpe, embdup, langid, lm, neardup, packing, quality, rules, runindex, substring
 from lexroute.llm.sparkops import fold, table
 
 
@@ -33,6 +33,10 @@ def op5_lm_scores(spark, sf_dir):
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_run_index_dedup(spark, sf_dir):
+    return runindex.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_language_id, op4_embedding_near_dedup, op5_lm_scores, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_language_id, op4_embedding_near_dedup, op5_lm_scores, op6_run_index_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexroute.llm import bpe, embdup, langid, lm, neardup, packing, quality, rules, substring
+from lexroute.llm import bpe, embdup, langid, lm, neardup, packing, quality, rules, runindex, substring
 from lexroute.llm.textops import words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, pos string, id string, component string"
@@ -53,6 +53,40 @@ def test_substring(docs, rows, none):
     assert cut.columns == docs.columns and cut.count() == len(rows)
 
 
+def test_run_index_alone():
+    rng = random.Random(5)
+    for trial in range(60):
+        w = rng.choice([3, 8, 20])
+        segs = [bytes(rng.choice(b"ab\x00\xff" if trial % 2 else b"a") for _ in range(rng.randint(w, 60))) for _ in range(rng.randint(1, 12))]
+        seen, want = set(), []
+        for s in segs:
+            hit = []
+            for k in range(len(s) - w + 1):
+                if s[k : k + w] in seen:
+                    hit.append(k)
+                seen.add(s[k : k + w])
+            want.append(hit)
+        assert [x.tolist() for x in runindex.run_length_repeats(segs, w)] == want
+
+
+@pytest.mark.parametrize("hot", [1, 5000])
+def test_run_index(docs, rows, none, hot):
+    n = runindex.WINDOW
+    seen, want, done = set(), [], {}
+    for r in sorted({(r[0], r[1]) for r in rows}, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
+        raw = (r[1] or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - n + 1):
+            if raw[k : k + n] in seen:
+                gone[k : k + n] = b"\x01" * n
+            seen.add(raw[k : k + n])
+        done[r] = (r[0], len(raw), bytes(b for b, g in zip(raw, gone) if not g))
+    want = [done[r[0], r[1]] for r in rows]
+    got = runindex.spans(docs, hot_segments=hot).select("doc_id", "n_bytes", "kept").collect()
+    assert sorted(((a, b, bytes(c)) for a, b, c in got), key=str) == sorted(want, key=str)
+    assert runindex.digest(none).count() == 0
+
+
 def test_bpe_is_the_library(docs, rows, none):
     from tokenizers import Tokenizer
 
