@@ -7,9 +7,9 @@ built by one machine, so strings are dealt by content to many small indexes:
 1. each window's *anchor* is the KMER of smallest hash in it (the leftmost, if
    tied), so equal windows have equal anchors. Neighbouring windows with one
    anchor form a segment. Anchors met once in the corpus drop out;
-2. segments of repeated anchors travel with their bytes to the machine that has
-   the anchor. Copies within a task are told apart at once: all but the first
-   are repeats as a whole, and only the first travels;
+2. of equal segments (by a 64-bit hash) all but the first are repeats as a whole. The
+   first travels with its bytes to the machine that has the anchor, if that
+   anchor has other segments too;
 3. there, segments of a batch of anchors are sorted by suffix, and the
    Burrows-Wheeler transform is cut into runs. Common prefixes are measured at
    run heads alone; inside a run a suffix shares one byte less with the suffix
@@ -22,8 +22,8 @@ An anchor with more than HOT_SEGMENTS different segments (a passage that stands
 in many contexts) is trimmed first: windows whose hash is met once leave, in a
 counting that splits by window, so what is left of the contexts coincides.
 
-Anchors are told apart by 64-bit hashes; these only deal and drop, the
-index compares bytes. Two texts of one id are ordered by a hash. Rows equal in id and
+Among n segments of repeated anchors one is taken for a copy of another by its
+hash with probability of about n / 2**64; the index compares bytes. Two texts of one id are ordered by a hash. Rows equal in id and
 text are one document: judged once, each row with its result. Null text:
 empty. A null id comes before all others. Texts shorter than WINDOW stay whole. Other columns
 are ignored. Empty tables give empty results.
@@ -40,7 +40,7 @@ from lexroute.llm.sparkops import durable, let_go, width
 from lexroute.llm.substring import _counts, _places, repeated_only, run_ends
 from lexroute.llm.textops import blocks, byte_prefix
 
-WINDOW, KMER = 100, 40
+WINDOW, KMER = 100, 32
 HOT_SEGMENTS, INDEX_BYTES, HELD_BYTES = 5000, 1 << 20, 1 << 24
 SEGMENT = "m long, seg binary, ord long, key long, start int, n int"
 NAMES = ["m", "seg", "ord", "key", "start", "n"]
@@ -183,32 +183,45 @@ def keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
 
 
 def candidates(rows: DataFrame, window: int, kmer: int) -> DataFrame:
-    """Segments of repeated anchors; those without bytes are repeats already."""
+    """Segments of repeated anchors; those without bytes are repeats already.
+
+    A place is told a copy by the segment's hash. Bytes are cut out only for the
+    first place of each content, and only if its anchor has other contents too:
+    the windows of one segment all differ, as their anchor lies at different depths.
+    """
 
     def anchors(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for a, b, data, off in blocks(batch.column(1)):
+            for a, b, data, off in blocks(batch.column(2)):
                 first, n, h = segments(data, off, window, kmer)
+                fp = byte_prefix(data, 1).of(first, first + n - 1 + window)
                 cut = np.searchsorted(first, off)
                 row = np.repeat(np.arange(b - a), np.diff(cut))
-                local = (first - off[row]).astype(np.int32)
-                packed = [[x[i:j].tobytes() for i, j in zip(cut.tolist(), cut[1:].tolist())] for x in (local, n.astype(np.int32), h)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), *[pa.array(p, pa.binary()) for p in packed]], ["key", "start", "n", "h"])
+                order = np.lexsort((first, fp, row))
+                later = np.zeros(len(first), bool)  # copies within the text
+                later[order[1:]] = (fp[order[1:]] == fp[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                cols = [(first - off[row]).astype(np.int32), np.where(later, -n, n).astype(np.int16), h, fp]
+                packed = [[x[i:j].tobytes() for i, j in zip(cut.tolist(), cut[1:].tolist())] for x in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), batch.column(1).slice(a, b - a), *[pa.array(p, pa.binary()) for p in packed]], ["key", "ord", "start", "n", "h", "fp"])
 
     def flat(batch, kind, k):
         return np.frombuffer(b"".join(batch.column(k).to_pylist()), kind)
 
     def anchor_counts(batches):
         for batch in batches:
-            yield _counts(flat(batch, np.uint64, 3))
+            h, fp = flat(batch, np.int64, 4), flat(batch, np.int64, 5)
+            order = np.argsort(h, kind="stable")
+            h, fp = h[order], fp[order]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            ends = (f.reduceat(fp, at) if len(h) else fp for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(np.diff(np.append(at, len(h))), pa.int32()), *[pa.array(x) for x in ends]], ["h", "c", "lo", "hi"])
 
     def anchor_places(batches):
         for batch in batches:
-            h = flat(batch, np.int64, 3)
-            size = [len(x) // 8 for x in batch.column(3).to_pylist()]
-            cols = [h, np.repeat(batch.column(0).to_numpy(), size), flat(batch, np.int32, 1), flat(batch, np.int32, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "key", "start", "n"])
+            size = [len(x) // 8 for x in batch.column(4).to_pylist()]
+            cols = [flat(batch, np.int64, 4), flat(batch, np.int64, 5), *[np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1)], flat(batch, np.int32, 2), flat(batch, np.int16, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "fp", "key", "ord", "start", "n"])
 
     def cut_out(batches):
         copies = Copies()
@@ -221,12 +234,19 @@ def candidates(rows: DataFrame, window: int, kmer: int) -> DataFrame:
                     yield from copies.flush()
         yield from copies.flush()
 
-    found = durable(rows.select("key", "text").mapInArrow(anchors, "key long, start binary, n binary, h binary"), free=True)
-    often = durable(found.mapInArrow(anchor_counts, "h long, n int").groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1").select("h"), free=True)
-    hits = found.mapInArrow(anchor_places, "h long, key long, start int, n int").join(often, "h").groupBy("key").agg(F.collect_list(F.struct("start", "n", "h")).alias("places"))
-    hits = durable(hits, free=True)
-    del found, often
-    return durable(rows.join(hits, "key").select("key", "ord", "text", "places").mapInArrow(cut_out, SEGMENT), free=True)
+    found = durable(rows.mapInArrow(anchors, "key long, ord long, start binary, n binary, h binary, fp binary"), free=True)
+    counts = found.mapInArrow(anchor_counts, "h long, c int, lo long, hi long").groupBy("h").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    often = durable(counts.filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), free=True)
+    near = durable(found.mapInArrow(anchor_places, "h long, fp long, key long, ord long, start int, n short").join(often, "h"), free=True)
+    del found, often, counts
+    firsts = near.groupBy("fp").agg(F.min_by("key", "ord").alias("first"))
+    told = near.join(firsts, "fp").withColumn("copy", (F.col("key") != F.col("first")) | (F.col("n") < 0)).filter("copy or mixed")
+    told = durable(told.select("key", "copy", "start", F.abs("n").cast("int").alias("n"), F.when(~F.col("copy"), F.col("h")).alias("h")), free=True)
+    del near, firsts
+    copies = told.filter("copy").selectExpr("cast(null as long) m", "cast(null as binary) seg", "cast(null as long) ord", "key", "start", "n")
+    hits = told.filter("not copy").groupBy("key").agg(F.collect_list(F.struct("start", "n", "h")).alias("places"))
+    cut = durable(rows.join(hits, "key").select("key", "ord", "text", "places").mapInArrow(cut_out, SEGMENT), free=True)
+    return cut.union(copies)
 
 
 def trimmed(segs: DataFrame, window: int) -> DataFrame:
