@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,24 @@ def durable(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame, written as Parquet to the shared folder that the session names and read back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexroute-")
+    path = f"{base}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    jvm, path = df.sparkSession._jvm, df.stored_at
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def let_go(spark: SparkSession) -> None:
     """Spark removes shuffle files and checkpoints that nothing refers to once its garbage collector has met them."""
     for _ in range(2):
