@@ -117,12 +117,18 @@ SQL: dict[str, str] = {
 }
 
 
+def plans() -> dict[str, str]:
+    from lexroute.plans import statistics
+
+    return SQL | statistics.SQL
+
+
 def spark_text(name: str) -> str:
-    return SQL[name].replace("{half_even}", "bround").replace("div_int", "div")
+    return plans()[name].replace("{half_even}", "bround").replace("div_int", "div").replace("{sha}(coalesce(text, ''))", "sha2(coalesce(text, ''), 256)")
 
 
 def duck_text(name: str) -> str:
-    text = SQL[name].replace("{half_even}", "round_even_0").replace("div_int", "//")
+    text = plans()[name].replace("{half_even}", "round_even_0").replace("div_int", "//").replace("{sha}", "sha256")
     text = text.replace("round_even_0(0.95 * n)", "round_even(0.95 * n, 0)")
     for t in TABLES:
         text = text.replace("{" + t + "}", t)

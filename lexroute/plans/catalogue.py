@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lexroute.functions import text as T
 from lexroute.operators import metrics, retrieval
-from lexroute.plans import analytics
+from lexroute.operators.text_scores import rouge_l
+from lexroute.plans import analytics, statistics
 
 
 def _t(spark, sf_dir, name):
@@ -179,6 +180,26 @@ def html_elements(spark, sf_dir):
     return x.select("page_id", "position", F.lower(F.regexp_extract("e", r"(?i)^<(\w+)", 1)).alias("kind"), F.trim(F.regexp_replace(F.regexp_replace("e", "(?s)<[^>]*>", " "), r"\s+", " ")).alias("text"))
 
 
+def rouge_l_turns(spark, sf_dir):
+    """ROUGE-L of each assistant turn against the turn before it."""
+    c = _t(spark, sf_dir, "conversations")
+    now = c.filter("role = 'assistant'").select("conv_id", "turn", T.metric_tokens(F.col("text")).alias("a"))
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), T.metric_tokens(F.col("text")).alias("b"))
+    return now.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(rouge_l("a", "b"), 6).alias("rouge_l"))
+
+
+def section_paths(spark, sf_dir):
+    """The path of headings above each heading of a page: a stack from which those of the same or a deeper level leave."""
+    h = html_elements(spark, sf_dir).filter("kind like 'h%'").select("page_id", F.struct("position", F.substring("kind", 2, 1).cast("int").alias("level"), F.col("text").alias("title")).alias("h"))
+    runs = h.groupBy("page_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    kind = "struct<position:int,level:int,title:string>"
+    start = F.array().cast(f"array<array<{kind}>>")
+    top = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.array().cast(f"array<{kind}>"))
+    step = lambda acc, x: F.concat(acc, F.array(F.concat(F.filter(top(acc), lambda y: y["level"] < x["level"]), F.array(x.cast(kind)))))
+    stacks = runs.select("page_id", F.explode(F.aggregate("hs", start, step)).alias("s"))
+    return stacks.select("page_id", F.element_at("s", -1)["position"].alias("position"), F.size("s").alias("depth"), F.transform("s", lambda y: y["title"]).alias("path"))
+
+
 _TOK = "regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[a-z0-9]+')"
 _POST = f"tok as (select doc_id, unnest({_TOK.format('text')}) as term from documents), post as (select doc_id, term, count(*) as tf from tok group by all)"
 _BM = f"""with {_POST}, dl as (select doc_id, len({_TOK.format('text')}) as dl from documents), one as (select count(*) as n, avg(dl) as avgdl from dl),
@@ -220,12 +241,12 @@ ORACLE = {
     "token_f1": "with k as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as t from conversations), x as (select conv_id, turn, u.t, count(*) as n from (select conv_id, turn, unnest(t) as t from k) u group by all), c as (select a.conv_id, a.turn, sum(least(a.n, b.n)) as c from x a join x b on a.conv_id = b.conv_id and a.turn = b.turn + 1 and a.t = b.t group by all) select a.conv_id, a.turn, round(coalesce(2.0::double * coalesce(c.c, 0) / nullif(len(a.t) + len(b.t), 0), 0), 6) as f1 from k a join k b on a.conv_id = b.conv_id and a.turn = b.turn + 1 left join c on c.conv_id = a.conv_id and c.turn = a.turn",
 }
 
-_QUERIES = (hybrid_rrf_top10, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
+_QUERIES = (hybrid_rrf_top10, rouge_l_turns, section_paths, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES} | {n: partial(analytics.run, name=n) for n in analytics.SQL}
+    return {f.__name__: f for f in _QUERIES} | {n: partial(analytics.run, name=n) for n in (*analytics.SQL, *statistics.SQL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {n: analytics.duck_text(n) for n in analytics.SQL}
+    return ORACLE | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}
