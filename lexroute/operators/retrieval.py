@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lexroute.functions.text import cosine, index_tokens
 
 K1, B, RRF_K, DEPTH, TOP = 1.2, 0.75, 60, 20, 10
+#: Words of a run that a document and a passage must share to be compared.
+RUN = 5
 
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,6 +65,33 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP, where: Column | None
     return top_k(scored, k, F.desc("score"), F.asc("doc_id"))
 
 
+def word_runs(words: Column) -> Column:
+    """Distinct hashes of all runs of RUN words."""
+    starts = F.when(F.size(words) >= RUN, F.sequence(F.lit(1), F.size(words) - RUN + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, RUN))))
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of every document that holds a passage verbatim.
+
+    The words of a passage less the first and the last, which the text around may continue, stand
+    whole in each text that holds it. So candidates share its rarest run of RUN such words, and are
+    then compared in full. Passages too short for a run are compared with every text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    p = passages.select("query_id", "query", words(F.col("query")).alias("w"))
+    long = F.size("w") >= RUN + 2
+    runs = p.filter(long).select("query_id", "query", F.explode(word_runs(F.slice("w", F.lit(2), F.size("w") - 2))).alias("run"))
+    every = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(word_runs(F.col("w"))).alias("run"))  # a column first: the lambda would split anew for each run
+    df = every.join(runs.select("run"), "run", "left_semi").groupBy("run").agg(F.count("*").alias("df"))
+    rarest = runs.join(df, "run", "left").groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run"))["run"].alias("run"))
+    near = every.join(rarest.select("run", F.col("query_id").alias("q")), "run").select("doc_id", "q").distinct()
+    d, n = docs.select("doc_id", "text").alias("d"), near.alias("n")
+    both = n.join(d, F.col("n.doc_id").eqNullSafe(F.col("d.doc_id"))).select("q", "d.doc_id", "text").join(p.filter(long), F.col("q").eqNullSafe(F.col("query_id")))
+    plain = docs.select("doc_id", "text").join(p.filter(~long), F.contains("text", "query"))
+    return both.filter(F.contains("text", "query")).select("query_id", "doc_id").union(plain.select("query_id", "doc_id"))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP, where: Column | None = None) -> DataFrame:
     """Exact cosine top-k: queries (query_id, q) against every vector that passes the filter."""
     pool = vectors.filter(where) if where is not None else vectors
