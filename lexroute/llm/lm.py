@@ -9,8 +9,9 @@ missing and so recovers the level; a false positive can only raise it.
 The filter is cut into slots of SLOT_BITS; an n-gram's bits all lie in one slot,
 so slots are built apart, by the workers, and joined end to end. Its size
 follows the n-grams put in, at BITS for each: all words, and the pairs met twice or
-more. If that would pass MOST_BYTES, both need a count twice as high, again and
-again, so what is broadcast never passes that bound.
+more. It is cut by ranges of slots into parts of at most MOST_BYTES, each a broadcast of its own. A worker
+holds one part at a time if there are several and probes them in turn for each block of text, so levels
+are the same for any number of parts.
 
 The filter also holds, for each context (by 28 bits of its hash), the sum of the counts of its pairs in the
 filter. With low and high the ends of a level's range,
@@ -97,9 +98,9 @@ def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
     return (mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)) % np.uint64(slots)).astype(np.int64)
 
 
-def levels_in(table: np.ndarray, slots: int, h: np.ndarray) -> np.ndarray:
-    """The level of each n-gram, by probing until one is missing; 0 if the first is."""
-    base, found, live = slot_of(h, slots) * SLOT_BITS, np.zeros(len(h), np.int64), np.arange(len(h))
+def levels_in(table: np.ndarray, slots: int, h: np.ndarray, first: int = 0) -> np.ndarray:
+    """The level of each n-gram, by probing until one is missing; 0 if the first is. The table starts at slot first."""
+    base, found, live = (slot_of(h, slots) - first) * SLOT_BITS, np.zeros(len(h), np.int64), np.arange(len(h))
     for q in range(1, LEVELS + 1):
         for p in range(PROBES):
             if not p:
@@ -113,7 +114,23 @@ def levels_in(table: np.ndarray, slots: int, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def gram_counts(docs: DataFrame, most: int = 1 << 24) -> DataFrame:
+def levels_of(parts: list, slots: int, each: int, h: np.ndarray) -> np.ndarray:
+    """The level of each n-gram in a filter whose parts are broadcasts of so many slots each."""
+    if len(parts) == 1:
+        return levels_in(parts[0].value, slots, h)
+    part, found = slot_of(h, slots) // each, np.zeros(len(h), np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(len(parts) + 1))
+    for k, shared in enumerate(parts):
+        at = order[edges[k] : edges[k + 1]]
+        if len(at):
+            found[at] = levels_in(shared.value, slots, h[at], k * each)
+            if hasattr(shared, "_path"):
+                vars(shared).pop("_value", None)  # read again from the worker's disk when next needed
+    return found
+
+
+def gram_counts(docs: DataFrame, most: int = 1 << 23) -> DataFrame:
     """(h, n): keys of words, ends, starts and pairs with their counts."""
 
     def merged(held):
@@ -139,19 +156,14 @@ def gram_counts(docs: DataFrame, most: int = 1 << 24) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def build(grams: DataFrame, parts: int) -> tuple[np.ndarray, int]:
-    """The filter's bytes and its number of slots."""
+def build(grams: DataFrame, parts: int) -> tuple[list, int, int]:
+    """Broadcasts of the filter's parts, in the order of their slots, its number of slots and that of a part."""
     lev = F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1
-    sizes = grams.groupBy((F.col("h").bitwiseAND(F.lit(1)) == 1).alias("two"), lev.cast("int").alias("q")).agg(F.count("*").alias("k"), F.min("n").alias("lo")).collect()  # a row for each level
-    least = 2
-    while True:
-        cost = sum(r["k"] * r["q"] * (2 if r["two"] else 1) for r in sizes if r["lo"] >= (least if r["two"] else least // 2))
-        if cost * BITS / 8 <= MOST_BYTES:
-            break
-        least *= 2
+    one = F.col("h").bitwiseAND(F.lit(1)) == 0
+    put = grams.filter(one | (F.col("n") > 1))
+    # a context's sum costs no more than its pairs
+    cost = put.agg(F.coalesce(F.sum(lev * F.when(one, 1).otherwise(2)), F.lit(0))).first()[0]
     slots = max(1, math.ceil(cost * BITS / SLOT_BITS))
-    enough = {r["q"] for r in sizes if r["two"] and r["lo"] >= least}, {r["q"] for r in sizes if not r["two"] and r["lo"] >= least // 2}
-    put = grams.withColumn("q", lev.cast("int")).filter((F.col("h").bitwiseAND(F.lit(1)) == 1) & F.col("q").isin(*enough[0]) | (F.col("h").bitwiseAND(F.lit(1)) == 0) & F.col("q").isin(*enough[1])).drop("q")
     context = F.col("h").bitwiseAND(F.lit(int(CONTEXT.view(np.int64))).cast("long"))
     follow = put.filter("h & 1 = 1").groupBy(context.alias("context")).agg(F.sum("n").alias("n"))
     put = put.union(follow.select(F.col("context").bitwiseOR(F.lit(FOLLOW).cast("long")).alias("h"), "n"))
@@ -180,10 +192,14 @@ def build(grams: DataFrame, parts: int) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.int64()), pa.array(packed, pa.binary())], ["slot", "bits"])
 
     made = put.mapInArrow(dealt, "slot long, h long, n long").repartition(max(parts, slots // 4096), "slot").mapInArrow(fill, "slot long, bits binary")
-    table = np.zeros((slots, SLOT_BITS // 8), np.uint8)
-    for r in made.collect():  # the filter itself, of bounded size
-        table[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
-    return table.ravel(), slots
+    made, each, out = stored(made), max(1, MOST_BYTES * 8 // SLOT_BITS), []
+    for first in range(0, slots, each):
+        table = np.zeros((min(each, slots - first), SLOT_BITS // 8), np.uint8)
+        for batch in made.filter(F.col("slot").between(first, first + each - 1)).toArrow().to_batches():  # one part, of bounded size
+            table[batch.column(0).to_numpy() - first] = np.stack([np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()]) if batch.num_rows else table[:0]
+        out.append(grams.sparkSession.sparkContext.broadcast(table.ravel()))
+    dropped(made)
+    return out, slots, each
 
 
 def score(docs: DataFrame, where=None) -> DataFrame:
@@ -198,21 +214,22 @@ def score(docs: DataFrame, where=None) -> DataFrame:
     top = counts.filter(F.col("n") >= HOT * n_all).toArrow()  # at most 1 / HOT words can have that share
     hot_key, hot_n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(hot_key)
-    table, slots = build(grams, width(docs))
-    shared = spark.sparkContext.broadcast((table, slots, np.append(hot_key[order], np.uint64(1)), np.append(hot_n[order], 0)))
+    parts, slots, each = build(grams, width(docs))
+    shared = spark.sparkContext.broadcast((np.append(hot_key[order], np.uint64(1)), np.append(hot_n[order], 0)))
     norm = n_all + 0.5 * (distinct + 1)
 
     def run(batches):
-        bits, n_slots, hot, often = shared.value
-        start = int(levels_in(bits, n_slots, single(np.array([_START])))[0]), int(levels_in(bits, n_slots, following(np.array([_START])))[0])
+        hot, often = shared.value
         low = lambda q: np.where(q > 0, BASE ** (q - 1.0), 0.0)
         for batch in batches:
-            for a, b, data, off in blocks(batch.column(2)):
+            for a, b, data, off in blocks(batch.column(2), 1 << 21 if len(parts) == 1 else 1 << 23):
                 h, prev, row = tokens(data, off)
                 u, at = np.unique(single(h), return_inverse=True)
                 first = np.searchsorted(row, np.arange(b - a))
-                of_word, of_next = levels_in(bits, n_slots, u), levels_in(bits, n_slots, following(u))
-                one, two = of_word[at], levels_in(bits, n_slots, pair(prev, h))
+                v = np.append(u, _START)
+                found = levels_of(parts, slots, each, np.concatenate([single(v), following(v), pair(prev, h)]))
+                of_word, of_next, two = np.split(found, [len(v), 2 * len(v)])
+                start, one = (of_word[-1], of_next[-1]), of_word[at]
                 ctx, seen = np.roll(one, 1), np.roll(of_next[at], 1)
                 ctx[first], seen[first] = start
                 plain = (low(one) + 0.5) / norm
