@@ -8,10 +8,10 @@ missing and so recovers the level; a false positive can only raise it.
 
 The filter is cut into slots of SLOT_BITS; an n-gram's bits all lie in one slot,
 so slots are built apart, by the workers, and joined end to end. Its size
-follows the n-grams put in, at BITS for each: all words, and the pairs met twice or
-more. It is cut by ranges of slots into parts of at most MOST_BYTES, each a broadcast of its own. A worker
-holds one part at a time if there are several and probes them in turn for each block of text, so levels
-are the same for any number of parts.
+follows the n-grams put in, at BITS for each: all words and pairs, also those met once. It is cut by
+ranges of slots into parts of at most MOST_BYTES, each a broadcast of its own. A worker holds one part at
+a time if there are several and probes them in turn for each block of text, so levels are the same for
+any number of parts.
 
 The filter also holds, for each context (by 28 bits of its hash), the sum of the counts of its pairs in the
 filter. With low and high the ends of a level's range,
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from lexroute.llm.sparkops import dropped, let_go, stored, width
 from lexroute.llm.textops import LOWER, blocks, byte_prefix, mix, word_spans
 
-BASE, MIX, BITS, PROBES, SLOT_BITS, LEVELS = 1.5, 0.9, 14, 5, 1 << 12, 64
+BASE, MIX, BITS, PROBES, SLOT_BITS, LEVELS = 1.25, 0.9, 14, 5, 1 << 12, 120
 FOLLOW = 0x2FE94F82A
 MOST_BYTES, HOT = 64 << 20, 1e-6
 _END, _START = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A1B2C3D5)
@@ -159,14 +159,11 @@ def gram_counts(docs: DataFrame, most: int = 1 << 23) -> DataFrame:
 def build(grams: DataFrame, parts: int) -> tuple[list, int, int]:
     """Broadcasts of the filter's parts, in the order of their slots, its number of slots and that of a part."""
     lev = F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1
-    one = F.col("h").bitwiseAND(F.lit(1)) == 0
-    put = grams.filter(one | (F.col("n") > 1))
-    # a context's sum costs no more than its pairs
-    cost = put.agg(F.coalesce(F.sum(lev * F.when(one, 1).otherwise(2)), F.lit(0))).first()[0]
-    slots = max(1, math.ceil(cost * BITS / SLOT_BITS))
     context = F.col("h").bitwiseAND(F.lit(int(CONTEXT.view(np.int64))).cast("long"))
-    follow = put.filter("h & 1 = 1").groupBy(context.alias("context")).agg(F.sum("n").alias("n"))
-    put = put.union(follow.select(F.col("context").bitwiseOR(F.lit(FOLLOW).cast("long")).alias("h"), "n"))
+    follow = grams.filter("h & 1 = 1").groupBy(context.alias("context")).agg(F.sum("n").alias("n"))
+    put = grams.union(follow.select(F.col("context").bitwiseOR(F.lit(FOLLOW).cast("long")).alias("h"), "n"))
+    cost = put.agg(F.coalesce(F.sum(lev), F.lit(0))).first()[0]
+    slots = max(1, math.ceil(cost * BITS / SLOT_BITS))
 
     def dealt(batches):
         for batch in batches:
@@ -206,7 +203,7 @@ def score(docs: DataFrame, where=None) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score; trained on the rows that satisfy where."""
     train = docs.filter(where) if where is not None else docs
     spark = docs.sparkSession
-    grams = stored(gram_counts(train).filter("n > 1 or h & 1 = 0"))
+    grams = stored(gram_counts(train))
     let_go(spark)
     counts = grams.filter("h & 1 = 0").filter(F.col("h") != int(single(_START).view(np.int64)))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

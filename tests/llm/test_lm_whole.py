@@ -21,3 +21,9 @@ def test_scores_do_not_depend_on_the_bytes_of_a_part(docs, monkeypatch):
     assert len(lm.build(lm.gram_counts(docs), 4)[0]) > 3
     for x, y in zip(whole, cut, strict=True):
         assert x == pytest.approx(y)
+
+
+def test_pairs_met_once_count(spark):
+    once = spark.createDataFrame([(0, "these words stand here once"), (1, "and others stand there")], "doc_id long, text string")
+    for r in lm.score(once).collect():
+        assert r["score"] > r["base_score"] + 1
