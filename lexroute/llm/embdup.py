@@ -6,8 +6,8 @@ normal deviate times r / sqrt(dim). Every vector is projected on PROJECTIONS
 random directions. On each, a pair collides if the second lies in the window of
 WIDTH deviates centred on the first. A pair is verified (cosine in double
 precision) if it collides on at least NEEDED projections; NEEDED is the
-largest count that a pair at the threshold reaches with probability RECALL, by
-the binomial law of its collisions.
+largest count that a pair at the threshold reaches, by the binomial law of its
+collisions, with a probability that leaves RECALL after what the block reach misses.
 
 Work is dealt by the first projection: vectors are sorted along it and cut into
 blocks of bounded size; only blocks within a window of each other meet, two at a
@@ -34,8 +34,8 @@ from lexroute.llm.neardup import forest
 from lexroute.llm.sparkops import components, durable
 
 COSINE, PROJECTIONS, WIDTH, RECALL, BLOCK, TILE = 0.95, 16, 1.96, 0.9999, 2048, 64
-#: Deviates between the nearest ends of two blocks beyond which they do not meet (missed: 1 pair in 1000 at the threshold).
-BLOCK_REACH = 3.29
+#: Deviates between the nearest ends of two blocks beyond which they do not meet (missed: at most 7 pairs in a million at the threshold).
+BLOCK_REACH = 4.5
 
 
 def inside(width: float) -> float:
@@ -102,7 +102,7 @@ def block_links(pdf: pd.DataFrame, cosine: float, need: int) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) of every row."""
-    need = needed()
+    need = needed(recall=RECALL + 1 - inside(BLOCK_REACH))
 
     def scaled(batches):
         for pdf in batches:
