@@ -16,9 +16,9 @@ score is a probability) and the score below which a document is rejected: at
 most REJECT of the calibration texts of known language fall below it, and never
 a text with a score over one half.
 
-Null text, text without a letter, or no labelled rows at all: lang_pred "und", score 0,
-rejected. Languages are taken from the non-null labels, at most MAX_LANGS, most
-frequent first. Every input row gives one row; other columns are ignored.
+Null text or text without a letter: lang_pred "und", score 0, rejected. Without any labelled
+row all texts have lang_pred "und" and score 0, and only those without a letter are rejected.
+Languages are all non-null labels. Every input row gives one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lexroute.llm.textops import LOWER, blocks
 
 BUCKETS, DIM = 1 << 15, 16
-SAMPLE_PER_LANG, MAX_LANGS = 500, 200
+SAMPLE_PER_LANG = 500
 EPOCHS, RATE, REJECT = 8, 0.5, 0.002
 
 _PLAIN = LOWER.copy()
@@ -159,14 +159,12 @@ def fit(docs: DataFrame, where=None, per_lang: int = SAMPLE_PER_LANG) -> Model |
     """Trains on a bounded sample of the labelled rows of docs that satisfy where."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.filter(where) if where is not None else known
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
     if not sizes:
         return None
     unit = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, per_lang / r["n"]) * (1 << 30))).otherwise(share)
-    rows = known.filter(unit < share).select("text", "lang").collect()  # about per_lang of each language
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, per_lang / r["n"]) * (1 << 30))) for r in sizes], "lang string, share long")
+    rows = known.join(F.broadcast(shares), "lang").filter(unit < F.col("share")).select("text", "lang").collect()  # about per_lang of each language
     return train([(r["text"], r["lang"]) for r in rows])
 
 
@@ -190,11 +188,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
             col = batch.column(len(keep))
             for a, b, data, off in blocks(col):
                 part = batch.slice(a, b - a)
+                ok = has_letter(part.column(len(keep)), data, off)
                 if m is None:
-                    lang, score, no = ["und"] * (b - a), np.zeros(b - a), np.ones(b - a, bool)
+                    lang, score, no = ["und"] * (b - a), np.zeros(b - a), ~ok
                 else:
                     k, score = m.predict(data, off)
-                    ok = has_letter(part.column(len(keep)), data, off)
                     lang = [m.langs[i] if f else "und" for i, f in zip(k, ok)]
                     score = np.where(ok, np.clip(score, 0, 1), 0.0)
                     no = ~ok | (score < m.threshold)
