@@ -13,11 +13,11 @@ their own, so short texts fill theirs too.
    most buckets with others (a copied original rather than one of its copies).
    Pairs whose collision-corrected estimate is far below the threshold go;
    the others are verified on their full sets, and links give components.
-4. Buckets chained by common members are groups. A group that still holds several
-   components is compared on full sets in blocks of bounded size; a block returns
-   a spanning forest of the links it finds between components, never its pairs. So a
-   group of thousands of copies gives a few rows for each, and no link between
-   components is lost to a cap.
+4. A bucket whose members are still of several components is compared further: those
+   outside its largest component with all members, on full sets in blocks of bounded
+   size. A block returns a spanning forest of the links it finds between components, never
+   its pairs. So a bucket of thousands of copies gives a few rows for each, and no link
+   between components is lost to a cap.
 
 With REGISTERS = 128 and 25 bands of 5, a pair at the threshold of 0.8 shares a
 bucket with probability 1 - (1 - 0.8**5)**25 = 0.99995.
@@ -25,7 +25,7 @@ bucket with probability 1 - (1 - 0.8**5)**25 = 0.99995.
 Null, empty and wordless texts: no shingles, linked with nothing, kept. Texts
 with fewer words than a shingle: their whole word sequence is the one shingle.
 Rows that share an id are one document that has all their texts' links. A null id
-is linked with nothing and kept. Other columns pass through `keep_one`.
+is linked with nothing and kept. Other columns, whatever their names, pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexroute.llm.sparkops import components, durable
+from lexroute.llm.sparkops import Sieve, boxed, components, dropped, durable, join_by_count, quoted, unboxed
 from lexroute.llm.textops import LOWER, Prefix, blocks, byte_prefix, local_index, mix, utf8, word_spans
 
 REGISTERS, MANTISSA, BANDS, BAND = 128, 10, 25, 5
 SHINGLE, THRESHOLD, MARGIN, BLOCK, SLICE = 5, 80, 0.25, 256, 1 << 14
-#: Groups of chained buckets up to this size are compared whole; beyond it, bucket by bucket.
-WIDE = 8192
+#: Pairs of one pivot that are dealt to one task.
+PIVOT_ROWS = 512
 #: Chance that two unequal minima give equal registers.
 ACCIDENT = 2.0**-MANTISSA / 1.4
 
@@ -118,8 +118,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, c1 long, c2 long, registers binary")
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """(bucket, id) for each band of each sketch."""
+def bands(reps: DataFrame, sieve: Sieve | None = None) -> DataFrame:
+    """(bucket, id) for each band of each sketch, or of those buckets that a sieve lets through."""
 
     def run(batches):
         for batch in batches:
@@ -129,24 +129,34 @@ def bands(reps: DataFrame) -> DataFrame:
                 h = np.full(len(reg), k + 1, np.uint64)
                 for j in range(k * BAND, k * BAND + BAND):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + reg[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], ["bucket", "id"])
+                on = sieve.passes(h) if sieve else slice(None)
+                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(ids[on])], ["bucket", "id"])
 
     return reps.select("id", "registers").mapInArrow(run, "bucket long, id long")
 
 
+def dealt_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (p, id) with a part for each PIVOT_ROWS of a pivot's pairs, and (p, parts): a hot pivot's pairs lie in many tasks."""
+    degree = durable(pairs.groupBy("p").agg(F.count("*").alias("n")))
+    parts = F.ceil(F.col("n") / PIVOT_ROWS).cast("int").alias("parts")
+    total = pairs.count()
+    with_parts = join_by_count(pairs, degree.select("p", "n", parts), ["p"], "n", total)
+    return durable(with_parts.select("p", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))), degree.select("p", parts)
+
+
 def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold, after the estimate has sorted out most others."""
+    """Of the pairs (p, id), as (a, b), those whose full sets meet the threshold, after the estimate has sorted out most others."""
 
     def near(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            n, m = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("rp", "ri"))
+            n, m = (np.asarray(batch.column(c)) for c in ("np", "ni"))
             ok = (estimate(x, y) >= threshold / 100 - MARGIN) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("p", "id", "part")], ["p", "id", "part"])
 
     def exact(batches):
         for batch in batches:
-            ta, tb = utf8(batch.column("ta")), utf8(batch.column("tb"))
+            ta, tb = utf8(batch.column("tp")), utf8(batch.column("ti"))
             n, at = batch.num_rows, 0
             while at < n:
                 to = at + 1
@@ -159,16 +169,22 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int,
                     sizes.append(np.bincount(rows, minlength=to - at))
                 both = np.bincount(keys[0][0][np.isin(keys[0][1], keys[1][1])], minlength=to - at)
                 ok = pa.array(100 * both >= threshold * (sizes[0] + sizes[1] - both))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, to - at).filter(ok) for c in ("a", "b")], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, to - at).filter(ok) for c in ("p", "id")], ["a", "b"])
                 at = to
 
-    def side(df: DataFrame, name: str, *cols: str) -> DataFrame:
-        return df.select(F.col("id").alias(name), *(F.col(c).alias(f"{c[0]}{name}") for c in cols))
+    def of_pivot(df: DataFrame, *cols: str) -> DataFrame:
+        """The pivot's side of a join, once for each part of its pairs."""
+        both = df.select(F.col("id").alias("p"), *(F.col(c).alias(f"{c[0]}p") for c in cols)).join(parts, "p")
+        return both.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def of_id(df: DataFrame, *cols: str) -> DataFrame:
+        return df.select("id", *(F.col(c).alias(f"{c[0]}i") for c in cols))
 
-    close = pairs.join(side(reps, "a", "registers", "n"), "a").join(side(reps, "b", "registers", "n"), "b").mapInArrow(near, "a long, b long")
-    close = durable(close)
-    with_b = close.join(side(texts, "b", "text"), "b")
-    return durable(with_b.join(side(texts, "a", "text"), "a").mapInArrow(exact, "a long, b long"), free=True)
+    dealt, parts = dealt_pairs(pairs)
+    close = dealt.join(of_id(reps, "registers", "n"), "id").join(of_pivot(reps, "registers", "n"), ["p", "part"])
+    close = durable(close.mapInArrow(near, "p long, id long, part int"))
+    dropped(dealt)
+    return durable(close.join(of_id(texts, "text"), "id").join(of_pivot(texts, "text"), ["p", "part"]).mapInArrow(exact, "a long, b long"))
 
 
 def sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -223,26 +239,33 @@ def forest(component: list, links: np.ndarray) -> list[int]:
     return kept
 
 
-def rest_links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """Links (a, b) between components of one group: exact on full sets, in blocks of bounded size.
+def rest_links(now: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
+    """Links (a, b) between components that share a bucket: exact on full sets, in blocks of bounded size; None if no bucket is open.
 
-    members: (group, id, component). Each block returns only links that join
-    components, never all of its pairs.
+    now: (bucket, id, component). In an open bucket the members of all components but the
+    largest are compared with all members: copies of one text meet only the strays. Each block
+    returns only links that join components, never all of its pairs.
     """
-    sizes = members.groupBy("group").agg(F.count("*").alias("k"))
-    dealt = members.join(durable(sizes), "group").join(durable(sets(texts.join(durable(members.select("id").distinct()), "id"), shingle)), "id")
-    dealt = dealt.withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "members")
+    held = durable(now.groupBy("bucket", "component").agg(F.count("*").alias("k")))
+    total = F.sum("k").alias("total")
+    open_ = held.groupBy("bucket").agg(total, F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("most")).filter("total > 2 and kinds > 1")
+    open_ = durable(open_.select("bucket", "total", F.col("most.component").alias("bulk"), F.ceil(F.col("total") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("total") - F.col("most.k")) / BLOCK).cast("int").alias("strays")))
+    dropped(held)
+    if open_.isEmpty():
+        return None
+    rows = open_.agg(F.sum("total")).first()[0]
+    members = durable(join_by_count(now, open_, ["bucket"], "total", rows))
+    with_sets = durable(sets(texts.join(members.select("id").distinct(), "id"), shingle))
+    all_ = members.select("bucket", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("j"))
+    strays = members.filter("component <> bulk").select("bucket", "id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("strays")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
 
     def run(pdf):
         import pandas as pd
 
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = (pdf[pdf["part"] == p].sort_values("id") for p in (i, j))
+        x, y = (pdf[pdf["side"] == k].sort_values("id") for k in (0, 1))
         sx, sy = ([np.frombuffer(v, np.uint64) for v in z["members"]] for z in (x, y))
         both = intersections(sx, sy)
-        union = np.array([len(v) for v in sx])[:, None] + np.array([len(v) for v in sy])[None, :] - both
+        union = np.array([len(v) for v in sx], np.int64)[:, None] + np.array([len(v) for v in sy], np.int64)[None, :] - both
         cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
         links = np.argwhere((100 * both >= threshold * union) & (cx[:, None] != cy[None, :]))
         links[:, 1] += len(x)
@@ -250,53 +273,57 @@ def rest_links(members: DataFrame, texts: DataFrame, shingle: int, threshold: in
         links = links[forest(np.concatenate([cx, cy]).tolist(), links)]
         return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
-    return durable(dealt.groupBy("group", "i", "j").applyInPandas(run, "a long, b long"), free=True)
+    found = durable(all_.union(strays).join(with_sets, "id").groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long"))
+    dropped(members, with_sets)
+    return found
+
+
+def class_components(classes: DataFrame, source: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
+    """(id, component) of the class representatives that are linked with another; None if no two share a bucket."""
+    reps = classes.select(F.col("rep").alias("id"), "n", "registers")
+    full = durable(bands(reps).groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1"))
+    total = full.agg(F.sum("k")).first()[0]
+    if not total:
+        return None
+    raw = durable(bands(reps, Sieve(full, "bucket")))
+    members = durable(join_by_count(raw, full.withColumn("size", F.col("k")), ["bucket"], "k", total))
+    dropped(raw, full)
+    weight = members.groupBy("id").agg(F.sum("size").alias("w"))
+    ranked = members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("top"), F.max("size").alias("k"))
+    lead = durable(ranked.select("bucket", (-F.col("top.m")).alias("p"), "k"))
+    pairs = durable(join_by_count(members, lead, ["bucket"], "k", total).filter("id <> p").select("p", "id").distinct())
+    texts = source.join(members.select("id").distinct(), "id")
+    links = verified(pairs, reps, texts, shingle, threshold)
+    final = components(links)
+    dropped(pairs, lead)
+    now = durable(members.join(final, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    more = rest_links(now, texts, shingle, threshold)
+    return final if more is None or more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) for every row: the class each document is in."""
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(quoted(id).cast("long").alias("id"), quoted(text).cast("string").alias("text"))
     drawn = durable(sketches(source, shingle))
-    whole = drawn.filter("n > 0 and id is not null")
-    classes = durable(whole.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")))
-    labelled = durable(drawn.join(classes, ["c1", "c2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("registers")).alias("registers")))
-    reps = labelled.filter("id = rep").select("id", "n", "registers")
-    buckets = bands(reps)
-    full = durable(buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1"))
-    members = durable(buckets.join(full, "bucket"))
-    weight = members.groupBy("id").agg(F.sum("k").alias("w"))
-    members = durable(members.join(durable(weight), "id").select("bucket", "id", F.struct("w", (-F.col("id")).alias("m")).alias("rank")))
-    same = labelled.filter("rep is not null and id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    texts = source.join(durable(members.select("id").distinct()), "id") if not members.isEmpty() else None
-    final = labelled.select(F.col("id"), F.col("rep").alias("component")).limit(0)
-    if texts is not None:
-        lead = durable(members.groupBy("bucket").agg(F.max("rank").alias("top")).select("bucket", (-F.col("top.m")).alias("p")))
-        pairs = durable(members.join(lead, "bucket").filter("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
-        links = verified(pairs, reps, texts, shingle, threshold)
-        final = components(links)
-        group = components(pairs).select("id", F.col("component").alias("group"))
-        now = durable(group.join(final, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component")))
-        # a group of two was compared already; one of a single component has no more to find
-        open_ = durable(now.groupBy("group").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("k > 2 and lo < hi").select("group", "k"))
-        left = now.join(open_, "group")
-        wide = members.join(left.filter(f"k > {WIDE}"), "id").select(F.struct(F.lit(1).alias("kind"), F.col("bucket").alias("of")).alias("group"), "id", "component")
-        left = durable(left.filter(f"k <= {WIDE}").select(F.struct(F.lit(0).alias("kind"), F.col("group").alias("of")).alias("group"), "id", "component").union(wide))
-        if not left.isEmpty():
-            more = rest_links(left, texts, shingle, threshold)
-            if not more.isEmpty():
-                final = components(links.union(more))
+    whole, key = drawn.filter("n > 0 and id is not null"), ["c1", "c2", "n"]
+    classes = durable(whole.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("registers").alias("registers")))
+    found = class_components(classes, source, shingle, threshold)
+    if found is None:
+        placed = classes.select(*key, "copies", F.col("rep").alias("component"))
+    else:
+        placed = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, "copies", F.coalesce("component", "rep").alias("component"))
     # copies follow their class; an id of several texts ties their classes together
-    by_id = labelled.filter("rep is not null").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    torn = by_id.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    torn = durable(torn.select("a", "b"))
+    by_id = durable(join_by_count(whole.select("id", *key), durable(placed), key, "copies", drawn.count()).select("id", "n", "component"))
+    torn = durable(by_id.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("a", "b"))
+    alone = drawn.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
     if not torn.isEmpty():
         tied = components(torn).select(F.col("id").alias("component"), F.col("component").alias("tied"))
         by_id = by_id.join(tied, "component", "left").select("id", "n", F.coalesce("tied", "component").alias("component"))
-    alone = labelled.filter("rep is null").select("id", "n", F.col("id").alias("component"))
     return by_id.union(alone).select(F.col("id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, text: str = "text", id: str = "doc_id") -> DataFrame:
     """docs without the documents that are near copies of one of smaller id."""
-    gone = near_duplicates(docs, shingle, threshold, text, id).filter("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(durable(gone), F.col(id).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, shingle, threshold, text, id).filter("id <> component_id").select("id").distinct()
+    rows = docs.select(boxed(docs).alias("row"), quoted(id).cast("long").alias("id"))
+    return unboxed(rows.join(durable(gone), "id", "left_anti"), "row", docs.schema)
