@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexroute.llm.sparkops import durable, let_go, width
-from lexroute.llm.substring import _counts, _places, repeated_only, run_ends
+from lexroute.llm.sparkops import Sieve, dropped, durable, join_by_count, quoted, width
+from lexroute.llm.substring import _counts, _places, repeated_only, run_ends, text_key
 from lexroute.llm.textops import blocks, byte_prefix
 
 WINDOW, KMER = 100, 32
@@ -146,6 +146,11 @@ def run_length_repeats(segs: list[bytes], window: int) -> list[np.ndarray]:
     return [np.flatnonzero(repeat[a : a + n]) for a, n in zip((stop - size).tolist(), np.maximum(size - window, 0).tolist())]
 
 
+def segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], NAMES)
+
+
 class Copies:
     """Segments held by content; of equal ones the first goes on, the others are repeats as a whole."""
 
@@ -168,9 +173,7 @@ class Copies:
         rows = [(m, s, *p, n) for (m, s), (p, n) in self.held.items()] + [(None, None, *r) for r in self.gone]
         self.__init__()
         for i in range(0, len(rows), 20000):
-            cols = zip(*rows[i : i + 20000])
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], NAMES)
+            yield segment_batch(rows[i : i + 20000])
 
     @property
     def full(self) -> bool:
@@ -178,8 +181,7 @@ class Copies:
 
 
 def keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
-    x = F.col(text).cast("string")
-    return docs.select(F.xxhash64(F.col(id), x).alias("key"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("ord"), x.alias("text"))
+    return docs.select(text_key(text, id).alias("key"), F.coalesce(quoted(id).cast("long"), F.lit(-(1 << 63))).alias("ord"), quoted(text).cast("string").alias("text"))
 
 
 def candidates(rows: DataFrame, window: int, kmer: int) -> DataFrame:
@@ -192,61 +194,66 @@ def candidates(rows: DataFrame, window: int, kmer: int) -> DataFrame:
 
     def anchors(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
             for a, b, data, off in blocks(batch.column(2)):
                 first, n, h = segments(data, off, window, kmer)
                 fp = byte_prefix(data, 1).of(first, first + n - 1 + window)
                 cut = np.searchsorted(first, off)
                 row = np.repeat(np.arange(b - a), np.diff(cut))
-                order = np.lexsort((first, fp, row))
-                later = np.zeros(len(first), bool)  # copies within the text
-                later[order[1:]] = (fp[order[1:]] == fp[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-                cols = [(first - off[row]).astype(np.int32), np.where(later, -n, n).astype(np.int16), h, fp]
+                cols = [(first - off[row]).astype(np.int32), n.astype(np.int16), h, fp]
                 packed = [[x[i:j].tobytes() for i, j in zip(cut.tolist(), cut[1:].tolist())] for x in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), batch.column(1).slice(a, b - a), *[pa.array(p, pa.binary()) for p in packed]], ["key", "ord", "start", "n", "h", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(p, pa.binary()) for p in packed]], ["key", "ord", "start", "n", "h", "fp"])
 
     def flat(batch, kind, k):
         return np.frombuffer(b"".join(batch.column(k).to_pylist()), kind)
 
     def anchor_counts(batches):
         for batch in batches:
-            h, fp = flat(batch, np.int64, 4), flat(batch, np.int64, 5)
-            order = np.argsort(h, kind="stable")
-            h, fp = h[order], fp[order]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            ends = (f.reduceat(fp, at) if len(h) else fp for f in (np.minimum, np.maximum))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(np.diff(np.append(at, len(h))), pa.int32()), *[pa.array(x) for x in ends]], ["h", "c", "lo", "hi"])
-
-    def anchor_places(batches):
-        for batch in batches:
-            size = [len(x) // 8 for x in batch.column(4).to_pylist()]
-            cols = [flat(batch, np.int64, 4), flat(batch, np.int64, 5), *[np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1)], flat(batch, np.int32, 2), flat(batch, np.int16, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "fp", "key", "ord", "start", "n"])
+            yield _counts(flat(batch, np.uint64, 4))
+
+    def anchor_places(sieve):
+        def run(batches):
+            for batch in batches:
+                h = flat(batch, np.uint64, 4)
+                on = np.flatnonzero(sieve.passes(h))
+                size = [len(x) // 8 for x in batch.column(4).to_pylist()]
+                row = np.repeat(np.arange(len(size)), size)[on]
+                cols = [h.view(np.int64)[on], flat(batch, np.int64, 5)[on], *[batch.column(k).to_numpy()[row] for k in (0, 1)], flat(batch, np.int32, 2)[on], flat(batch, np.int16, 3)[on]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "fp", "key", "ord", "start", "n"])
+
+        return found.mapInArrow(run, "h long, fp long, key long, ord long, start int, n short")
 
     def cut_out(batches):
-        copies = Copies()
         for batch in batches:
+            out, held = [], 0
             for key, order, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 for p in places:
-                    copies.add(p["h"], raw[p["start"] : p["start"] + p["n"] - 1 + window], (order, key, p["start"]), p["n"])
-                if copies.full:
-                    yield from copies.flush()
-        yield from copies.flush()
-
-    found = durable(rows.mapInArrow(anchors, "key long, ord long, start binary, n binary, h binary, fp binary"), free=True)
-    counts = found.mapInArrow(anchor_counts, "h long, c int, lo long, hi long").groupBy("h").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    often = durable(counts.filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), free=True)
-    near = durable(found.mapInArrow(anchor_places, "h long, fp long, key long, ord long, start int, n short").join(often, "h"), free=True)
-    del found, often, counts
-    firsts = near.groupBy("fp").agg(F.min_by("key", "ord").alias("first"))
-    told = near.join(firsts, "fp").withColumn("copy", (F.col("key") != F.col("first")) | (F.col("n") < 0)).filter("copy or mixed")
-    told = durable(told.select("key", "copy", "start", F.abs("n").cast("int").alias("n"), F.when(~F.col("copy"), F.col("h")).alias("h")), free=True)
-    del near, firsts
-    copies = told.filter("copy").selectExpr("cast(null as long) m", "cast(null as binary) seg", "cast(null as long) ord", "key", "start", "n")
-    hits = told.filter("not copy").groupBy("key").agg(F.collect_list(F.struct("start", "n", "h")).alias("places"))
-    cut = durable(rows.join(hits, "key").select("key", "ord", "text", "places").mapInArrow(cut_out, SEGMENT), free=True)
-    return cut.union(copies)
+                    out.append((p["h"], raw[p["start"] : p["start"] + p["n"] - 1 + window], order, key, p["start"], p["n"]))
+                    held += len(out[-1][1])
+                if held > HELD_BYTES:
+                    yield segment_batch(out)
+                    out, held = [], 0
+            if out:
+                yield segment_batch(out)
+
+    # packed by text, so that the texts are read once for counts and places
+    found = durable(rows.mapInArrow(anchors, "key long, ord long, start binary, n binary, h binary, fp binary"))
+    often = durable(found.mapInArrow(anchor_counts, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    # a few anchors met once pass the sieve too: alone they give no repeat
+    near = durable(anchor_places(Sieve(often)))
+    dropped(found, often)
+    # of each content, the first place; texts of one id come in the order of their keys
+    content = near.groupBy("fp").agg(F.min(F.struct("ord", "key", "start", "n", "h")).alias("first"), F.count("*").alias("c"))
+    content = durable(content.select("fp", "c", "first.*"))
+    seen = join_by_count(near, content.select("fp", "c", *(F.col(x).alias(f"first_{x}") for x in ("ord", "key", "start"))), ["fp"], "c", near.count())
+    copies = durable(seen.filter("ord <> first_ord or key <> first_key or start <> first_start").select("key", "start", F.col("n").cast("int").alias("n")))
+    mixed = content.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    mixed = durable(mixed)
+    total = mixed.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    hits = join_by_count(content.select("h", "key", "start", "n"), mixed, ["h"], "k", total).groupBy("key").agg(F.collect_list(F.struct("start", "n", "h")).alias("places"))
+    cut = durable(rows.join(hits, "key").select("key", "ord", "text", "places").mapInArrow(cut_out, SEGMENT))
+    dropped(near, content, mixed)
+    return cut.union(copies.selectExpr("cast(null as long) m", "cast(null as binary) seg", "cast(null as long) ord", "key", "start", "n"))
 
 
 def trimmed(segs: DataFrame, window: int) -> DataFrame:
@@ -266,10 +273,14 @@ def trimmed(segs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             yield _counts(windows(batch.column(1))[2])
 
-    def places(batches):
-        for batch in batches:
-            row, index, h = windows(batch.column(1))
-            yield _places(h, batch.column(0).to_numpy()[row], index)
+    def places(sieve):
+        def run(batches):
+            for batch in batches:
+                row, index, h = windows(batch.column(1))
+                on = sieve.passes(h)
+                yield _places(h[on], batch.column(0).to_numpy()[row[on]], index[on])
+
+        return slim.mapInArrow(run, "h long, key long, pos int")
 
     def cut_out(batches):
         copies = Copies()
@@ -283,8 +294,8 @@ def trimmed(segs: DataFrame, window: int) -> DataFrame:
 
     named = segs.withColumn("sid", F.xxhash64("key", "start"))
     slim = named.select("sid", "seg")
-    often = repeated_only(slim.mapInArrow(counts, "h long, n int"), slim.mapInArrow(places, "h long, key long, pos int")).withColumnRenamed("key", "sid")
-    return durable(named.join(often, "sid").select("m", "seg", "ord", "key", "start", "pos").mapInArrow(cut_out, SEGMENT), free=True)
+    often = repeated_only(slim.mapInArrow(counts, "h long, n int"), places).withColumnRenamed("key", "sid")
+    return durable(named.join(often, "sid").select("m", "seg", "ord", "key", "start", "pos").mapInArrow(cut_out, SEGMENT))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id", kmer: int = KMER, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
@@ -325,7 +336,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str =
         live = live.join(hot, "m", "left_anti").select(*NAMES).union(cut.filter("seg is not null"))
     dealt = live.select("m", "seg", "ord", "key", "start").repartition(width(docs), "m").sortWithinPartitions("m")
     marks = dealt.mapInArrow(index, "key long, start int, n int").union(known)
-    return durable(marks.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs")), free=True)
+    return durable(marks.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
 
 
 def covered(size: int, runs: list | None, window: int) -> list[tuple[int, int]]:
@@ -357,11 +368,9 @@ def spans(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "
                     kept.append(b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.binary())], [id, "n_bytes", "removed", "kept"])
 
-    found = repeats(docs, window, text, id, kmer, hot_segments).withColumnRenamed("key", "_key").withColumnRenamed("runs", "_runs")
-    let_go(docs.sparkSession)
-    x = F.col(text).cast("string")
-    rows = docs.select(id, x.alias("_text"), F.xxhash64(F.col(id), x).alias("_key")).join(found, "_key", "left").select(id, "_text", "_runs")
-    return rows.mapInArrow(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, n_bytes long, removed array<long>, kept binary")
+    found = repeats(docs, window, text, id, kmer, hot_segments)
+    rows = docs.select(F.struct(quoted(id).alias("id")).alias("row"), quoted(text).cast("string").alias("text"), text_key(text, id).alias("key")).join(found, "key", "left")
+    return rows.select("row.id", "text", "runs").mapInArrow(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, n_bytes long, removed array<long>, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

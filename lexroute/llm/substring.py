@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexroute.llm.sparkops import durable, let_go
+from lexroute.llm.sparkops import Sieve, boxed, dropped, durable, join_by_count, quoted
 from lexroute.llm.textops import Prefix, blocks, byte_prefix, local_index, word_spans
 
 WINDOW, LEAST_ANCHOR = 35, 12
@@ -88,15 +88,26 @@ def _places(h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(h), pa.array(key), pa.array(pos, pa.int32())], ["h", "key", "pos"])
 
 
+def text_key(text: str, id: str):
+    """The hash of id and text that a text is known by."""
+    return F.xxhash64(quoted(id), quoted(text).cast("string"))
+
+
 def keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
-    x = F.col(text).cast("string")
-    return docs.select(F.xxhash64(F.col(id), x).alias("key"), x.alias("text"))
+    return docs.select(text_key(text, id).alias("key"), quoted(text).cast("string").alias("text"))
+
 
+def repeated_only(counts: DataFrame, places) -> DataFrame:
+    """Per key, the positions of hashes that are met more than once.
 
-def repeated_only(counts: DataFrame, places: DataFrame) -> DataFrame:
-    """Per key, the positions of hashes that are met more than once."""
-    often = durable(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), free=True)
-    return durable(places.join(often, "h").groupBy("key").agg(F.collect_list("pos").alias("pos")), free=True)
+    places: makes (h, key, pos) of the hashes that a sieve lets through, so few others are moved.
+    """
+    often = durable(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near = durable(places(Sieve(often)))
+    out = durable(join_by_count(near, often, ["h"], "n", total).groupBy("key").agg(F.collect_list("pos").alias("pos")))
+    dropped(often, near)
+    return out
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -108,13 +119,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
             for _, _, data, off in blocks(batch.column(1)):
                 yield _counts(Words(data, off).anchors(window)[1])
 
-    def anchor_places(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for a, b, data, off in blocks(batch.column(1)):
-                w = Words(data, off)
-                at, h = w.anchors(window)
-                yield _places(h, keys[a:b][w.row[at]], w.index[at])
+    def anchor_places(sieve):
+        def run(batches):
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                for a, b, data, off in blocks(batch.column(1)):
+                    w = Words(data, off)
+                    at, h = w.anchors(window)
+                    on = sieve.passes(h)
+                    yield _places(h[on], keys[a:b][w.row[at[on]]], w.index[at[on]])
+
+        return rows.mapInArrow(run, "h long, key long, pos int")
 
     def extended(batches):
         for batch in batches:
@@ -136,19 +151,25 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
         for batch in batches:
             yield _counts(flat(batch, np.uint64, "hashes"))
 
-    def window_places(batches):
-        for batch in batches:
-            runs = flat(batch, np.int32, "pos").reshape(-1, 2)
-            long = runs[:, 1] - runs[:, 0]
-            pos = np.repeat(runs[:, 1] - np.cumsum(long), long) + np.arange(int(long.sum()))
-            size = np.asarray(pc.binary_length(batch.column("hashes"))) // 8
-            yield _places(flat(batch, np.uint64, "hashes"), np.repeat(batch.column("key").to_numpy(), size), pos)
+    def window_places(sieve):
+        def run(batches):
+            for batch in batches:
+                runs = flat(batch, np.int32, "pos").reshape(-1, 2)
+                long = runs[:, 1] - runs[:, 0]
+                pos = np.repeat(runs[:, 1] - np.cumsum(long), long) + np.arange(int(long.sum()))
+                size = np.asarray(pc.binary_length(batch.column("hashes"))) // 8
+                h = flat(batch, np.uint64, "hashes")
+                on = sieve.passes(h)
+                yield _places(h[on], np.repeat(batch.column("key").to_numpy(), size)[on], pos[on])
+
+        return near.mapInArrow(run, "h long, key long, pos int")
 
     # the windows' hashes are made durable, packed by text, so the texts move once
-    hits = repeated_only(rows.mapInArrow(anchor_counts, "h long, n int"), rows.mapInArrow(anchor_places, "h long, key long, pos int"))
-    near = durable(rows.join(hits, "key").select("key", "text", "pos").mapInArrow(extended, "key long, pos binary, hashes binary"), free=True)
-    del hits
-    return repeated_only(near.mapInArrow(window_counts, "h long, n int"), near.mapInArrow(window_places, "h long, key long, pos int"))
+    hits = repeated_only(rows.mapInArrow(anchor_counts, "h long, n int"), anchor_places)
+    near = durable(rows.join(hits, "key").select("key", "text", "pos").mapInArrow(extended, "key long, pos binary, hashes binary"))
+    out = repeated_only(near.mapInArrow(window_counts, "h long, n int"), window_places)
+    dropped(hits, near)
+    return out
 
 
 def run_ends(index: np.ndarray) -> np.ndarray:
@@ -169,9 +190,10 @@ def covered_words(w: Words, pos: pa.Array, window: int) -> np.ndarray:
 
 
 def with_windows(docs: DataFrame, window: int, text: str, id: str) -> DataFrame:
-    found = repeated_windows(docs, window, text, id).select(F.col("key").alias("_key"), F.col("pos").alias("_pos"))
-    let_go(docs.sparkSession)
-    return docs.withColumn("_key", F.xxhash64(F.col(id), F.col(text).cast("string"))).join(found, "_key", "left")
+    """(row, text, pos): all columns of docs as one struct, the text and the starts of its repeated windows."""
+    found = repeated_windows(docs, window, text, id)
+    rows = docs.select(boxed(docs).alias("row"), quoted(text).cast("string").alias("text"), text_key(text, id).alias("key"))
+    return rows.join(found, "key", "left").select("row", "text", "pos")
 
 
 def joined_words(data: np.ndarray, w: Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -200,7 +222,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = with_windows(docs.select("doc_id", "text"), window, "text", "doc_id")
-    return found.select("doc_id", F.col("text").cast("string").alias("text"), "_pos").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return found.select("row.doc_id", "text", "pos").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(data: np.ndarray, w: Words, gone: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -217,22 +239,20 @@ def cut(data: np.ndarray, w: Words, gone: np.ndarray, off: np.ndarray) -> tuple[
 
 def remove(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id") -> DataFrame:
     """docs with the words of repeated windows cut from the text; untouched texts stay byte for byte."""
-    schema, place = docs.schema, docs.columns.index(text)
+    schema = docs.schema
 
     def run(batches):
         for batch in batches:
-            n = batch.num_columns - 1
-            for a, b, data, off in blocks(batch.column(place)):
-                part = batch.slice(a, b - a)
+            for a, b, data, off in blocks(batch.column(1)):
                 w = Words(data, off)
-                gone = covered_words(w, part.column(n), window)
-                cols = part.columns[:n]
+                gone = covered_words(w, batch.column(2).slice(a, b - a), window)
+                texts = batch.column(1).slice(a, b - a)
                 if gone.any():
                     raw, at = cut(data, w, gone, off)
-                    nulls = cols[place].is_null().to_pylist()
-                    cols[place] = pa.array([None if x else raw[i:j].decode() for x, i, j in zip(nulls, at.tolist(), at[1:].tolist())], pa.string())
-                yield pa.RecordBatch.from_arrays(cols, docs_columns)
+                    texts = pa.array([None if x else raw[i:j].decode() for x, i, j in zip(texts.is_null().to_pylist(), at.tolist(), at[1:].tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts], ["row", "text"])
 
-    docs_columns = docs.columns
     found = with_windows(docs, window, text, id)
-    return found.select(*docs_columns, "_pos").mapInArrow(run, schema)
+    new = found.mapInArrow(run, found.select("row", "text").schema)
+    kind = schema[text].dataType
+    return new.select(*(F.col("text").cast(kind).alias(text) if f.name == text else F.col("row").getField(f.name).alias(f.name) for f in schema.fields))
