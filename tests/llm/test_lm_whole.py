@@ -1,26 +1,31 @@
-"""The language model keeps every word and pair, however large its filter."""
-
-import random
+"""The model's score: the same for a filter that is broadcast and one that stays dealt, and better than the base."""
 
 import pytest
 
 from lexroute.llm import lm
+from lexroute.llm.sparkops import fold, table
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rng = random.Random(7)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(900)]
-    return spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(80)], "doc_id long, text string")
+    return table(spark, SF, "documents").select("doc_id", "text")
 
 
-def test_scores_do_not_depend_on_the_bytes_of_a_part(docs, monkeypatch):
+def test_scores_do_not_depend_on_how_the_filter_is_dealt(docs):
     whole = sorted(map(tuple, lm.score(docs).collect()))
-    monkeypatch.setattr(lm, "MOST_BYTES", 1 << 11)
-    cut = sorted(map(tuple, lm.score(docs).collect()))
-    assert len(lm.build(lm.gram_counts(docs), 4)[0]) > 3
-    for x, y in zip(whole, cut, strict=True):
-        assert x == pytest.approx(y)
+    for part_bytes in (1 << 11, 1 << 16):
+        parts = sorted(map(tuple, lm.score(docs, broadcast_bytes=0, part_bytes=part_bytes).collect()))
+        assert [r[:4] for r in parts] == [r[:4] for r in whole]
+        assert [x for r in parts for x in r[4:]] == pytest.approx([x for r in whole for x in r[4:]])
+
+
+def test_held_out_texts_are_scored_better_than_by_the_base(docs):
+    rows = lm.score(docs, fold("doc_id", 5) != 1).join(docs.filter(fold("doc_id", 5) == 1).select("doc_id"), "doc_id").collect()
+    assert sum(r["score"] for r in rows) > 0.95 * sum(r["base_score"] for r in rows)
+    assert sum(r["score"] >= r["base_score"] for r in rows) > 0.6 * len(rows)
+    assert all(r["score"] < 0 for r in rows)
 
 
 def test_pairs_met_once_count(spark):
