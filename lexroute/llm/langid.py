@@ -18,7 +18,8 @@ a text with a score over one half.
 
 Null text or text without a letter: lang_pred "und", score 0, rejected. Without any labelled
 row all texts have lang_pred "und" and score 0, and only those without a letter are rejected.
-Languages are all non-null labels. Every input row gives one row; other columns are ignored.
+Languages are all non-null labels. Every input row gives one row; other columns are ignored,
+or pass through `keep_known`, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexroute.llm.sparkops import boxed, quoted, unboxed
 from lexroute.llm.textops import LOWER, blocks
 
 BUCKETS, DIM = 1 << 15, 16
@@ -157,7 +159,7 @@ def one(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, where=None, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     """Trains on a bounded sample of the labelled rows of docs that satisfy where."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
     known = known.filter(where) if where is not None else known
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
     if not sizes:
@@ -177,18 +179,28 @@ def has_letter(col: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return has
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """Per document: its id (or the columns in keep), lang_pred, score and whether it is rejected."""
-    keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Model | None, id: str = "doc_id") -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) of every row."""
+    out = judged(docs.select(F.struct(quoted(id).alias("doc_id")).alias("row"), F.col("text").cast("string").alias("text")), model)
+    return out.select("row.doc_id", "lang_pred", "score", "rejected")
+
+
+def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that are not rejected, with their own columns only."""
+    out = judged(docs.select(boxed(docs).alias("row"), F.col("text").cast("string").alias("text")), model)
+    return unboxed(out.filter("not rejected"), "row", docs.schema)
+
+
+def judged(rows: DataFrame, model: Model | None) -> DataFrame:
+    """(row, lang_pred, score, rejected) of every (row, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            col = batch.column(len(keep))
-            for a, b, data, off in blocks(col):
+            for a, b, data, off in blocks(batch.column(1)):
                 part = batch.slice(a, b - a)
-                ok = has_letter(part.column(len(keep)), data, off)
+                ok = has_letter(part.column(1), data, off)
                 if m is None:
                     lang, score, no = ["und"] * (b - a), np.zeros(b - a), ~ok
                 else:
@@ -196,10 +208,9 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     lang = [m.langs[i] if f else "und" for i, f in zip(k, ok)]
                     score = np.where(ok, np.clip(score, 0, 1), 0.0)
                     no = ~ok | (score < m.threshold)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(no)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(no)], ["row", "lang_pred", "score", "rejected"])
 
-    names = [*keep, "lang_pred", "score", "rejected"]
-    schema = docs.select(*keep).schema
+    schema = rows.select("row").schema
     for n, t in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
         schema = schema.add(n, t)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
