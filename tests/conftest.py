@@ -3,7 +3,9 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+def spark(tmp_path_factory):
+    builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    builder = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+    s = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
