@@ -8,11 +8,18 @@ Spark turns into a per-partition group limit before the shuffle.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from lexroute.functions.text import cosine, index_tokens
+from lexroute.functions.text import index_tokens
 
+DIM = 64
 K1, B, RRF_K, DEPTH, TOP = 1.2, 0.75, 60, 20, 10
 #: Words of a run that a document and a passage must share to be compared.
 RUN = 5
@@ -92,11 +99,85 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return both.filter(F.contains("text", "query")).select("query_id", "doc_id").union(plain.select("query_id", "doc_id"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP, where: Column | None = None) -> DataFrame:
-    """Exact cosine top-k: queries (query_id, q) against every vector that passes the filter."""
-    pool = vectors.filter(where) if where is not None else vectors
-    scored = pool.select(F.col("vec_id").alias("doc_id"), "embedding").join(queries.select("query_id", "q")).select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top_k(scored, k, F.desc("score"), F.asc("doc_id"))
+#: Bytes of query vectors that are sent to the workers at once; more go in several passes.
+QUERY_BYTES = 32 << 20
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def hashed_embedding(text: pd.Series) -> pd.Series:
+    """The default embedder: counts of tokens in DIM places by their hash. Any Pandas UDF of a text can stand in for it."""
+    place: dict[str, int] = {}
+
+    def one(t):
+        v = [0.0] * DIM
+        for w in re.findall("[a-z0-9]+", (t or "").lower()):
+            if w not in place:
+                place[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % DIM
+            v[place[w]] += 1
+        return v
+
+    return text.map(one)
+
+
+def unit_rows(values: list) -> np.ndarray:
+    """Rows of length one; NaN for those that are null, empty, zero or hold a null."""
+    dim = max((len(v) for v in values if v is not None), default=1)
+    out = np.array([np.full(dim, np.nan) if v is None or len(v) != dim else np.asarray(v, dtype=float) for v in values]).reshape(len(values), dim)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.sqrt((out * out).sum(1, keepdims=True))
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP, where: Column | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Exact cosine top-k: queries (query_id, q) against every vector that passes the filter, as matrix products.
+
+    Queries travel in passes of QUERY_BYTES, so what is broadcast is bounded; of each batch of vectors
+    only those that may be in a query's first k leave the worker.
+    """
+    pool = (vectors.filter(where) if where is not None else vectors).select(F.col(id).alias("doc_id"), F.col(vector).alias("v"))
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {pool.schema['doc_id'].dataType.simpleString()}, score double"
+    sized = queries.filter("q is not null").select("query_id", "q")
+    width = sized.select(F.max(F.size("q"))).first()[0] or 1
+    each, parts = max(1, QUERY_BYTES // (8 * width)), 1
+    total = sized.count()
+    parts = max(1, -(-total // each))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts))) if parts > 1 else sized.withColumn("part", F.lit(0))
+
+    def scored(part: int) -> DataFrame:
+        rows = dealt.filter(F.col("part") == part).select("query_id", "q").collect()  # about QUERY_BYTES
+        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], unit_rows([r[1] for r in rows])))
+
+        def run(batches):
+            ids, q = shared.value
+            for pdf in batches:
+                if not len(pdf) or not ids:
+                    continue
+                x = unit_rows(pdf["v"].tolist())
+                if x.shape[1] != q.shape[1]:
+                    continue
+                s, docs = np.round(q @ x.T, 6), pdf["doc_id"].to_numpy()
+                for i, row in enumerate(s):
+                    ok = np.flatnonzero(~np.isnan(row))
+                    if len(ok) > k:
+                        ok = ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k]]
+                    if len(ok):
+                        yield pd.DataFrame({"query_id": [ids[i]] * len(ok), "doc_id": docs[ok], "score": row[ok]})
+
+        return pool.mapInPandas(run, kind)
+
+    out = scored(0)
+    for part in range(1, parts):
+        out = out.union(scored(part))
+    return top_k(out, k, F.desc("score"), F.asc("doc_id"))
+
+
+def dense_texts(docs: DataFrame, queries: DataFrame, k: int = TOP, embed=hashed_embedding) -> DataFrame:
+    """Dense retrieval of texts with any embedder."""
+    return dense(docs.select("doc_id", embed("text").alias("embedding")), queries.select("query_id", embed("query").alias("q")), k, id="doc_id")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int = TOP, embed=hashed_embedding) -> DataFrame:
+    """The dense and the lexical list, DEPTH deep each, fused by ranks."""
+    return rrf([dense_texts(docs, queries, DEPTH, embed), bm25(docs, queries, DEPTH)], k)
 
 
 def rrf(lists: list[DataFrame], k: int = TOP, rrf_k: int = RRF_K) -> DataFrame:
@@ -111,7 +192,8 @@ def rrf(lists: list[DataFrame], k: int = TOP, rrf_k: int = RRF_K) -> DataFrame:
 def overlap_scores(first: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The deterministic second-stage scorer: share of distinct query tokens in the passage."""
     q = queries.select("query_id", F.array_distinct(index_tokens(F.col("query"))).alias("qt"))
-    d = docs.select("doc_id", F.array_distinct(index_tokens(F.col("text"))).alias("dt"))
+    asked = docs.select("doc_id", "text").join(first.select("doc_id").distinct(), "doc_id", "left_semi")  # texts of candidates alone
+    d = asked.select("doc_id", F.array_distinct(index_tokens(F.col("text"))).alias("dt"))
     both = first.join(q, "query_id").join(d, "doc_id")
     return both.select("query_id", "doc_id", F.col("score").alias("first_score"), F.col("rank").alias("first_rank"), F.round(F.size(F.array_intersect("qt", "dt")) / F.greatest(F.size("qt"), F.lit(1)), 6).alias("score"))
 

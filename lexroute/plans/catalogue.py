@@ -6,10 +6,11 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from lexroute.functions import sessions
 from lexroute.functions import text as T
-from lexroute.operators import metrics, retrieval
+from lexroute.operators import chunking, gates, inference, metrics, retrieval, routing, signals
 from lexroute.operators.text_scores import rouge_l
-from lexroute.plans import analytics, statistics
+from lexroute.plans import analytics, oracles, statistics
 
 
 def _t(spark, sf_dir, name):
@@ -54,10 +55,8 @@ def dense_filter_in(spark, sf_dir):
 
 
 def hybrid_rrf_top10(spark, sf_dir):
-    """Lexical ranking fused with a second list: the same candidates by the overlap scorer."""
-    docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
-    first = retrieval.bm25(docs, bench, retrieval.DEPTH)
-    return retrieval.rrf([first, retrieval.rerank(first, docs, bench, retrieval.DEPTH)])
+    """A dense and a lexical ranking of the texts, fused by ranks."""
+    return retrieval.hybrid(_t(spark, sf_dir, "documents"), _bench(spark, sf_dir))
 
 
 def rerank_top10(spark, sf_dir):
@@ -78,45 +77,153 @@ def metric_means(spark, sf_dir):
     return eval_rows(spark, sf_dir).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in ("recall", "precision", "hit", "mrr", "ndcg")))
 
 
+def _turns(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+
+
 def query_features(spark, sf_dir):
-    x = _t(spark, sf_dir, "conversations").filter("role = 'user'")
-    low = F.lower(F.trim(F.col("text")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z0-9][A-Za-z0-9\-_.]*)"), 1)
-    kind = F.when(low.rlike(r"\b(compare|versus|vs|difference)\b"), "comparison").when(low.rlike(r"\b(define|definition|meaning)\b"), "definition").when(low.rlike("^how (many|much)"), "quantity")
-    for first in ("what", "why", "how", "who", "when", "where", "which"):
-        kind = kind.when(F.startswith(low, F.lit(first)), first)
-    n = F.size(words)
-    return x.select("conv_id", "turn", n.alias("n_words"), F.size(F.filter(words, lambda w: w.rlike(r"^[A-Z]{2,}$|\d|-|_"))).alias("n_entities"), kind.otherwise("other").alias("kind"), T.token_estimate(F.col("text")).alias("n_tokens"), F.round(F.least(F.lit(1.0), n / 20), 6).alias("complexity"))
+    return routing.features(_turns(spark, sf_dir)).drop("query")
 
 
 def route_decisions(spark, sf_dir):
-    """Scores per strategy less a cost share; ties go to the earlier strategy."""
-    f = query_features(spark, sf_dir)
-    cost = {"bm25": 2.25, "dense": 451.78, "hybrid": 455.97, "hybrid_rerank": 3854.41}
-    w = {"bm25": (0.2, 0.6), "dense": (0.5, 0.1), "hybrid": (0.45, 0.3), "hybrid_rerank": (0.6, 0.3)}
-    entity = F.least(F.lit(1.0), F.try_divide(F.col("n_entities") * 2.0, F.col("n_words").cast("double")))
-    scored = F.array(*(F.struct((-F.round(w[s][0] * F.col("complexity") + w[s][1] * F.coalesce(entity, F.lit(0.0)) - 0.1 * c / cost["hybrid_rerank"], 6)).alias("k"), F.lit(i).alias("o"), F.lit(s).alias("s")) for i, (s, c) in enumerate(cost.items())))
-    best = F.array_sort(scored)
-    return f.select("conv_id", "turn", best[0]["s"].alias("strategy"), (-best[0]["k"]).alias("score"), F.round(F.coalesce(F.try_divide(best[1]["k"] - best[0]["k"], F.abs(best[0]["k"]) + F.abs(best[1]["k"])), F.lit(0.0)), 6).alias("confidence"))
+    return routing.route(routing.features(_turns(spark, sf_dir))).select("conv_id", "turn", "strategy", "score", "confidence")
+
+
+def rejected_queries(spark, sf_dir):
+    return routing.rejected(_turns(spark, sf_dir)).select("conv_id", "turn", "reason")
 
 
 def sufficiency(spark, sf_dir):
-    """Weighted mean of result count, term coverage of the top five and of the first."""
-    docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
-    top = retrieval.bm25(docs, bench, 5).join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
-    packed = top.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "low"))).alias("hits"))
-    terms = F.filter(F.array_distinct(T.metric_tokens(F.col("query"))), lambda t: F.length(t) > 3)
-    both = bench.join(packed, "query_id", "left").select("query_id", terms.alias("terms"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join(F.transform("hits", lambda h: h["low"]), " "), F.lit("")).alias("hay"), F.coalesce(F.try_element_at("hits", F.lit(1))["low"], F.lit("")).alias("one"))
-    score = (F.least(F.lit(1.0), F.col("n") / 3) + T.substring_coverage(F.col("terms"), F.col("hay")) + 0.5 * T.substring_coverage(F.col("terms"), F.col("one"))) / 2.5
-    return both.select("query_id", "n", F.round(score, 6).alias("score"), (F.round(score, 6) >= 0.6).alias("sufficient"))
+    """Of the lexical results of each benchmark query."""
+    return routing.sufficient(routing.features(_bench(spark, sf_dir)), bm25_top10(spark, sf_dir), _t(spark, sf_dir, "documents"))
 
 
 def adaptive_results(spark, sf_dir):
-    """Lexical first; queries found insufficient escalate once, and the fused result replaces the first."""
-    enough = sufficiency(spark, sf_dir).select("query_id", "sufficient")
-    first = bm25_top10(spark, sf_dir).join(enough.filter("sufficient"), "query_id", "left_semi").select("query_id", "doc_id", "rank", F.lit("bm25").alias("strategy"))
-    second = hybrid_rrf_top10(spark, sf_dir).join(enough.filter("not sufficient"), "query_id", "left_semi").select("query_id", "doc_id", "rank", F.lit("hybrid").alias("strategy"))
-    return first.union(second)
+    """Each query runs on the strategy it is routed to; one whose evidence is insufficient runs once more, on the next rung, and that replaces the first."""
+    docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
+    routed = routing.route(routing.features(bench))
+
+    def run(strategy, queries):
+        if strategy == "bm25":
+            return retrieval.bm25(docs, queries)
+        if strategy == "dense":
+            return retrieval.dense_texts(docs, queries)
+        return retrieval.hybrid(docs, queries) if strategy == "hybrid" else retrieval.rerank(retrieval.hybrid(docs, queries, retrieval.DEPTH), docs, queries)
+
+    def results(asked, column):
+        used = [r[0] for r in asked.select(column).distinct().collect()]  # at most four
+        parts = [run(s, asked.filter(F.col(column) == s)).select("query_id", "doc_id", "rank", F.lit(s).alias("strategy")) for s in sorted(used)]
+        out = spark.createDataFrame([], "query_id long, doc_id long, rank int, strategy string") if not parts else parts[0]
+        for x in parts[1:]:
+            out = out.union(x)
+        return out
+
+    routed = sessions.cut(routed)
+    first = sessions.cut(results(routed, "strategy"))
+    judged = routed.join(routing.sufficient(routed, first, docs).select("query_id", "sufficient"), "query_id")
+    after = sessions.cut(routing.escalation(judged).select("query_id", "query", "escalated", "to_strategy", "reason"))
+    again = results(after.filter("escalated"), "to_strategy")
+    return first.join(after.filter("not escalated").select("query_id"), "query_id").union(again).join(after.select("query_id", "escalated", "reason"), "query_id")
+
+
+def pair_signals(spark, sf_dir):
+    """All signals between the lexical and the dense ranking of a query."""
+    docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
+    return signals.pair_signals(retrieval.bm25(docs, bench), retrieval.dense_texts(docs, bench))
+
+
+def hybrid_change(spark, sf_dir):
+    """What fusion brings into the dense top five, and where it comes from."""
+    docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
+    lists = [signals.ranked_lists(x, n) for x, n in ((retrieval.dense_texts(docs, bench), "d"), (retrieval.hybrid(docs, bench), "h"), (retrieval.bm25(docs, bench), "b"))]
+    rel = qrels(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("rel"))
+    x = lists[0].join(lists[1], "query_id").join(lists[2], "query_id").join(rel, "query_id", "left").withColumn("rel", F.coalesce("rel", F.array().cast("array<bigint>")))
+    return x.select("query_id", *(c.alias(n) for n, c in signals.change(F.col("d_ids"), F.col("h_ids"), F.col("b_ids"), F.col("rel")).items()))
+
+
+def _records(spark, sf_dir):
+    """Users as queries: the clicks' mean as the cheap arm, the purchases' as the dear one, the views' as a signal."""
+    x = _t(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.avg("value"))
+    one = x.select("user_id", F.col("view").alias("signal"), F.col("click").alias("cheap"), F.col("purchase").alias("dear"), F.col("click").alias("cheap_ms"), (F.col("purchase") * 10).alias("dear_ms"))
+    return one.filter("cheap is not null and dear is not null")
+
+
+def decile_cuts(spark, sf_dir):
+    return signals.decile_cuts(_records(spark, sf_dir), "signal").select(F.round("cut", 6).alias("cut"))
+
+
+def _swept(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    cuts = signals.decile_cuts(records, "signal")
+    return signals.sweep(records, "signal", cuts, "high").union(signals.sweep(records, "signal", cuts, "low"))
+
+
+def rule_sweep(spark, sf_dir):
+    return _swept(spark, sf_dir).select("signal", "direction", "n", "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("cut", "rate", "quality", "error", "clock", "agreement")))
+
+
+def selected_rule(spark, sf_dir):
+    return signals.select_rule(_swept(spark, sf_dir))
+
+
+def separation_check(spark, sf_dir):
+    d = F.col("dear") - F.col("cheap")
+    grouped = _records(spark, sf_dir).withColumn("grp", F.when(d >= 0.01, "helps").when(d <= -0.01, "harms").otherwise("ties"))
+    return signals.separation(grouped, ["signal", "cheap", "dear"])
+
+
+def paired_tests(spark, sf_dir):
+    """Signed-rank and sign tests of event types against each other, with seeded intervals and step-down adjustment."""
+    x = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
+    pairs = x.alias("a").join(x.alias("b"), "user_id").filter("a.event_type < b.event_type").select(F.col("a.event_type").alias("a"), F.col("b.event_type").alias("b"), F.round(F.col("a.v") - F.col("b.v"), 9).alias("d"))
+    return inference.holm(inference.compare(pairs, ["a", "b"]).withColumn("family", F.lit("value")), "p", ["family"])
+
+
+def dup_pairs(spark, sf_dir):
+    return gates.duplicate_pairs(_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query"))
+
+
+def dup_screen(spark, sf_dir):
+    q = _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query")
+    return gates.accepted(sessions.cut(gates.duplicate_pairs(q)), q)
+
+
+def dq_structure(spark, sf_dir):
+    return gates.structure(_t(spark, sf_dir, "documents"), "doc_id", "text", categories=("lang", ["en", "de"]))
+
+
+def dq_grounding(spark, sf_dir):
+    """Whether the documents said to hold a passage do: each document against the passage of its number modulo that of passages."""
+    docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
+    quotes = docs.select("doc_id", (F.col("doc_id") % 40).alias("query_id")).join(bench, "query_id").select(F.col("doc_id").alias("example_id"), (F.col("doc_id") + 1).alias("doc_id"), F.col("query").alias("quote"))
+    return gates.grounding(quotes, docs)
+
+
+def dq_same_ids(spark, sf_dir):
+    return gates.same_ids(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+def dq_quotas(spark, sf_dir):
+    wanted = spark.createDataFrame([("en", 100), ("de", 100), ("xx", 1)], "lang string, expected long")
+    return gates.quotas(_t(spark, sf_dir, "documents"), "lang", wanted)
+
+
+def section_chunks(spark, sf_dir):
+    """Chunks of raw pages by their headings, as digests."""
+    x = html_elements(spark, sf_dir)
+    kind = F.when(F.col("kind").like("h%"), "heading").otherwise("paragraph")
+    level = F.when(F.col("kind").like("h%"), F.substring("kind", 2, 1).cast("int"))
+    out = chunking.chunk(x.select("page_id", "position", kind.alias("kind"), level.alias("level"), "text"))
+    return out.select("page_id", "ordinal", "section", "n_tokens", "oversized", F.md5("text").alias("digest"))
+
+
+def generation_metrics(spark, sf_dir):
+    """Assistant turns as answers, the turn before as reference: rates and means, each over its own rows."""
+    c = _t(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    empty, cited = F.coalesce(F.trim("text"), F.lit("")) == "", F.size(T.citations(F.col("text"))) > 0
+    one = c.agg(F.count("*").alias("answer_count"), F.round(F.avg(empty.cast("double")), 6).alias("empty_rate"), F.round(F.avg(F.when(~empty, cited.cast("double"))), 6).alias("citation_coverage"))
+    f1 = token_f1(spark, sf_dir).join(c.select("conv_id", "turn"), ["conv_id", "turn"]).agg(F.round(F.avg("f1"), 5).alias("token_f1"))
+    return one.join(F.broadcast(f1))  # one row each
 
 
 def pair_agreement(spark, sf_dir):
@@ -161,10 +268,12 @@ def citations(spark, sf_dir):
 
 
 def context_pack(spark, sf_dir):
-    """Passages by rank under a token budget; the first is always kept, oversize ones are skipped."""
+    """Rendered passages by rank under a token budget; the first is always kept, oversize ones are skipped, five at most."""
     docs = _t(spark, sf_dir, "documents")
-    top = bm25_top10(spark, sf_dir).join(docs.select("doc_id", T.token_estimate(F.col("text")).alias("k")), "doc_id")
-    runs = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "k"))).alias("xs"))
+    top = bm25_top10(spark, sf_dir).join(docs.select("doc_id", F.coalesce("source", F.lit("N/A")).alias("title"), F.trim("text").alias("text")), "doc_id")
+    # the number of a source in its block has one digit, whichever it will be
+    block = F.concat(F.lit("[Source 1]\nTitle: "), "title", F.lit("\nSection: General\nPages: N/A\nScore: "), F.format_string("%.3f", "score"), F.lit("\n"), "text")
+    runs = top.withColumn("k", T.token_estimate(block)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "k"))).alias("xs"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda a, x: F.when((F.size(a["ids"]) < 5) & ((F.size(a["ids"]) == 0) | (a["used"] + x["k"] <= 2000)), F.struct((a["used"] + x["k"]).alias("used"), F.concat(a["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(a)
     return runs.select("query_id", F.aggregate("xs", start, step).alias("p")).select("query_id", "p.used", "p.ids")
@@ -227,7 +336,6 @@ ORACLE = {
     "dense_top10": _DENSE.replace("WHERE_", ""),
     "dense_filter_in": _DENSE.replace("WHERE_", "and v.label in (1, 2, 3)"),
     "rerank_top10": f"{_BM0}, {_RR} select query_id, doc_id, score, rank, first_rank from rr where rank <= 10",
-    "hybrid_rrf_top10": f"{_BM0}, {_RR}, u as (select query_id, doc_id, rank from b20 union all select query_id, doc_id, rank from rr), f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, min(rank) as best from u group by all), z as (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, best, doc_id) as int) as rank from f) select * from z where rank <= 10",
     "qrels": f"with {_QREL} select * from rel",
     "eval_rows": f"{_EVAL} select * from e",
     "metric_means": f"{_EVAL} select count(*) as n, round(avg(recall), 4) as recall, round(avg(precision), 4) as precision, round(avg(hit), 4) as hit, round(avg(mrr), 4) as mrr, round(avg(ndcg), 4) as ndcg from e",
@@ -238,7 +346,7 @@ ORACLE = {
     "token_f1": "with k as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as t from conversations), x as (select conv_id, turn, u.t, count(*) as n from (select conv_id, turn, unnest(t) as t from k) u group by all), c as (select a.conv_id, a.turn, sum(least(a.n, b.n)) as c from x a join x b on a.conv_id = b.conv_id and a.turn = b.turn + 1 and a.t = b.t group by all) select a.conv_id, a.turn, round(coalesce(2.0::double * coalesce(c.c, 0) / nullif(len(a.t) + len(b.t), 0), 0), 6) as f1 from k a join k b on a.conv_id = b.conv_id and a.turn = b.turn + 1 left join c on c.conv_id = a.conv_id and c.turn = a.turn",
 }
 
-_QUERIES = (hybrid_rrf_top10, rouge_l_turns, section_paths, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
+_QUERIES = (rejected_queries, pair_signals, hybrid_change, decile_cuts, rule_sweep, selected_rule, separation_check, paired_tests, dup_pairs, dup_screen, dq_structure, dq_grounding, dq_same_ids, dq_quotas, section_chunks, generation_metrics, hybrid_rrf_top10, rouge_l_turns, section_paths, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
 
 
 def queries() -> dict:
@@ -246,4 +354,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}
+    return ORACLE | oracles.sql(_BM0, _RANK, _TOK, _QREL) | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}
