@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as the session names it; one of our own in local mode alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = tempfile.mkdtemp(prefix="lexroute-")
+    return _own[key]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder the session names; one of our own in local mode alone."""
+    """df.checkpoint() in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexroute-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -1,9 +1,8 @@
 """Lexical, dense and fused retrieval for batches of queries.
 
-Queries are a table: each operator is one plan for all of them. Postings are
-aggregated with map-side combine; term and corpus statistics are small next to
-them and Spark decides by size whether to broadcast. Top-k uses row_number() <= k, which
-Spark turns into a per-partition group limit before the shuffle.
+Queries are a table: each operator is one plan for all of them. The words asked for
+are few next to the postings and Spark decides by size whether to broadcast them. Top-k uses
+row_number() <= k, which Spark turns into a per-partition group limit before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lexroute.functions.text import index_tokens
+from lexroute.operators.lexical_index import LexicalIndex, idf
 
 DIM = 64
 K1, B, RRF_K, DEPTH, TOP = 1.2, 0.75, 60, 20, 10
@@ -25,48 +25,21 @@ K1, B, RRF_K, DEPTH, TOP = 1.2, 0.75, 60, 20, 10
 RUN = 5
 
 
-def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf)"""
-    return docs.select(F.col(id).alias("doc_id"), F.explode(index_tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def lengths(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(id).alias("doc_id"), F.size(index_tokens(F.col(text))).cast("long").alias("dl"))
-
-
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    return lengths(docs).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.round(F.avg("dl"), 6).alias("avgdl"))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5) + 1))
-
-
-def term_stats(docs: DataFrame) -> DataFrame:
-    n = docs.agg(F.count("*").alias("n"))
-    df = postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return df.join(F.broadcast(n)).select("term", "df", "cf", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))  # n: one row
-
-
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP, where: Column | None = None, threshold: float | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank). Statistics are those of all docs; the filter applies before ranking."""
+def bm25(index: LexicalIndex, queries: DataFrame, k: int = TOP, among: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank). Statistics are those of the whole index; `among` (doc_id) applies before ranking.
+
+    Postings stay where they are: they meet the asked terms, which are as many as the queries' words.
+    """
     terms = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    one = lengths(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    every = postings(docs)
-    # lengths from the postings: an aggregate, so that no text is tokenised again for each matching row of a join
-    dl = every.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    hits = every.join(terms.select("term").distinct(), "term", "left_semi")  # only terms that are asked for
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    allowed = docs.filter(where).select("doc_id") if where is not None else None
-    if allowed is not None:
-        hits = hits.join(allowed, "doc_id", "left_semi")
-    norm = dl.join(F.broadcast(one)).select("doc_id", "n", (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("norm"))  # one: a single row
-    weighted = hits.join(norm, "doc_id").join(df, "term").select("doc_id", "term", (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("w"))
-    scored = weighted.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    one = F.broadcast(index.stats)  # a single row
+    asked = terms.join(index.terms, "term").join(one).select("query_id", "term", (idf(F.col("n_docs"), F.col("df")) * (K1 + 1) * F.col("qtf")).alias("w"))
+    hits = index.postings if among is None else index.postings.join(among.select("doc_id"), "doc_id", "left_semi")
+    hits = hits.join(one).select("doc_id", "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
+    scored = hits.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)
     return top_k(scored, k, F.desc("score"), F.asc("doc_id"))
@@ -175,9 +148,9 @@ def dense_texts(docs: DataFrame, queries: DataFrame, k: int = TOP, embed=hashed_
     return dense(docs.select("doc_id", embed("text").alias("embedding")), queries.select("query_id", embed("query").alias("q")), k, id="doc_id")
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = TOP, embed=hashed_embedding) -> DataFrame:
+def hybrid(docs: DataFrame, index: LexicalIndex, queries: DataFrame, k: int = TOP, embed=hashed_embedding) -> DataFrame:
     """The dense and the lexical list, DEPTH deep each, fused by ranks."""
-    return rrf([dense_texts(docs, queries, DEPTH, embed), bm25(docs, queries, DEPTH)], k)
+    return rrf([dense_texts(docs, queries, DEPTH, embed), bm25(index, queries, DEPTH)], k)
 
 
 def rrf(lists: list[DataFrame], k: int = TOP, rrf_k: int = RRF_K) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexroute.functions import sessions
 from lexroute.functions import text as T
-from lexroute.operators import chunking, gates, inference, metrics, retrieval, routing, signals
+from lexroute.operators import chunking, gates, inference, lexical_index, metrics, retrieval, routing, signals
 from lexroute.operators.text_scores import rouge_l
 from lexroute.plans import analytics, oracles, statistics
 
@@ -26,24 +26,35 @@ def _dense_queries(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
+def _index(spark, sf_dir):
+    """The index of all documents: made at first use, then read."""
+    return lexical_index.kept(_t(spark, sf_dir, "documents"))
+
+
+def lexical_index_build(spark, sf_dir):
+    """The postings of all documents, computed anew."""
+    return lexical_index.of(_t(spark, sf_dir, "documents")).postings
+
+
 def term_stats(spark, sf_dir):
-    return retrieval.term_stats(_t(spark, sf_dir, "documents"))
+    index = _index(spark, sf_dir)
+    return index.terms.join(F.broadcast(index.stats)).select("term", "df", "cf", F.round(lexical_index.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))  # stats: one row
 
 
 def corpus_stats(spark, sf_dir):
-    return retrieval.corpus_stats(_t(spark, sf_dir, "documents"))
+    return _index(spark, sf_dir).stats.select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_top10(spark, sf_dir):
-    return retrieval.bm25(_t(spark, sf_dir, "documents"), _bench(spark, sf_dir))
+    return retrieval.bm25(_index(spark, sf_dir), _bench(spark, sf_dir))
 
 
 def bm25_filtered(spark, sf_dir):
-    return retrieval.bm25(_t(spark, sf_dir, "documents"), _bench(spark, sf_dir), where=F.col("lang") == "en")
+    return retrieval.bm25(_index(spark, sf_dir), _bench(spark, sf_dir), among=_t(spark, sf_dir, "documents").filter("lang = 'en'"))
 
 
 def bm25_threshold(spark, sf_dir):
-    return retrieval.bm25(_t(spark, sf_dir, "documents"), _bench(spark, sf_dir), threshold=50.0)
+    return retrieval.bm25(_index(spark, sf_dir), _bench(spark, sf_dir), threshold=50.0)
 
 
 def dense_top10(spark, sf_dir):
@@ -56,12 +67,12 @@ def dense_filter_in(spark, sf_dir):
 
 def hybrid_rrf_top10(spark, sf_dir):
     """A dense and a lexical ranking of the texts, fused by ranks."""
-    return retrieval.hybrid(_t(spark, sf_dir, "documents"), _bench(spark, sf_dir))
+    return retrieval.hybrid(_t(spark, sf_dir, "documents"), _index(spark, sf_dir), _bench(spark, sf_dir))
 
 
 def rerank_top10(spark, sf_dir):
     docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
-    return retrieval.rerank(retrieval.bm25(docs, bench, retrieval.DEPTH), docs, bench)
+    return retrieval.rerank(retrieval.bm25(_index(spark, sf_dir), bench, retrieval.DEPTH), docs, bench)
 
 
 def qrels(spark, sf_dir):
@@ -101,14 +112,14 @@ def sufficiency(spark, sf_dir):
 def adaptive_results(spark, sf_dir):
     """Each query runs on the strategy it is routed to; one whose evidence is insufficient runs once more, on the next rung, and that replaces the first."""
     docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
-    routed = routing.route(routing.features(bench))
+    index, routed = _index(spark, sf_dir), routing.route(routing.features(bench))
 
     def run(strategy, queries):
         if strategy == "bm25":
-            return retrieval.bm25(docs, queries)
+            return retrieval.bm25(index, queries)
         if strategy == "dense":
             return retrieval.dense_texts(docs, queries)
-        return retrieval.hybrid(docs, queries) if strategy == "hybrid" else retrieval.rerank(retrieval.hybrid(docs, queries, retrieval.DEPTH), docs, queries)
+        return retrieval.hybrid(docs, index, queries) if strategy == "hybrid" else retrieval.rerank(retrieval.hybrid(docs, index, queries, retrieval.DEPTH), docs, queries)
 
     def results(asked, column):
         used = [r[0] for r in asked.select(column).distinct().collect()]  # at most four
@@ -129,13 +140,13 @@ def adaptive_results(spark, sf_dir):
 def pair_signals(spark, sf_dir):
     """All signals between the lexical and the dense ranking of a query."""
     docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
-    return signals.pair_signals(retrieval.bm25(docs, bench), retrieval.dense_texts(docs, bench))
+    return signals.pair_signals(retrieval.bm25(_index(spark, sf_dir), bench), retrieval.dense_texts(docs, bench))
 
 
 def hybrid_change(spark, sf_dir):
     """What fusion brings into the dense top five, and where it comes from."""
-    docs, bench = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir)
-    lists = [signals.ranked_lists(x, n) for x, n in ((retrieval.dense_texts(docs, bench), "d"), (retrieval.hybrid(docs, bench), "h"), (retrieval.bm25(docs, bench), "b"))]
+    docs, bench, index = _t(spark, sf_dir, "documents"), _bench(spark, sf_dir), _index(spark, sf_dir)
+    lists = [signals.ranked_lists(x, n) for x, n in ((retrieval.dense_texts(docs, bench), "d"), (retrieval.hybrid(docs, index, bench), "h"), (retrieval.bm25(index, bench), "b"))]
     rel = qrels(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("rel"))
     x = lists[0].join(lists[1], "query_id").join(lists[2], "query_id").join(rel, "query_id", "left").withColumn("rel", F.coalesce("rel", F.array().cast("array<bigint>")))
     return x.select("query_id", *(c.alias(n) for n, c in signals.change(F.col("d_ids"), F.col("h_ids"), F.col("b_ids"), F.col("rel")).items()))
@@ -328,6 +339,7 @@ case when coalesce(found, 0) > 0 then round(dcg / list_sum(list_transform(range(
 _DENSE = "with c as (select q.vec_id as query_id, v.vec_id as doc_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))), 6) as score from embeddings q cross join embeddings v where q.vec_id % 50 = 0 WHERE_), r as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from c) select * from r where rank <= 10"
 
 ORACLE = {
+    "lexical_index_build": f"with {_POST} select doc_id, term, tf, sum(tf) over (partition by doc_id)::bigint as dl from post",
     "term_stats": f"with {_POST}, n as (select count(*) as n from documents) select term, count(*) as df, sum(tf)::bigint as cf, round(ln((max(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) as idf from post cross join n group by term",
     "corpus_stats": f"select count(*) as n_docs, sum(len({_TOK.format('text')}))::bigint as n_tokens, round(avg(len({_TOK.format('text')})), 6) as avgdl from documents",
     "bm25_top10": f"{_BM0}, {_B10} select * from b10",
@@ -346,7 +358,7 @@ ORACLE = {
     "token_f1": "with k as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as t from conversations), x as (select conv_id, turn, u.t, count(*) as n from (select conv_id, turn, unnest(t) as t from k) u group by all), c as (select a.conv_id, a.turn, sum(least(a.n, b.n)) as c from x a join x b on a.conv_id = b.conv_id and a.turn = b.turn + 1 and a.t = b.t group by all) select a.conv_id, a.turn, round(coalesce(2.0::double * coalesce(c.c, 0) / nullif(len(a.t) + len(b.t), 0), 0), 6) as f1 from k a join k b on a.conv_id = b.conv_id and a.turn = b.turn + 1 left join c on c.conv_id = a.conv_id and c.turn = a.turn",
 }
 
-_QUERIES = (rejected_queries, pair_signals, hybrid_change, decile_cuts, rule_sweep, selected_rule, separation_check, paired_tests, dup_pairs, dup_screen, dq_structure, dq_grounding, dq_same_ids, dq_quotas, section_chunks, generation_metrics, hybrid_rrf_top10, rouge_l_turns, section_paths, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
+_QUERIES = (rejected_queries, pair_signals, hybrid_change, decile_cuts, rule_sweep, selected_rule, separation_check, paired_tests, dup_pairs, dup_screen, dq_structure, dq_grounding, dq_same_ids, dq_quotas, section_chunks, generation_metrics, hybrid_rrf_top10, rouge_l_turns, section_paths, lexical_index_build, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
 
 
 def queries() -> dict:
