@@ -104,6 +104,18 @@ def permutation_of_means(a: np.ndarray, b: np.ndarray, rounds: int = RESAMPLES,
     return (hits + 1) / (rounds + 1)
 
 
+def sign_flip(d: np.ndarray, rounds: int = RESAMPLES, seed: int = 0) -> float:
+    """Two-sided p of the mean under random signs, with one added to both counts; drawn in blocks of bounded size."""
+    if not len(d):
+        return 1.0
+    rng, seen, hits = np.random.default_rng(seed), abs(d.mean()), 0
+    step = max(1, (1 << 22) // len(d))
+    for k in range(0, rounds, step):
+        signs = rng.integers(0, 2, (min(step, rounds - k), len(d)), dtype=np.int8) * 2.0 - 1
+        hits += int((np.abs(signs @ d) / len(d) >= seen - 1e-12).sum())
+    return (hits + 1) / (rounds + 1)
+
+
 def random_policy(cheap: np.ndarray, dear: np.ndarray, spent: int, reached: float, rounds: int = 1000, seed: int = 20250101) -> tuple[float, float]:
     """Mean quality of random escalation of as many queries, and the share of draws that reach the policy's."""
     rng, gain, base = np.random.default_rng(seed), dear - cheap, cheap.sum()
@@ -137,3 +149,46 @@ def spearman_interval(x: np.ndarray, y: np.ndarray, rounds: int = 1000, seed: in
         drawn += [] if r is None else [r]
     low, high = np.quantile(drawn, [0.025, 0.975]) if drawn else (None, None)
     return rho(x, y), low, high, empty
+
+
+def _grouped(rows: DataFrame, by: list[str], columns: list[str], kinds: str, one) -> DataFrame:
+    """One row for each group: its keys and what `one` makes of its columns, which come sorted so that seeds give the same draws."""
+    keys = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    names = [*by, *(k.split()[0] for k in kinds.split(", "))]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(columns)
+        return pd.DataFrame([[*pdf[by].iloc[0], *one(*(x[c].to_numpy(float) for c in columns))]], columns=names)
+
+    sized = rows.dropna(subset=columns).select(*by, *(F.col(c).cast("double").alias(c) for c in columns))
+    return sized.groupBy(*by).applyInPandas(run, f"{keys}, {kinds}")
+
+
+def mean_intervals(differences: DataFrame, by: list[str], value: str = "d", seed: int = 0) -> DataFrame:
+    """Per group: n, mean and the percentile interval of the mean over RESAMPLES draws."""
+    return _grouped(differences, by, [value], "n long, mean_d double, lo double, hi double", lambda d: (len(d), d.mean(), *bootstrap(d, np.mean, seed=seed)))
+
+
+def sign_flips(differences: DataFrame, by: list[str], value: str = "d", seed: int = 0) -> DataFrame:
+    """Per group: the absolute mean and its p under random signs."""
+    return _grouped(differences, by, [value], "statistic double, p_value double", lambda d: (abs(d.mean()), sign_flip(d, seed=seed)))
+
+
+def cluster_intervals(differences: DataFrame, by: list[str], cluster: str, value: str = "d", seed: int = 0) -> DataFrame:
+    """Per group: n, clusters and the interval of the mean when whole clusters (a numeric column) are drawn."""
+    return _grouped(differences, by, [cluster, value], "n long, clusters long, lo double, hi double", lambda c, d: (len(d), len(np.unique(c)), *cluster_interval(d, c, seed=seed)))
+
+
+def rank_intervals(pairs: DataFrame, by: list[str], x: str, y: str, seed: int = 0) -> DataFrame:
+    """Per group: n, mid-rank correlation, its interval and the number of constant resamples."""
+    return _grouped(pairs, by, [x, y], "n long, rho double, lo double, hi double, constant long", lambda a, b: (len(a), *spearman_interval(a, b, seed=seed)))
+
+
+def policy_ablation(records: DataFrame, by: list[str], cheap: str, dear: str, chosen: str) -> DataFrame:
+    """Per group: quality of a policy that takes the dear arm where `chosen`, against random picks of as many rows."""
+
+    def one(c, d, on):
+        reached = float(np.where(on > 0, d, c).mean())
+        return len(c), int(on.sum()), reached, *random_policy(c, d, int(on.sum()), reached)
+
+    return _grouped(records.withColumn(chosen, F.col(chosen).cast("int")), by, [cheap, dear, chosen], "n long, spent long, quality double, random_quality double, share_reaching double", one)

@@ -94,10 +94,6 @@ SQL: dict[str, str] = {
     "dq_referential": "select l.doc_id from {labels} l left join {documents} d on l.doc_id = d.doc_id where d.doc_id is null",
     "dq_blank_queries": "select conv_id, turn from {conversations} where text is null or trim(text) = ''",
     "dq_split_overlap": "select o_custkey from {orders} group by o_custkey having count(distinct o_orderstatus) > 2",
-    "corpus_diff": """
-        select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'added' when b.doc_id is null then 'removed' else 'changed' end as change
-        from (select doc_id, text from {documents} where doc_id % 3 <> 0) a full outer join (select doc_id, case when doc_id % 7 = 0 then lower(text) else text end as text from {documents} where doc_id % 5 <> 0) b on a.doc_id = b.doc_id
-        where a.doc_id is null or b.doc_id is null or a.text <> b.text""",
     "latest_upsert": """
         with u as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from {events})
         select user_id, event_type, value from u where rn = 1""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexroute.functions import sessions
 from lexroute.functions import text as T
-from lexroute.operators import chunking, gates, inference, lexical_index, metrics, retrieval, routing, signals
+from lexroute.operators import chunking, gates, inference, lexical_index, metrics, retrieval, routing, signals, studies
 from lexroute.operators.text_scores import rouge_l
 from lexroute.plans import analytics, oracles, statistics
 
@@ -190,6 +190,63 @@ def paired_tests(spark, sf_dir):
     return inference.holm(inference.compare(pairs, ["a", "b"]).withColumn("family", F.lit("value")), "p", ["family"])
 
 
+def _deltas(spark, sf_dir):
+    """Users' mean of clicks less that of views; a user's number modulo 50 as its cluster."""
+    d = _records(spark, sf_dir).filter("signal is not null")
+    return d.select(F.lit("click - view").alias("pair"), (F.col("user_id") % 50).alias("cluster"), F.round(F.col("cheap") - F.col("signal"), 9).alias("d"))
+
+
+def bootstrap_ci(spark, sf_dir):
+    return inference.mean_intervals(_deltas(spark, sf_dir), ["pair"])
+
+
+def sign_flip_permutation(spark, sf_dir):
+    return inference.sign_flips(_deltas(spark, sf_dir), ["pair"])
+
+
+def cluster_bootstrap(spark, sf_dir):
+    return inference.cluster_intervals(_deltas(spark, sf_dir), ["pair"], "cluster")
+
+
+def rank_interval(spark, sf_dir):
+    return inference.rank_intervals(_records(spark, sf_dir).withColumn("pair", F.lit("signal/dear")), ["pair"], "signal", "dear")
+
+
+def random_policy(spark, sf_dir):
+    """Escalation where the signal is above 50, against as many rows picked at random."""
+    records = _records(spark, sf_dir).withColumn("policy", F.lit("signal > 50")).withColumn("chosen", F.coalesce(F.col("signal") > 50, F.lit(False)))
+    return inference.policy_ablation(records, ["policy"], "cheap", "dear", "chosen")
+
+
+def metric_grid(spark, sf_dir):
+    """Means at each depth of the lexical results."""
+    return studies.depth_grid(sessions.cut(bm25_top10(spark, sf_dir)), sessions.cut(qrels(spark, sf_dir)))
+
+
+def transition_quality(spark, sf_dir):
+    """From what a user did least to what the user did most: mean value and number of events before and after."""
+    x = _t(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("strategy")).agg(F.avg("value").alias("quality"), F.count("*").alias("cost"))
+    pick = lambda order: x.groupBy("user_id").agg(F.min(F.struct(order.alias("o"), "strategy", "quality", "cost")).alias("s")).select("user_id", "s.strategy", "s.quality", "s.cost")
+    return studies.transition_quality(pick(F.col("cost")).filter("cost < 5"), pick(-F.col("cost")), "user_id", "strategy", ["quality", "cost"])
+
+
+def stage_medians(spark, sf_dir):
+    """Tax, discount and quantity of lines as three stages of a sample."""
+    x = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.create_map(F.lit("tax"), F.col("l_tax").cast("double"), F.lit("discount"), F.col("l_discount").cast("double"), F.lit("quantity"), F.col("l_quantity").cast("double")).alias("stages"))
+    return studies.stage_medians(x, "l_returnflag", "stages")
+
+
+def tie_artefacts(spark, sf_dir):
+    return studies.tie_artefact(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_tax")
+
+
+def corpus_diff(spark, sf_dir):
+    """All documents against a later version of them: German ones have new ids, those of long texts are in lower case."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    later = docs.select(F.when(F.col("lang") == "de", F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.length("text") > 1000, F.lower("text")).otherwise(F.col("text")).alias("text"))
+    return studies.changes(docs, later, "doc_id", "text")
+
+
 def dup_pairs(spark, sf_dir):
     return gates.duplicate_pairs(_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query"))
 
@@ -351,6 +408,18 @@ ORACLE = {
     "qrels": f"with {_QREL} select * from rel",
     "eval_rows": f"{_EVAL} select * from e",
     "metric_means": f"{_EVAL} select count(*) as n, round(avg(recall), 4) as recall, round(avg(precision), 4) as precision, round(avg(hit), 4) as hit, round(avg(mrr), 4) as mrr, round(avg(ndcg), 4) as ndcg from e",
+    "metric_grid": " union all ".join(f"select * from ({_EVAL.replace('rank <= 5', f'rank <= {k}').replace('least(found, 5)', f'least(found, {k})')} select {k} as k, count(*) as n, round(avg(recall), 4) as recall, round(avg(precision), 4) as precision, round(avg(hit), 4) as hit, round(avg(mrr), 4) as mrr, round(avg(ndcg), 4) as ndcg from e)" for k in (1, 3, 5, 10)),
+    "transition_quality": """with x as (select user_id, event_type as s, avg(value) as v, count(*) as c from events group by all),
+        lo as (select * from (select *, row_number() over (partition by user_id order by c, s) as r from x) where r = 1 and c < 5), hi as (select * from (select *, row_number() over (partition by user_id order by c desc, s) as r from x) where r = 1)
+        select lo.s as from_strategy, hi.s as to_strategy, case when hi.s is null then 'no_after' when lo.s is null then 'no_before' when lo.v is null or hi.v is null then 'no_quality' else 'paired' end as reason, count(*) as n,
+        round(avg(lo.v) filter (hi.v is not null), 6) as quality_before, round(avg(hi.v) filter (lo.v is not null), 6) as quality_after, round(avg(hi.v - lo.v), 6) as quality_change,
+        round(avg(lo.c) filter (lo.v is not null and hi.v is not null), 6) as cost_before, round(avg(hi.c) filter (lo.v is not null and hi.v is not null), 6) as cost_after, round(avg(hi.c - lo.c) filter (lo.v is not null and hi.v is not null), 6) as cost_change
+        from lo full outer join hi on lo.user_id = hi.user_id group by 1, 2, 3""",
+    "stage_medians": """with x as (select l_returnflag, 'tax' as stage, l_tax::double as v from lineitem union all select l_returnflag, 'discount', l_discount::double from lineitem union all select l_returnflag, 'quantity', l_quantity::double from lineitem)
+        select l_returnflag, stage, count(v) as n, round(median(v), 6) as median_v, round(avg(v), 6) as mean_v, round(stddev_samp(v), 6) as sd_v from x where v is not null group by all""",
+    "tie_artefacts": "select l_orderkey, count(l_tax) as n, round(max(l_tax) - min(l_tax), 6) as spread, max(l_tax) - min(l_tax) <= 1e-9 as tied from lineitem group by l_orderkey",
+    "corpus_diff": """select doc_id, 'removed' as change from documents where lang = 'de' union all select doc_id + 1000000000, 'added' from documents where lang = 'de'
+        union all select doc_id, 'changed' from documents where lang is distinct from 'de' and length(text) > 1000 and lower(text) <> text""",
     "score_geometry": f"{_BM0}, {_B10} select query_id, round((max(score) filter (rank = 1) - max(score) filter (rank = 2)) / nullif(abs(max(score) filter (rank = 1)), 0), 6) as gap, round(regr_slope(score, rank), 5) as slope from b10 group by query_id",
     "pair_agreement": f"{_BM0}, {_B10}, {_RR}, a as (select query_id, list(doc_id order by rank) as a from b10 group by query_id), b as (select query_id, list(doc_id order by rank) as b from rr where rank <= 10 group by query_id) select query_id, round(len(list_intersect(a, b)) / cast(len(list_distinct(list_concat(a, b))) as double), 6) as jaccard, round(len(list_intersect(a, b)) / cast(len(a) as double), 6) as overlap, a[1] = b[1] as top1, cast(len(b) - len(list_intersect(a, b)) as int) as entered from a join b using (query_id)",
     "chunks_window": r"with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents), c as (select doc_id, w, unnest(range(0, (len(w) + 199) // 200)) as ordinal from w) select doc_id, cast(ordinal as int) as ordinal, cast(len(w[ordinal * 200 + 1 : ordinal * 200 + 200]) as int) as n_words, md5(array_to_string(w[ordinal * 200 + 1 : ordinal * 200 + 200], ' ')) as digest from c",
@@ -358,7 +427,7 @@ ORACLE = {
     "token_f1": "with k as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as t from conversations), x as (select conv_id, turn, u.t, count(*) as n from (select conv_id, turn, unnest(t) as t from k) u group by all), c as (select a.conv_id, a.turn, sum(least(a.n, b.n)) as c from x a join x b on a.conv_id = b.conv_id and a.turn = b.turn + 1 and a.t = b.t group by all) select a.conv_id, a.turn, round(coalesce(2.0::double * coalesce(c.c, 0) / nullif(len(a.t) + len(b.t), 0), 0), 6) as f1 from k a join k b on a.conv_id = b.conv_id and a.turn = b.turn + 1 left join c on c.conv_id = a.conv_id and c.turn = a.turn",
 }
 
-_QUERIES = (rejected_queries, pair_signals, hybrid_change, decile_cuts, rule_sweep, selected_rule, separation_check, paired_tests, dup_pairs, dup_screen, dq_structure, dq_grounding, dq_same_ids, dq_quotas, section_chunks, generation_metrics, hybrid_rrf_top10, rouge_l_turns, section_paths, lexical_index_build, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
+_QUERIES = (bootstrap_ci, sign_flip_permutation, cluster_bootstrap, rank_interval, random_policy, metric_grid, transition_quality, stage_medians, tie_artefacts, corpus_diff, rejected_queries, pair_signals, hybrid_change, decile_cuts, rule_sweep, selected_rule, separation_check, paired_tests, dup_pairs, dup_screen, dq_structure, dq_grounding, dq_same_ids, dq_quotas, section_chunks, generation_metrics, hybrid_rrf_top10, rouge_l_turns, section_paths, lexical_index_build, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
 
 
 def queries() -> dict:

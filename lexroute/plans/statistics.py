@@ -1,30 +1,13 @@
-"""Resampling tests, effect statistics and report tables as SQL plans, in the same form as analytics.
-
-Resampling needs no shuffle of rows: each row draws its weight or sign for every
-round from a congruence of its key and the round, so partial sums per round are
-all that moves. The number of rounds is fixed.
-"""
+"""Effect statistics and report tables as SQL plans, in the same form as analytics."""
 
 from __future__ import annotations
 
 from lexroute.plans.analytics import LABELLED, PANEL
 
 DIGITS = "d10 as (select 0 as i " + " ".join(f"union all select {i}" for i in range(1, 10)) + ")"
-ROUNDS = f"{DIGITS}, rounds as (select x.i * 10 + y.i as b from d10 x cross join d10 y)"  # 100 rounds
-DRAW = "(((q * 7919 + b * 104729 + q * b * 31 + 17) % 1000003) * 48271) % 1000003"
 DELTAS = f"{PANEL}, d as (select a.q, round(a.v - b.v, 9) as d from panel a join panel b on a.q = b.q and a.s = 'click' and b.s = 'view')"
 
 SQL: dict[str, str] = {
-    # weights of a Poisson law of mean 1
-    "bootstrap_ci": f"""
-        with {DELTAS}, {ROUNDS}, u as (select b, d, {DRAW} / cast(1000003 as double) as u from d cross join rounds),
-        w as (select b, d, case when u < 0.367879 then 0 when u < 0.735759 then 1 when u < 0.919699 then 2 when u < 0.981012 then 3 when u < 0.996340 then 4 else 5 end as w from u),
-        m as (select b, sum(w * d) / nullif(cast(sum(w) as double), 0) as m from w group by b), r as (select m, row_number() over (order by m, b) as rn from m where m is not null)
-        select (select count(*) from d) as n, (select round(avg(d), 6) from d) as mean_d, round(max(case when rn = 3 then m end), 6) as lo, round(max(case when rn = 98 then m end), 6) as hi from r""",
-    "sign_flip_permutation": f"""
-        with {DELTAS}, {ROUNDS}, t as (select abs(round(avg(d), 9)) as t from d),
-        p as (select b, abs(round(avg(case when ({DRAW}) % 2 = 0 then d else -d end), 9)) as s from d cross join rounds group by b)
-        select max(t) as statistic, (1 + count(case when s >= t then 1 end)) / cast(101 as double) as p_value from p cross join t""",
     "contingency_chi_square": """
         with c as (select d.lang, l.quality, count(*) as n from {documents} d join {labels} l on d.doc_id = l.doc_id group by d.lang, l.quality),
         r as (select lang, cast(sum(n) as double) as r from c group by lang), k as (select quality, cast(sum(n) as double) as k from c group by quality), t as (select cast(sum(n) as double) as t from c),
