@@ -74,6 +74,8 @@ def block_links(pdf: pd.DataFrame, cosine: float, need: int) -> pd.DataFrame:
     """Links between two blocks (or within one), as counts for each vector and a forest."""
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     x, y = (pdf[pdf["block"] == k].sort_values("rep") for k in (i, j))
+    if x.empty or y.empty:  # a number between two blocks that no vector of this length fell into
+        return pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)
     vx, vy = (np.stack(z["v"].to_numpy()) for z in (x, y))
     dirs = directions(vx.shape[1])
     reach = WIDTH * math.sqrt(2 - 2 * cosine) / math.sqrt(vx.shape[1])
@@ -100,6 +102,17 @@ def block_links(pdf: pd.DataFrame, cosine: float, need: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+def last_met(spans: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """(dim, i, last): block i meets all from itself to last. Blocks are numbered along the projection, so their lower ends rise."""
+    out = [pd.DataFrame({"dim": [], "i": [], "last": []}, dtype=np.int32)]
+    for dim, s in spans.groupby("dim"):
+        s = s.sort_values("block")
+        reach = BLOCK_REACH * math.sqrt((2 - 2 * cosine) / max(1, dim))
+        met = np.searchsorted(s["lo"].to_numpy(), s["hi"].to_numpy() + reach, side="right") - 1
+        out.append(pd.DataFrame({"dim": dim, "i": s["block"].to_numpy(), "last": s["block"].to_numpy()[met]}))
+    return pd.concat(out, ignore_index=True).astype(np.int32)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) of every row."""
     need = needed(recall=RECALL + 1 - inside(BLOCK_REACH))
@@ -124,17 +137,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_i
     # block edges: quantiles of one number, one for BLOCK vectors; blocks are bounded by their rank, ties included
     ranked = placed.repartitionByRange(parts, "dim", "p", "rep").sortWithinPartitions("dim", "p", "rep").withColumn("block", F.spark_partition_id())
     ranked = durable(ranked)
-    spans = ranked.groupBy("dim", "block").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).collect()  # one row for BLOCK vectors
-    pairs = []
-    for s in spans:
-        for t in spans:
-            if s["dim"] == t["dim"] and s["block"] <= t["block"] and t["lo"] - s["hi"] <= BLOCK_REACH * math.sqrt((2 - 2 * cosine) / max(1, s["dim"])):
-                pairs.append((s["block"], s["block"], t["block"]))
-                if s["block"] != t["block"]:
-                    pairs.append((t["block"], s["block"], t["block"]))
-    spark = vectors.sparkSession
-    meet = spark.createDataFrame(pairs or [(0, 0, 0)], "block int, i int, j int").distinct()
-    found = ranked.join(meet, "block").groupBy("dim", "i", "j").applyInPandas(lambda pdf: block_links(pdf, cosine, need), "a long, b long, n long")
+    spans = ranked.groupBy("dim", "block").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    upto = vectors.sparkSession.createDataFrame(last_met(spans.toPandas(), cosine), "dim int, i int, last int")  # one row for BLOCK vectors
+    pairs = upto.select("dim", "i", F.explode(F.sequence("i", "last")).alias("j"))
+    meet = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    found = ranked.join(meet, ["dim", "block"]).groupBy("dim", "i", "j").applyInPandas(lambda pdf: block_links(pdf, cosine, need), "a long, b long, n long")
     found = durable(found)
     linked = found.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     tree = components(found.filter("n = 0 and a <> b").select("a", "b")).select(F.col("id").alias("rep"), "component")
