@@ -118,8 +118,8 @@ def rejected(queries: DataFrame, query: str = "query") -> DataFrame:
     return queries.withColumn("reason", reason).filter("reason is not null")
 
 
-def route(analysed: DataFrame, available: list[str] | None = None, groups: list[str] | None = None, cost_weight: float = COST_WEIGHT, weights: dict | None = None) -> DataFrame:
-    """analysed with strategy, score, confidence and the scores of all strategies; ties go to the cheaper one."""
+def ranking(available: list[str] | None = None, groups: list[str] | None = None, cost_weight: float = COST_WEIGHT, weights: dict | None = None) -> Column:
+    """All strategies of an analysed query, best first, as (low: score with its sign turned, place, strategy); ties go to the cheaper one."""
     available, groups, weights = available or STRATEGIES, groups or GROUPS, weights or WEIGHTS
     if not available or not set(available) <= set(STRATEGIES) or not set(groups) <= set(GROUPS):
         raise ValueError("strategies and feature groups must be known, with one strategy at least")
@@ -131,8 +131,12 @@ def route(analysed: DataFrame, available: list[str] | None = None, groups: list[
         parts = [weights[s][g] * (support if g == "question_type" else signal[g]) for g in GROUPS if g in groups and weights[s].get(g)]
         return F.round(sum(parts, F.lit(0.0)) - cost_weight * COST_MS[s] / dearest, 6)
 
-    scored = F.array_sort(F.array(*(F.struct((-total(s)).alias("low"), F.lit(STRATEGIES.index(s)).alias("place"), F.lit(s).alias("strategy")) for s in available)))
-    x = analysed.withColumn("_scored", scored)
+    return F.array_sort(F.array(*(F.struct((-total(s)).alias("low"), F.lit(STRATEGIES.index(s)).alias("place"), F.lit(s).alias("strategy")) for s in available)))
+
+
+def route(analysed: DataFrame, available: list[str] | None = None, groups: list[str] | None = None, cost_weight: float = COST_WEIGHT, weights: dict | None = None) -> DataFrame:
+    """analysed with strategy, score and confidence."""
+    x = analysed.withColumn("_scored", ranking(available, groups, cost_weight, weights))
     best, second = -F.col("_scored")[0]["low"], -F.try_element_at("_scored", F.lit(2))["low"]
     confidence = F.coalesce(unit(F.try_divide(best - second, F.abs(best) + F.abs(second))), F.lit(0.0))
     return x.withColumns({"strategy": F.col("_scored")[0]["strategy"], "score": best, "confidence": F.round(confidence, 6)}).drop("_scored")
