@@ -83,3 +83,24 @@ def accepted(pairs: DataFrame, queries: DataFrame, id: str = "query_id") -> Data
         state = cut(x.select("id", F.when(F.col("done"), F.col("matches")).when(settled, F.col("hit")).alias("matches"), settled.alias("done")))
         if state.filter("not done").isEmpty():
             return state.filter("matches is not null").select(F.col("id").alias(id), "matches")
+
+
+def contaminated(runs: DataFrame, arm: str, id: str, status: str = "status") -> DataFrame:
+    """(gate, id) of the runs that are not ok, a null status included; an arm with any must not be compared. The gate names the arm."""
+    bad = runs.filter(~F.coalesce(F.col(status) == "ok", F.lit(False)))
+    return bad.select(F.concat(F.lit("not_ok:"), F.coalesce(F.col(arm).cast("string"), F.lit(""))).alias("gate"), F.col(id).cast("string").alias("id"))
+
+
+def coverage(runs: DataFrame, expected: DataFrame, id: str) -> DataFrame:
+    """(gate, id) of expected ids that no run has, of runs that are not expected, and of ids that ran twice."""
+    have, want = runs.select(id), expected.select(id).distinct()
+    twice = have.groupBy(id).count().filter("count > 1")
+    return _found(want.join(have, id, "left_anti"), "not_run", id).union(_found(have.join(want, id, "left_anti").distinct(), "not_expected", id)).union(_found(twice, "ran_twice", id))
+
+
+def unequal(frozen: DataFrame, again: DataFrame, id: str, values: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(gate, id) of every value that a recomputation gives otherwise: apart by more than tolerance, or null on one side only. The gate names the value."""
+    x = frozen.alias("a").join(again.alias("b"), id)
+    off = lambda v: ~F.coalesce(F.abs(F.col(f"a.{v}") - F.col(f"b.{v}")) <= tolerance, F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}")))
+    wrong = F.explode(F.array(*(F.when(off(v), F.lit(v)) for v in values)))
+    return x.select(id, wrong.alias("v")).filter("v is not null").select(F.concat(F.lit("unequal:"), "v").alias("gate"), F.col(id).cast("string").alias("id"))

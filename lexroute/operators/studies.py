@@ -92,3 +92,48 @@ def markdown_table(rows: Column) -> Column:
     rule = F.concat(F.lit("| "), F.array_join(F.transform(first, lambda _: F.lit("---")), " | "), F.lit(" |"))
     body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(first), rule), body), "\n")).otherwise("")
+
+
+def run_deltas(a: DataFrame, b: DataFrame, same: list[str], keys: list[str] | None = None, value: str = "value") -> DataFrame:
+    """(keys, before, after, delta, relative) of the metrics that both runs have; relative is null where before is 0.
+
+    same names columns (corpus, number of queries) that must hold one value over both runs; another one is refused.
+    """
+    keys = keys or ["metric", "k"]
+    for column in same:
+        if a.select(column).union(b.select(column)).distinct().limit(2).count() > 1:
+            raise ValueError(f"the runs differ in {column}")
+    x = a.select(*keys, F.col(value).cast("double").alias("before")).join(b.select(*keys, F.col(value).cast("double").alias("after")), keys)
+    delta = F.col("after") - F.col("before")
+    return x.select(*keys, F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round(delta, 6).alias("delta"), F.round(F.try_divide(delta, F.col("before")), 6).alias("relative"))
+
+
+def by_depth(rows: DataFrame, metric: str, depth: str, value: str, depths: list[int]) -> DataFrame:
+    """One row a metric, one column a depth (named by it): the mean, null where there is none."""
+    return rows.groupBy(metric).pivot(depth, depths).agg(F.round(F.avg(value), 6))
+
+
+def replicated(first: DataFrame, second: DataFrame, signal: str = "signal", least: float = 0.30, level: float = 0.05) -> DataFrame:
+    """(signal, rho_first, rho_second, replicated) over rows of (signal, rho, p_holm) of two arms.
+
+    A signal replicates if its correlation is strong enough and significant after adjustment on the first arm, and of
+    the same sign and strong enough on the second. One that the second arm lacks does not.
+    """
+    x = first.select(signal, F.col("rho").alias("rho_first"), "p_holm").join(second.select(signal, F.col("rho").alias("rho_second")), signal, "left")
+    strong = lambda c: F.abs(c) >= least
+    held = strong("rho_first") & (F.col("p_holm") < level) & strong("rho_second") & (F.signum("rho_first") == F.signum("rho_second"))
+    return x.select(signal, "rho_first", "rho_second", F.coalesce(held, F.lit(False)).alias("replicated"))
+
+
+def reranker_decomposition(rows: DataFrame, by: str, system: str, value: str, reranked: str, base: str, epsilon: float = 1e-9) -> DataFrame:
+    """One row: queries that the reranked arm and its base both have, how many rise, fall and stay, and how often each beats all other arms."""
+    per = rows.groupBy(by).agg(
+        F.max(F.when(F.col(system) == reranked, F.col(value))).alias("r"), F.max(F.when(F.col(system) == base, F.col(value))).alias("b"), F.max(F.when(~F.col(system).isin(reranked, base), F.col(value))).alias("o")
+    ).filter("r is not null and b is not null")
+    d = F.col("r") - F.col("b")
+    count = F.count_if
+    return per.agg(
+        F.count("*").alias("n"), count(d > epsilon).alias("rises"), count(d < -epsilon).alias("falls"), count(F.abs(d) <= epsilon).alias("stays"),
+        count(F.col("r") > F.col("o") + epsilon).alias("reranked_beats_others"), count(F.col("b") > F.col("o") + epsilon).alias("base_beats_others"),
+        count((d > epsilon) & (F.col("r") > F.col("o") + epsilon)).alias("rises_above_others"),
+    )
