@@ -10,7 +10,7 @@ from lexroute.functions import sessions
 from lexroute.functions import text as T
 from lexroute.operators import chunking, gates, inference, lexical_index, metrics, retrieval, routing, signals, studies
 from lexroute.operators.text_scores import rouge_l
-from lexroute.plans import analytics, oracles, statistics
+from lexroute.plans import analytics, experiments, oracles, statistics
 
 
 def _t(spark, sf_dir, name):
@@ -431,8 +431,8 @@ _QUERIES = (bootstrap_ci, sign_flip_permutation, cluster_bootstrap, rank_interva
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES} | {n: partial(analytics.run, name=n) for n in (*analytics.SQL, *statistics.SQL)}
+    return {f.__name__: f for f in (*_QUERIES, *experiments.QUERIES)} | {n: partial(analytics.run, name=n) for n in (*analytics.SQL, *statistics.SQL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | oracles.sql(_BM0, _RANK, _TOK, _QREL) | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}
+    return ORACLE | oracles.sql(_BM0, _RANK, _TOK, _QREL) | experiments.oracle_sql() | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}

@@ -9,7 +9,7 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-def _features(source: str) -> str:
+def features(source: str) -> str:
     """CTEs that end in f: one row for each query of source (columns k1, k2, query) with its features."""
     plain = [c for c in R.COMPARISON if c not in R.WHOLE_WORD]
     bounded = " + ".join(f"regexp_matches(norm, '\\b{c.replace('.', chr(92) + '.')}\\b')::int" for c in R.WHOLE_WORD)
@@ -34,20 +34,20 @@ f as (select *, round(content_term_count / query_length_words, 6) as lexical_den
  + 0.15::double * least(1, entity_indicator_count / query_length_words) + 0.15::double * least(1, semantic_indicator_count / content_term_count)), 6) as complexity_score from n4)"""
 
 
-def _routes() -> str:
+def routes(cost: float = 0.25, groups=tuple(R.GROUPS)) -> str:
     """CTEs after f that end in w: the winner of each query."""
     rows = []
     for i, s in enumerate(R.STRATEGIES):
-        w = R.WEIGHTS[s]
+        w = {g: R.WEIGHTS[s][g] if g in groups else 0.0 for g in R.GROUPS}
         kind = "case question_type " + " ".join(f"when '{k}' then {v}::double" for k, v in zip(R.KINDS, R.SUPPORT[s])) + " end"
         terms = f"({w['lexical']}::double * least(1, lexical_density) + {w['semantic']}::double * least(1, semantic_ratio * 4) + {w['entity']}::double * least(1, entity_ratio * 2) + {w['complexity']}::double * complexity_score + {w['multi_concept']}::double * least(1, (concept_count - 1) / 2) + {w['question_type']}::double * {kind})"
-        rows.append(f"select k1, k2, {i} as place, '{s}' as strategy, round({terms} - {0.25 * R.COST_MS[s] / max(R.COST_MS.values())!r}::double, 6) as score from f")
+        rows.append(f"select k1, k2, {i} as place, '{s}' as strategy, round({terms} - {cost * R.COST_MS[s] / max(R.COST_MS.values())!r}::double, 6) as score from f")
     return f"""s as ({' union all '.join(rows)}),
 r as (select *, row_number() over (partition by k1, k2 order by score desc, place) as rn, lead(score) over (partition by k1, k2 order by score desc, place) as next from s),
 w as (select k1, k2, strategy, score, round(coalesce(least(1, greatest(0, (score - next) / nullif(abs(score) + abs(next), 0))), 0), 6) as confidence from r where rn = 1)"""
 
 
-_TURNS = "select conv_id as k1, turn as k2, text as query from conversations where role = 'user'"
+TURNS = "select conv_id as k1, turn as k2, text as query from conversations where role = 'user'"
 _EMBED = "select {id} as i, ('0x' || substr(md5(t), 1, 4))::int % 64 as b, count(*)::double as n from (select {id}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as t from {table}) x group by all"
 _DENSE = f"""qv as ({_EMBED.format(id='item_id', table='benchmark')}), dv as ({_EMBED.format(id='doc_id', table='documents')}),
 ql as (select i, sqrt(sum(n * n)) as l from qv group by i), dl2 as (select i, sqrt(sum(n * n)) as l from dv group by i),
@@ -70,7 +70,7 @@ _DUPS = f"""{_QTEXT}, dp as (select a.id as a, b.id as b, round(case when len(a.
 def sql(bm: str, rank: str, tok: str, qrel: str) -> dict[str, str]:
     every = rank.replace("HAVING_", "")
     b10 = f"b10 as (select * from {every} where rank <= 10)"
-    bench = _features("select item_id as k1, 0 as k2, text as query from benchmark")
+    bench = features("select item_id as k1, 0 as k2, text as query from benchmark")
     cov = lambda hay: f"case when len(content_terms) = 0 then 1 else len(list_filter(content_terms, lambda c: contains({hay}, c))) / len(content_terms) end"
     hybrid = f"{bm}, {_DENSE}, lists as (select query_id, doc_id, rank from {every} where rank <= 20 union all select query_id, doc_id, rank from dn where rank <= 20), fu as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, min(rank) as best from lists group by all), hy as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, best, doc_id)::int as rank from fu)"
     names = "entity_indicator_count, technical_term_count, semantic_indicator_count, comparison_indicator_count, query_length_words, query_length_chars, content_term_count, concept_count, question_type, lexical_density, entity_ratio, technical_ratio, semantic_ratio, multi_concept, complexity_score, content_terms"
@@ -80,8 +80,8 @@ def sql(bm: str, rank: str, tok: str, qrel: str) -> dict[str, str]:
     slope = "sl as (select query_id, regr_slope(score, rank) as slope from b10 group by query_id)"
     return {
         "hybrid_rrf_top10": f"{hybrid} select * from hy where rank <= 10",
-        "query_features": f"with {_features(_TURNS)} select k1 as conv_id, k2 as turn, {names} from f",
-        "route_decisions": f"with {_features(_TURNS)}, {_routes()} select k1 as conv_id, k2 as turn, strategy, score, confidence from w",
+        "query_features": f"with {features(TURNS)} select k1 as conv_id, k2 as turn, {names} from f",
+        "route_decisions": f"with {features(TURNS)}, {routes()} select k1 as conv_id, k2 as turn, strategy, score, confidence from w",
         "rejected_queries": "select conv_id, turn, case when trim(coalesce(text, '')) = '' then 'query is empty' else 'no term to analyse' end as reason from conversations where role = 'user' and not regexp_matches(coalesce(text, ''), '[A-Za-z0-9]')",
         "sufficiency": f"""{bm}, {b10}, {bench}, h as (select query_id, count(*) as n, string_agg(lower(text), ' ' order by rank) as hay, max(lower(text)) filter (rank = 1) as one from b10 join documents using (doc_id) group by query_id),
  v as (select k1 as query_id, coalesce(n, 0)::int as n_results, {cov("coalesce(hay, '')")} as c, case when n is null then 0 else {cov("coalesce(one, '')")} end as t from f left join h on h.query_id = f.k1),
