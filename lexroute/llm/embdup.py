@@ -10,7 +10,7 @@ largest count that a pair at the threshold reaches, by the binomial law of its
 collisions, with a probability that leaves RECALL after what the block reach misses.
 
 Work is dealt by the first projection: vectors are sorted along it and cut into
-blocks of bounded size; only blocks within a window of each other meet, two at a
+blocks of BLOCK vectors by rank, however many partitions there are; only blocks within a window of each other meet, two at a
 time. A block pair returns the number of links of each
 vector and a spanning forest of them, never its pairs. Equal vectors are grouped
 beforehand, and one stands for all.
@@ -134,9 +134,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_i
     placed = durable(classes.mapInPandas(project, "v array<double>, rep long, copies long, p double, dim int"))
     total = placed.count()
     parts = max(1, math.ceil(total / BLOCK))
-    # block edges: quantiles of one number, one for BLOCK vectors; blocks are bounded by their rank, ties included
-    ranked = placed.repartitionByRange(parts, "dim", "p", "rep").sortWithinPartitions("dim", "p", "rep").withColumn("block", F.spark_partition_id())
-    ranked = durable(ranked)
+    # a row's number is its partition and its place there; with the partitions' sizes that is its rank, and ranks are cut into blocks
+    placed_at = F.monotonically_increasing_id()
+    ranked = durable(placed.repartitionByRange(parts, "dim", "p", "rep").sortWithinPartitions("dim", "p", "rep").withColumn("place", placed_at))
+    part, place = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = ranked.groupBy(part.cast("int").alias("part")).count().toPandas().sort_values("part")  # one row a partition
+    sizes["before"] = sizes["count"].cumsum() - sizes["count"]
+    starts = vectors.sparkSession.createDataFrame(sizes[["part", "before"]].astype({"part": "int32", "before": "int64"}), "part int, before long")
+    ranked = ranked.withColumn("part", part.cast("int")).join(F.broadcast(starts), "part").withColumn("block", F.floor((F.col("before") + place) / BLOCK).cast("int")).drop("part", "before", "place")
     spans = ranked.groupBy("dim", "block").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     upto = vectors.sparkSession.createDataFrame(last_met(spans.toPandas(), cosine), "dim int, i int, last int")  # one row for BLOCK vectors
     pairs = upto.select("dim", "i", F.explode(F.sequence("i", "last")).alias("j"))
