@@ -47,7 +47,8 @@ def frequent(rows: DataFrame) -> DataFrame:
     """(key): the 64-bit hashes of the digests that a merged Misra-Gries summary holds as most frequent, at most MOST."""
     keyed = rows.select(F.xxhash64("digest").alias("key"), (F.spark_partition_id() % GROUPS).alias("part"))
     some = keyed.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("s"))
-    top = some.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {MOST})")).alias("x"))
+    # grouped by a constant: without a key, Spark 4.1 can't send on the summary of a task that met no row
+    top = some.groupBy((F.col("part") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {MOST})")).alias("x"))
     return top.select("x.item").toDF("key")
 
 
