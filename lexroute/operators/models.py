@@ -11,11 +11,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexroute.functions import sessions
+from lexroute.operators import ordering
 from lexroute.operators.inference import RESAMPLES, holm
+from lexroute.operators.resampling import Sample, interval
 
 #: Penalty of the slopes, rounds and tolerance of the logistic fit, bound of its linear term, power asked for.
 RIDGE, ROUNDS, TOLERANCE, CLIP, POWER = 1.0, 100, 1e-10, 30.0, 0.8
@@ -113,41 +115,30 @@ def auc(ones: np.ndarray, zeros: np.ndarray) -> float | None:
     return float((np.searchsorted(low, ones, "left") + np.searchsorted(low, ones, "right")).sum() / 2 / len(ones) / len(low))
 
 
-def auc_interval(ones: np.ndarray, zeros: np.ndarray, rounds: int = RESAMPLES, seed: int = 0) -> tuple[float | None, float | None]:
-    """Percentile interval (95 %) under resampling within each class."""
-    if not len(ones) or not len(zeros):
-        return None, None
-    rng = np.random.default_rng(seed)
-    draws = [auc(rng.choice(ones, len(ones)), rng.choice(zeros, len(zeros))) for _ in range(rounds)]
-    low, high = np.percentile(draws, [2.5, 97.5])
-    return float(low), float(high)
-
-
 def screen(rows: DataFrame, features: list[str], label: str, rounds: int = 2000, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """One row a feature: AUC with interval, two-sided p of its distance from a half under shuffled labels, class means, p adjusted over the family.
+    """One row a feature: AUC with interval (classes resampled apart), two-sided p of its distance from a half under shuffled labels, class means, p adjusted over the family.
 
-    A feature's values (one for each evaluated query) are one task, as in inference; rows with a null
-    value or a label other than 0 and 1 are left out, and a feature without both classes has no row.
+    Rows with a null value or a label other than 0 and 1 are left out; a feature without both classes has no row.
+    A shuffle of labels is a pick of as many mid-ranks, so it needs no ranking of its own.
     """
-    kinds = "feature string, auc double, direction string, oriented_auc double, ci_low double, ci_high double, p double, mean_one double, mean_zero double"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "v"])
-        v, y = pdf["v"].to_numpy(), pdf["y"].to_numpy() == 1
-        seen = auc(v[y], v[~y])
-        if seen is None:
-            return pd.DataFrame(columns=[k.split()[0] for k in kinds.split(", ")])
-        rng, hits = np.random.default_rng(seed), 0
-        for _ in range(rounds):
-            x = rng.permutation(v)
-            hits += abs(auc(x[y], x[~y]) - 0.5) >= abs(seen - 0.5)
-        low, high = auc_interval(v[y], v[~y], draws, seed)
-        row = (pdf["feature"].iloc[0], seen, "positive" if seen >= 0.5 else "negative", max(seen, 1 - seen), low, high, (hits + 1) / (rounds + 1), v[y].mean(), v[~y].mean())
-        return pd.DataFrame([row], columns=[k.split()[0] for k in kinds.split(", ")])
-
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features)))
-    long = rows.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), pairs.alias("x")).select("y", "x.feature", "x.v").filter("v is not null and not isnan(v)")
-    return holm(long.groupBy("feature").applyInPandas(one, kinds).withColumn("family", F.lit("features")), "p", ["family"]).drop("family")
+    long = sessions.cut(rows.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), pairs.alias("x")).select("y", "x.feature", "x.v").filter("v is not null and not isnan(v)"))
+    by = ["feature"]
+    seen = ordering.auc(long, "v", "y", by).filter("auc is not null")
+    g = ordering.group(by).alias("_g")
+    wanted = sessions.cut(seen.select(g, F.col("ones").alias("k"), "zeros", "auc"))
+    ranked = ordering.with_ranks(long, "v", by).join(seen.select("feature"), "feature")
+    moved = Sample(ranked, by, ["mid_rank"], rounds=rounds, seed=seed).picked(wanted).join(wanted.drop("k"), "_g")
+    other = (F.col("s0") - F.col("k") * (F.col("k") + 1) / 2) / (F.col("k") * F.col("zeros"))
+    p = moved.groupBy("_g").agg(((F.count_if(F.abs(other - 0.5) >= F.abs(F.col("auc") - 0.5) - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+    drawn = Sample(ranked, [*by, "y"], ["v"], rounds=draws, seed=seed).resamples()
+    drawn = ordering.auc(drawn.select("_g.feature", "_g.y", "round", F.col("p0").alias("v"), "w"), "v", "y", ["feature", "round"], "w")
+    band = drawn.groupBy(g).agg(*interval("auc"))
+    means = long.groupBy(g).agg(F.avg(F.when(F.col("y") == 1, F.col("v"))).alias("mean_one"), F.avg(F.when(F.col("y") == 0, F.col("v"))).alias("mean_zero"))
+    x = wanted.join(p, "_g").join(band, "_g").join(means, "_g")
+    side = F.when(F.col("auc") >= 0.5, "positive").otherwise("negative")
+    out = x.select("_g.feature", "auc", side.alias("direction"), F.greatest(F.col("auc"), 1 - F.col("auc")).alias("oriented_auc"), F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"), "p", "mean_one", "mean_zero")
+    return holm(out.withColumn("family", F.lit("features")), "p", ["family"]).drop("family")
 
 
 def whole_procedure_p(x: np.ndarray, y: np.ndarray, fit: np.ndarray, held: np.ndarray, seen: float, rounds: int = RESAMPLES, seed: int = 0) -> tuple[float, int]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexroute.operators import ordering
+
 
 def ranked_lists(results: DataFrame, name: str, by: str = "query_id") -> DataFrame:
     """(query_id, <name>_ids, <name>_scores) in the order of ranks."""
@@ -105,12 +107,12 @@ def pair_signals(a: DataFrame, b: DataFrame, k: int = 10, by: str = "query_id")
 def decile_cuts(records: DataFrame, signal: str) -> DataFrame:
     """(cut): at most nine rising values, each the mean of the order statistics around a decile. Finite values only."""
     v = records.select(F.col(signal).cast("double").alias("v")).filter("v is not null and not isnan(v) and abs(v) < double('infinity')")
-    counts = v.groupBy("v").agg(F.count("*").alias("m"))
-    upto = counts.withColumn("upto", F.sum("m").over(Window.orderBy("v")))  # a row for each different value of one signal
-    n = v.agg(F.count("*").alias("n"))
-    wanted = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("d")).select("d", *(F.greatest(F.lit(0), F.least(F.col("n") - 1, f(F.col("d") * F.col("n") / 10.0))).cast("long").alias(c) for c, f in (("lo", F.floor), ("hi", F.ceil))))
-    at = lambda c: upto.join(F.broadcast(wanted), (F.col(c) >= F.col("upto") - F.col("m")) & (F.col(c) < F.col("upto"))).select("d", F.col("v").alias(c + "_v"))
-    return at("lo").join(at("hi"), "d").select(((F.col("lo_v") + F.col("hi_v")) / 2).alias("cut")).distinct()
+
+    def around(d: int):
+        return lambda n: [(F.greatest(F.lit(0), F.least(n - 1, f(n * d / 10.0))), F.lit(0.5)) for f in (F.floor, F.ceil)]
+
+    cuts = ordering.quantiles(v, "v", [], {f"d{d}": around(d) for d in range(1, 10)})
+    return cuts.select(F.explode(F.array(*(f"d{d}" for d in range(1, 10)))).alias("cut")).distinct()
 
 
 def sweep(records: DataFrame, signal: str, cuts: DataFrame, direction: str, epsilon: float = 0.01) -> DataFrame:

@@ -16,13 +16,6 @@ SQL: dict[str, str] = {
     "system_summary": """
         select event_type, count(*) as n, round(avg(value), 6) as mean_v, round(min(value), 6) as min_v, round(max(value), 6) as max_v,
                round(stddev_samp(value), 6) as sd_v from {events} group by event_type""",
-    "p95_nearest_rank": """
-        with r as (select event_type, value, row_number() over (partition by event_type order by value) as rn, count(*) over (partition by event_type) as n from {events})
-        select event_type, value as p95 from r
-        where rn - 1 = least(greatest(cast({half_even}(0.95 * n) as bigint) - 1, 0), n - 1)""",
-    "median_split": """
-        with r as (select event_type, value, row_number() over (partition by event_type order by value) as rn, count(*) over (partition by event_type) as n from {events})
-        select event_type, round(avg(value), 6) as median_v from r where rn = (n + 1) div_int 2 or rn = (n + 2) div_int 2 group by event_type""",
     "status_counts": "select o_orderstatus as status, count(*) as n, round(count(*) / cast(sum(count(*)) over () as double), 6) as share from {orders} group by o_orderstatus",
     "error_breakdown": "select l_returnflag as stage, l_linestatus as kind, count(*) as n from {lineitem} group by l_returnflag, l_linestatus",
     "category_breakdown": """
@@ -40,7 +33,6 @@ SQL: dict[str, str] = {
         with {PANEL}, b as (select q, s, v, n, max(v) over (partition by q) as top from panel),
         r as (select q, s, v, n, row_number() over (partition by q order by n, s) as rn from b where v >= top - 5)
         select q, s, n, round(v, 6) as v from r where rn = 1""",
-    "best_fixed": f"with {PANEL}, m as (select s, avg(v) as mean_v from panel group by s), r as (select s, mean_v, row_number() over (order by round(mean_v, 9) desc, s) as rn from m) select s, round(mean_v, 6) as mean_v from r where rn = 1",
     "needed_split": f"""
         with {PANEL}, w as (select q, max(case when s = 'purchase' then v end) as ref, max(case when s <> 'purchase' then v end) as other from panel group by q)
         select case when ref is null or other is null then 'undefined' when other >= ref - 0.01 then 'sufficient' else 'needed' end as verdict, count(*) as n from w group by 1""",
@@ -59,25 +51,9 @@ SQL: dict[str, str] = {
         r as (select cut, rate, m, row_number() over (order by round(rate, 9), cut) as rn from b where m + se >= top)
         select cut, round(rate, 6) as rate, round(m, 6) as quality from r where rn = 1""",
     "confusion": f"with {LABELLED} select count(case when v >= 1000 and y = 1 then 1 end) as tp, count(case when v >= 1000 and y = 0 then 1 end) as fp, count(case when v < 1000 and y = 1 then 1 end) as fn, count(case when v < 1000 and y = 0 then 1 end) as tn from x",
-    "roc_auc": f"""
-        with {LABELLED}, c as (select v, count(case when y = 1 then 1 end) as p, count(*) as k from x group by v),
-        r as (select p, k, sum(k) over (order by v rows between unbounded preceding and current row) as upto from c),
-        a as (select sum(p * (upto - (k - 1) / cast(2 as double))) as ranks, cast(sum(p) as double) as np, cast(sum(k) as double) as n from r)
-        select round((ranks - np * (np + 1) / 2) / nullif(np * (n - np), 0), 6) as auc from a""",
-    "average_precision": f"""
-        with {LABELLED}, r as (select y, row_number() over (order by v desc, id) as rn, sum(y) over (order by v desc, id rows between unbounded preceding and current row) as pos from x)
-        select round(sum(case when y = 1 then cast(pos as double) / rn else 0 end) / nullif(sum(y), 0), 6) as ap from r""",
-    "spearman": """
-        with r as (select rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / cast(2 as double) as a, rank() over (order by doc_id) + (count(*) over (partition by doc_id) - 1) / cast(2 as double) as b from {documents}),
-        m as (select avg(a) as ma, avg(b) as mb from r)
-        select round(sum((a - ma) * (b - mb)) / nullif(sqrt(sum((a - ma) * (a - ma)) * sum((b - mb) * (b - mb))), 0), 6) as rho from r cross join m""",
     "paired_effect": f"""
         with {PANEL}, d as (select a.s as sa, b.s as sb, a.v - b.v as d from panel a join panel b on a.q = b.q and a.s < b.s)
         select sa, sb, count(*) as n, count(case when d > 0 then 1 end) as wins, count(case when d = 0 then 1 end) as ties, count(case when d < 0 then 1 end) as losses, round(avg(d), 6) as mean_d from d group by sa, sb""",
-    "wilcoxon_statistic": f"""
-        with {PANEL}, d as (select a.s as sa, b.s as sb, round(a.v - b.v, 9) as d from panel a join panel b on a.q = b.q and a.s < b.s),
-        r as (select sa, sb, d, rank() over (partition by sa, sb order by abs(d)) + (count(*) over (partition by sa, sb, abs(d)) - 1) / cast(2 as double) as rk from d where d <> 0)
-        select sa, sb, count(*) as n, round(sum(case when d > 0 then rk else 0 end), 3) as w_plus, round(sum(case when d < 0 then rk else 0 end), 3) as w_minus from r group by sa, sb""",
     "holm": """
         with p as (select p_partkey as id, p_brand as family, (p_size * 7 + p_partkey) % 100 / cast(1000 as double) as p from {part}),
         r as (select id, family, p, row_number() over (partition by family order by p, id) as rn, count(*) over (partition by family) as m from p)
@@ -104,9 +80,6 @@ SQL: dict[str, str] = {
     "depth_pivot": f"with {PANEL} select q % 10 as depth, round(avg(case when s = 'click' then v end), 6) as click, round(avg(case when s = 'view' then v end), 6) as view_v from panel group by q % 10",
     "most_selected": "with c as (select event_type, count(*) as n from {events} group by event_type), r as (select event_type, n, row_number() over (order by n desc, event_type desc) as rn from c) select event_type, n from r where rn = 1",
     "escalation_rate": "select event_type, count(case when value > 50 then 1 end) as escalated, round(avg(case when value > 50 then cast(1 as double) else cast(0 as double) end), 6) as rate, round(avg(case when value > 50 then value end), 6) as escalated_mean, round(avg(case when value <= 50 then value end), 6) as settled_mean from {events} group by event_type",
-    "chunk_stats": """
-        with r as (select n_chars as v, row_number() over (order by n_chars) as rn, count(*) over () as n, sum(n_chars) over () as total from {documents})
-        select max(n) as n, min(v) as lo, max(v) as hi, max(case when rn = n div_int 2 + 1 then v end) as median_v, max(case when rn = cast(floor(n * 95 / cast(100 as double)) as bigint) + 1 then v end) as p95_v, cast(max(total) as bigint) as total from r""",
     "quota_check": """
         with c as (select source, lang, count(*) as n from {documents} group by source, lang)
         select source, lang, n, n >= 5 as met from c""",

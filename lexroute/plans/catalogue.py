@@ -10,7 +10,7 @@ from lexroute.functions import sessions
 from lexroute.functions import text as T
 from lexroute.operators import chunking, gates, inference, lexical_index, metrics, retrieval, routing, signals, studies
 from lexroute.operators.text_scores import rouge_l
-from lexroute.plans import analytics, experiments, oracles, statistics
+from lexroute.plans import analytics, experiments, oracles, ordered, statistics
 
 
 def _t(spark, sf_dir, name):
@@ -152,19 +152,12 @@ def hybrid_change(spark, sf_dir):
     return x.select("query_id", *(c.alias(n) for n, c in signals.change(F.col("d_ids"), F.col("h_ids"), F.col("b_ids"), F.col("rel")).items()))
 
 
-def _records(spark, sf_dir):
-    """Users as queries: the clicks' mean as the cheap arm, the purchases' as the dear one, the views' as a signal."""
-    x = _t(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.avg("value"))
-    one = x.select("user_id", F.col("view").alias("signal"), F.col("click").alias("cheap"), F.col("purchase").alias("dear"), F.col("click").alias("cheap_ms"), (F.col("purchase") * 10).alias("dear_ms"))
-    return one.filter("cheap is not null and dear is not null")
-
-
 def decile_cuts(spark, sf_dir):
-    return signals.decile_cuts(_records(spark, sf_dir), "signal").select(F.round("cut", 6).alias("cut"))
+    return signals.decile_cuts(ordered.records(spark, sf_dir), "signal").select(F.round("cut", 6).alias("cut"))
 
 
 def _swept(spark, sf_dir):
-    records = _records(spark, sf_dir)
+    records = ordered.records(spark, sf_dir)
     cuts = signals.decile_cuts(records, "signal")
     return signals.sweep(records, "signal", cuts, "high").union(signals.sweep(records, "signal", cuts, "low"))
 
@@ -179,7 +172,7 @@ def selected_rule(spark, sf_dir):
 
 def separation_check(spark, sf_dir):
     d = F.col("dear") - F.col("cheap")
-    grouped = _records(spark, sf_dir).withColumn("grp", F.when(d >= 0.01, "helps").when(d <= -0.01, "harms").otherwise("ties"))
+    grouped = ordered.records(spark, sf_dir).withColumn("grp", F.when(d >= 0.01, "helps").when(d <= -0.01, "harms").otherwise("ties"))
     return signals.separation(grouped, ["signal", "cheap", "dear"])
 
 
@@ -190,34 +183,6 @@ def paired_tests(spark, sf_dir):
     return inference.holm(inference.compare(pairs, ["a", "b"]).withColumn("family", F.lit("value")), "p", ["family"])
 
 
-def _deltas(spark, sf_dir):
-    """Users' mean of clicks less that of views; a user's number modulo 50 as its cluster."""
-    d = _records(spark, sf_dir).filter("signal is not null")
-    return d.select(F.lit("click - view").alias("pair"), (F.col("user_id") % 50).alias("cluster"), F.round(F.col("cheap") - F.col("signal"), 9).alias("d"))
-
-
-def bootstrap_ci(spark, sf_dir):
-    return inference.mean_intervals(_deltas(spark, sf_dir), ["pair"])
-
-
-def sign_flip_permutation(spark, sf_dir):
-    return inference.sign_flips(_deltas(spark, sf_dir), ["pair"])
-
-
-def cluster_bootstrap(spark, sf_dir):
-    return inference.cluster_intervals(_deltas(spark, sf_dir), ["pair"], "cluster")
-
-
-def rank_interval(spark, sf_dir):
-    return inference.rank_intervals(_records(spark, sf_dir).withColumn("pair", F.lit("signal/dear")), ["pair"], "signal", "dear")
-
-
-def random_policy(spark, sf_dir):
-    """Escalation where the signal is above 50, against as many rows picked at random."""
-    records = _records(spark, sf_dir).withColumn("policy", F.lit("signal > 50")).withColumn("chosen", F.coalesce(F.col("signal") > 50, F.lit(False)))
-    return inference.policy_ablation(records, ["policy"], "cheap", "dear", "chosen")
-
-
 def metric_grid(spark, sf_dir):
     """Means at each depth of the lexical results."""
     return studies.depth_grid(sessions.cut(bm25_top10(spark, sf_dir)), sessions.cut(qrels(spark, sf_dir)))
@@ -427,12 +392,12 @@ ORACLE = {
     "token_f1": "with k as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as t from conversations), x as (select conv_id, turn, u.t, count(*) as n from (select conv_id, turn, unnest(t) as t from k) u group by all), c as (select a.conv_id, a.turn, sum(least(a.n, b.n)) as c from x a join x b on a.conv_id = b.conv_id and a.turn = b.turn + 1 and a.t = b.t group by all) select a.conv_id, a.turn, round(coalesce(2.0::double * coalesce(c.c, 0) / nullif(len(a.t) + len(b.t), 0), 0), 6) as f1 from k a join k b on a.conv_id = b.conv_id and a.turn = b.turn + 1 left join c on c.conv_id = a.conv_id and c.turn = a.turn",
 }
 
-_QUERIES = (bootstrap_ci, sign_flip_permutation, cluster_bootstrap, rank_interval, random_policy, metric_grid, transition_quality, stage_medians, tie_artefacts, corpus_diff, rejected_queries, pair_signals, hybrid_change, decile_cuts, rule_sweep, selected_rule, separation_check, paired_tests, dup_pairs, dup_screen, dq_structure, dq_grounding, dq_same_ids, dq_quotas, section_chunks, generation_metrics, hybrid_rrf_top10, rouge_l_turns, section_paths, lexical_index_build, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
+_QUERIES = (metric_grid, transition_quality, stage_medians, tie_artefacts, corpus_diff, rejected_queries, pair_signals, hybrid_change, decile_cuts, rule_sweep, selected_rule, separation_check, paired_tests, dup_pairs, dup_screen, dq_structure, dq_grounding, dq_same_ids, dq_quotas, section_chunks, generation_metrics, hybrid_rrf_top10, rouge_l_turns, section_paths, lexical_index_build, term_stats, corpus_stats, bm25_top10, bm25_filtered, bm25_threshold, dense_top10, dense_filter_in, rerank_top10, qrels, eval_rows, metric_means, query_features, route_decisions, sufficiency, adaptive_results, pair_agreement, score_geometry, chunks_window, token_f1, citations, context_pack, html_elements)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*_QUERIES, *experiments.QUERIES)} | {n: partial(analytics.run, name=n) for n in (*analytics.SQL, *statistics.SQL)}
+    return {f.__name__: f for f in (*_QUERIES, *experiments.QUERIES, *ordered.QUERIES)} | {n: partial(analytics.run, name=n) for n in (*analytics.SQL, *statistics.SQL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | oracles.sql(_BM0, _RANK, _TOK, _QREL) | experiments.oracle_sql() | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}
+    return ORACLE | oracles.sql(_BM0, _RANK, _TOK, _QREL) | experiments.oracle_sql() | ordered.SQL | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}

@@ -13,17 +13,10 @@ SQL: dict[str, str] = {
         r as (select lang, cast(sum(n) as double) as r from c group by lang), k as (select quality, cast(sum(n) as double) as k from c group by quality), t as (select cast(sum(n) as double) as t from c),
         e as (select coalesce(c.n, 0) as o, r.r * k.k / t.t as e, t.t as t from r cross join k cross join t left join c on c.lang = r.lang and c.quality = k.quality)
         select round(sum((o - e) * (o - e) / e), 5) as chi_square, round(sqrt(sum((o - e) * (o - e) / e) / max(t)), 6) as phi from e""",
-    "hanley_mcneil": f"""
-        with {LABELLED}, c as (select v, count(case when y = 1 then 1 end) as p, count(*) as k from x group by v),
-        r as (select p, k, sum(k) over (order by v rows between unbounded preceding and current row) as upto from c),
-        a as (select sum(p * (upto - (k - 1) / cast(2 as double))) as ranks, cast(sum(p) as double) as np, cast(sum(k) - sum(p) as double) as nn from r),
-        u as (select (ranks - np * (np + 1) / 2) / nullif(np * nn, 0) as auc, np, nn from a)
-        select round(auc, 6) as auc, round(sqrt((auc * (1 - auc) + (np - 1) * (auc / (2 - auc) - auc * auc) + (nn - 1) * (2 * auc * auc / (1 + auc) - auc * auc)) / (np * nn)), 6) as se from u""",
     "symmetry": f"""
         with {DELTAS}, m as (select avg(d) as mu, count(*) as n from d), c as (select max(n) as n, avg(power(d - mu, 2)) as m2, avg(power(d - mu, 3)) as m3, avg(power(d - mu, 4)) as m4 from d cross join m)
         select n, round(m3 / nullif(power(m2, 1.5), 0), 5) as skew, round(m4 / nullif(m2 * m2, 0) - 3, 5) as excess_kurtosis,
                case when n < 10 then 'too few' when abs(m3 / nullif(power(m2, 1.5), 0)) <= 0.5 and abs(m4 / nullif(m2 * m2, 0) - 3) <= 2 then 'symmetric' else 'asymmetric' end as verdict from c""",
-    "mid_rank": "select doc_id, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / cast(2 as double) as mid_rank from {documents}",
     "rank_aware_frontier": f"""
         with {PANEL}, b as (select q, s, v, n, max(v) over (partition by q) as top, max(n) over (partition by q) as most from panel),
         r as (select q, s, n, row_number() over (partition by q order by case when v >= top - 5 and n >= most - 1 then 0 else 1 end, case when v >= top - 5 and n >= most - 1 then n else 0 end, round(v, 9) desc, s) as rn,

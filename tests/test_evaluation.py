@@ -77,13 +77,12 @@ def test_policies(spark):
 
 def test_signed_rank_and_sign_test():
     assert inference.sign_test(0, 0) == 1.0 and inference.sign_test(5, 0) == 2 / 32
-    d = np.array([1.0, -2.0, 3.0, 4.0, -5.0, 6.0, 0.0])
     sums = [sum(r for r, s in zip(range(1, 7), signs) if s) for signs in itertools.product([0, 1], repeat=6)]
-    w, p, method = inference.signed_rank(d)
-    assert (w, method) == (7.0, "exact") and p == pytest.approx(min(1.0, 2 * sum(x <= 7 for x in sums) / 64))
-    assert inference.signed_rank(np.zeros(3)) == (0.0, 1.0, "degenerate")
-    assert inference.signed_rank(np.array([1.0, 1.0, -1.0, 2.0]))[2] == "normal"
-    assert inference.signed_rank(np.ones(400))[1] == inference.LEAST_P
+    p, method = inference.rank_law(6, 7.0, 0.0)
+    assert method == "exact" and p == pytest.approx(min(1.0, 2 * sum(x <= 7 for x in sums) / 64))
+    assert inference.rank_law(0, 0.0, 0.0) == (1.0, "degenerate")
+    assert inference.rank_law(4, 1.0, 6.0)[1] == "normal"
+    assert inference.rank_law(400, 0.0, 400.0**3 - 400)[0] == inference.LEAST_P
 
 
 def test_compare_and_holm(spark):
@@ -96,16 +95,18 @@ def test_compare_and_holm(spark):
     assert max(r["p_holm"] for r in inference.holm(tests, "p", ["f"]).collect()) == 1.0
 
 
-def test_resampling_is_seeded_and_sane():
-    x = np.arange(50.0)
-    assert inference.bootstrap(x) == inference.bootstrap(x) and inference.bootstrap(x)[0] < 24.5 < inference.bootstrap(x)[1]
-    assert inference.permutation_of_means(x, x + 100, 200) == 1 / 201 and inference.permutation_of_means(x, x, 200) == 1.0
-    mean, share = inference.random_policy(np.zeros(20), np.r_[np.ones(5), np.zeros(15)], 5, 0.25)
-    assert 0.04 < mean < 0.09 and share < 0.01
-    low, high = inference.cluster_interval(np.r_[np.zeros(10), np.ones(10)], np.repeat([0, 1], 10), 500)
-    assert (low, high) == (0.0, 1.0)
-    rho, low, high, empty = inference.spearman_interval(x, x**2, 50)
-    assert rho == pytest.approx(1.0) and empty == 0 and low == pytest.approx(1.0)
+def test_resampling_is_seeded_and_sane(spark):
+    x = spark.range(50).select(F.col("id").cast("double").alias("d"), (F.col("id") >= 25).alias("late"), (F.col("id") * F.col("id")).alias("square"))
+    ci = inference.mean_intervals(x, [], rounds=500).first()
+    assert tuple(ci) == pytest.approx(tuple(inference.mean_intervals(x.repartition(3), [], rounds=500).first())) and ci["lo"] < 24.5 < ci["hi"]
+    records = x.select(F.lit(0.0).alias("c"), F.when(F.col("d") < 5, 1.0).otherwise(0.0).alias("e"), (F.col("d") < 5).alias("on")).limit(20)
+    r = inference.policy_ablation(records, [], "c", "e", "on").first()
+    assert r["quality"] == 0.25 and 0.04 < r["random_quality"] < 0.09 and r["share_reaching"] < 0.01
+    two = x.filter("d < 20").select(F.when(F.col("d") < 10, 0.0).otherwise(1.0).alias("d"), F.floor(F.col("d") / 10).alias("c"))
+    r = inference.cluster_intervals(two, [], "c", rounds=500).first()
+    assert (r["n"], r["clusters"], r["lo"], r["hi"]) == (20, 2, 0.0, 1.0)
+    r = inference.rank_intervals(x, [], "d", "square", 50).first()
+    assert r["rho"] == pytest.approx(1.0) and r["constant"] == 0 and r["lo"] == pytest.approx(1.0)
 
 
 def test_chunks(spark):
