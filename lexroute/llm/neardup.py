@@ -13,11 +13,12 @@ their own, so short texts fill theirs too.
    most buckets with others (a copied original rather than one of its copies).
    Pairs whose collision-corrected estimate is far below the threshold go;
    the others are verified on their full sets, and links give components.
-4. A bucket whose members are still of several components is compared further: those
-   outside its largest component with all members, on full sets in blocks of bounded
-   size. A block returns a spanning forest of the links it finds between components, never
-   its pairs. So a bucket of thousands of copies gives a few rows for each, and no link
-   between components is lost to a cap.
+4. A bucket whose members are still of several components is compared further, but only members
+   that share one of their rarest shingles too: of n, near sets have one of the rarest
+   n - ceil(0.8 n) + 1 in common. There, those outside the largest component meet all members, on full
+   sets in blocks of bounded size. A block returns a spanning forest of the links it finds between
+   components, never its pairs. So a bucket of thousands of copies gives a few rows for each, one of
+   thousands of texts that share a template and no more gives none, and no link between components is lost to a cap.
 
 With REGISTERS = 128 and 25 bands of 5, a pair at the threshold of 0.8 shares a
 bucket with probability 1 - (1 - 0.8**5)**25 = 0.99995.
@@ -35,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexroute.llm.sparkops import Sieve, boxed, components, dropped, durable, join_by_count, quoted, unboxed
+from lexroute.llm.sparkops import Sieve, boxed, components, dropped, durable, join_by_count, quoted, unboxed, width
 from lexroute.llm.textops import LOWER, Prefix, blocks, byte_prefix, local_index, mix, utf8, word_spans
 
 REGISTERS, MANTISSA, BANDS, BAND = 128, 10, 25, 5
 SHINGLE, THRESHOLD, MARGIN, BLOCK, SLICE = 5, 80, 0.25, 256, 1 << 14
 #: Pairs of one pivot that are dealt to one task.
 PIVOT_ROWS = 512
+#: Counters of shingles' frequencies.
+COUNTERS = 1 << 22
 #: Chance that two unequal minima give equal registers.
 ACCIDENT = 2.0**-MANTISSA / 1.4
 
@@ -239,25 +242,101 @@ def forest(component: list, links: np.ndarray) -> list[int]:
     return kept
 
 
+class Frequencies:
+    """How many sets hold a shingle, at least: COUNTERS sums of it and of those that share its place (16 MB, whatever the input)."""
+
+    def __init__(self, with_sets: DataFrame):
+        def count(batches):
+            total = np.zeros(COUNTERS, np.int64)
+            for batch in batches:
+                total += np.bincount(_counter(_flat(batch.column("members"))), minlength=COUNTERS)
+            slots = [(k, np.flatnonzero(c), c) for k, c in enumerate(total.reshape(-1, 1 << 16))]
+            slots = [(k, at.astype(np.uint16).tobytes(), c[at].tobytes()) for k, at, c in slots if len(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*slots) if slots else ((), (), ()), (pa.int32(), pa.binary(), pa.binary()))], ["slot", "at", "counts"])
+
+        def add(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, at, counts in zip(*(batch.column(c).to_pylist() for c in ("slot", "at", "counts"))):
+                    sums.setdefault(k, np.zeros(1 << 16, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.int64)
+            for k, c in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(c, (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())], ["slot", "counts"])
+
+        parts = with_sets.mapInArrow(count, "slot int, at binary, counts binary").repartition(min(width(with_sets), COUNTERS >> 16), "slot")
+        table = np.zeros((COUNTERS >> 16, 1 << 16), np.int32)
+        for batch in parts.mapInArrow(add, "slot int, counts binary").toArrow().to_batches():  # COUNTERS numbers
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table[k] = np.frombuffer(c, np.int32)
+        self.shared = with_sets.sparkSession.sparkContext.broadcast(table.ravel())
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.shared.value[_counter(h)]
+
+
+def _flat(members: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(members.to_pylist()), np.uint64)
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (mix(h ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def prefixes(with_sets: DataFrame, frequencies: Frequencies, threshold: int) -> DataFrame:
+    """(id, h): the rarest n - ceil(threshold * n) + 1 shingles of each set of n; near sets have one of them in common. Those of one set alone are left out."""
+
+    def run(batches):
+        for batch in batches:
+            h = _flat(batch.column("members"))
+            n = np.array([len(m) // 8 for m in batch.column("members").to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            often = frequencies.of(h)
+            order = np.lexsort((h, often, row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            first = order[(place < (n + (-threshold * n // 100) + 1)[row]) & (often[order] > 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[first])), pa.array(h[first].view(np.int64))], ["id", "h"])
+
+    return with_sets.select("id", "members").mapInArrow(run, "id long, h long")
+
+
+def still_open(keyed: DataFrame, *more) -> DataFrame:
+    """(key, total, bulk, strays, more) of the keys of (key, id, component) whose rows are of several components; bulk is the largest, strays the rows of all others."""
+    held = durable(keyed.groupBy("key", "component").agg(F.count("*").alias("k"), *more))
+    of = held.groupBy("key").agg(F.sum("k").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("most"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    open_ = durable(of.filter("kinds > 1").select("key", "total", F.col("most.component").alias("bulk"), (F.col("total") - F.col("most.k")).alias("strays"), "s", "x"))
+    dropped(held)
+    return open_
+
+
 def rest_links(now: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
-    """Links (a, b) between components that share a bucket: exact on full sets, in blocks of bounded size; None if no bucket is open.
+    """Links (a, b) between components that share a bucket, on full sets, in blocks of bounded size; None if no bucket is open.
 
-    now: (bucket, id, component). In an open bucket the members of all components but the
-    largest are compared with all members: copies of one text meet only the strays. Each block
-    returns only links that join components, never all of its pairs.
+    now: (bucket, id, component). Members of an open bucket meet if they also have one of their rarest
+    shingles in common (see prefixes), which all near sets do: texts of one template that differ in the rest don't meet.
+    Keys (bucket, shingle) with the same members are one. Under a key the members of all components but the largest are compared with all
+    members: copies of one text meet only the strays. Each block returns only links that join components, never all of its pairs.
     """
-    held = durable(now.groupBy("bucket", "component").agg(F.count("*").alias("k")))
-    total = F.sum("k").alias("total")
-    open_ = held.groupBy("bucket").agg(total, F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("most")).filter("total > 2 and kinds > 1")
-    open_ = durable(open_.select("bucket", "total", F.col("most.component").alias("bulk"), F.ceil(F.col("total") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("total") - F.col("most.k")) / BLOCK).cast("int").alias("strays")))
-    dropped(held)
-    if open_.isEmpty():
+    sums = (F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("x"))  # tell sets of members apart
+    buckets = still_open(now.withColumnRenamed("bucket", "key"), *sums)
+    several = buckets.filter("total > 2").select("key", "total")  # a bucket of two was compared by its pivot
+    rows = several.agg(F.sum("total")).first()[0]
+    if not rows:
+        dropped(buckets)
         return None
-    rows = open_.agg(F.sum("total")).first()[0]
-    members = durable(join_by_count(now, open_, ["bucket"], "total", rows))
+    members = durable(join_by_count(now.withColumnRenamed("bucket", "key"), several, ["key"], "total", rows))
     with_sets = durable(sets(texts.join(members.select("id").distinct(), "id"), shingle))
-    all_ = members.select("bucket", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("j"))
-    strays = members.filter("component <> bulk").select("bucket", "id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("strays")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    rare = durable(prefixes(with_sets, Frequencies(with_sets), threshold))
+    keyed = durable(members.join(rare, "id").select(F.xxhash64("key", "h").alias("key"), "id", "component"))
+    open_ = still_open(keyed, *sums)
+    once = durable(open_.groupBy("total", "bulk", "strays", "s", "x").agg(F.min("key").alias("key")).select("key", "total", "bulk", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("total", "parts"), ("strays", "strays")))))
+    dropped(buckets, members, rare, open_)
+    n = once.agg(F.sum("total")).first()[0]
+    if not n:
+        dropped(with_sets, keyed, once)
+        return None
+    members = durable(join_by_count(keyed, once, ["key"], "total", n))
+    dropped(keyed, once)
+    all_ = members.select("key", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("j"))
+    strays = members.filter("component <> bulk").select("key", "id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("strays")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
 
     def run(pdf):
         import pandas as pd
@@ -273,7 +352,7 @@ def rest_links(now: DataFrame, texts: DataFrame, shingle: int, threshold: int) -
         links = links[forest(np.concatenate([cx, cy]).tolist(), links)]
         return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
-    found = durable(all_.union(strays).join(with_sets, "id").groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long"))
+    found = durable(all_.union(strays).join(with_sets, "id").groupBy("key", "i", "j").applyInPandas(run, "a long, b long"))
     dropped(members, with_sets)
     return found
 
