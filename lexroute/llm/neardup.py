@@ -298,43 +298,69 @@ def prefixes(with_sets: DataFrame, frequencies: Frequencies, threshold: int) ->
     return with_sets.select("id", "members").mapInArrow(run, "id long, h long")
 
 
-def still_open(keyed: DataFrame, *more) -> DataFrame:
-    """(key, total, bulk, strays, more) of the keys of (key, id, component) whose rows are of several components; bulk is the largest, strays the rows of all others."""
-    held = durable(keyed.groupBy("key", "component").agg(F.count("*").alias("k"), *more))
-    of = held.groupBy("key").agg(F.sum("k").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("most"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
-    open_ = durable(of.filter("kinds > 1").select("key", "total", F.col("most.component").alias("bulk"), (F.col("total") - F.col("most.k")).alias("strays"), "s", "x"))
+def still_open(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, total, bulk, strays, s, x, work) of the keys of (keys, id, component) whose rows are of several components.
+
+    bulk is the largest component, strays are the rows of all others; s and x tell sets of members apart, work is the rows that blocks take.
+    """
+    held = durable(rows.groupBy(*keys, "component").agg(F.count("*").alias("k"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("x")))
+    of = held.groupBy(*keys).agg(F.sum("k").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("most"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    blocks_of = lambda c: F.ceil(F.col(c) / BLOCK)
+    open_ = of.filter("kinds > 1").select(*keys, "total", F.col("most.component").alias("bulk"), (F.col("total") - F.col("most.k")).alias("strays"), "s", "x")
+    open_ = durable(open_.withColumn("work", F.col("total") * blocks_of("strays") + F.col("strays") * blocks_of("total")))
     dropped(held)
     return open_
 
 
+def meetings(members: DataFrame, rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, component) of who is to meet whom, and (key, total, bulk, strays) of those keys.
+
+    members: (bucket, id, component) of open buckets, rare: (id, h). Members meet if they have a rare shingle in common. Either a bucket's shingles are the
+    keys, or the bucket itself with the members that any of them has, whichever takes fewer rows; keys of the same members are one.
+    """
+    shared = durable(members.join(rare, "id").select("bucket", "h", "id", "component"))
+    tokens = still_open(shared, "bucket", "h")
+    tokens = durable(tokens.groupBy("bucket", "total", "bulk", "strays", "s", "x", "work").agg(F.min("h").alias("h")))
+    n = tokens.agg(F.sum("total")).first()[0] or 0
+    met = durable(join_by_count(shared, tokens.select("bucket", "h", "total"), ["bucket", "h"], "total", n))
+    some = durable(met.select("bucket", "id", "component").distinct())
+    whole = still_open(some, "bucket")
+    cheap = tokens.groupBy("bucket").agg(F.sum("work").alias("by_token")).join(whole.select("bucket", "work"), "bucket").filter("work <= by_token").select("bucket")
+    key_b, key_t, names = F.xxhash64("bucket", F.lit("bucket")).alias("key"), F.xxhash64("bucket", "h").alias("key"), ("total", "bulk", "strays", "s", "x")
+    cheap = durable(cheap)
+    groups = whole.join(cheap, "bucket").select(key_b, *names).union(tokens.join(cheap, "bucket", "left_anti").select(key_t, *names))
+    groups = durable(groups.groupBy(*names).agg(F.min("key").alias("key")))
+    rows = some.join(cheap, "bucket").select(key_b, "id", "component").union(met.join(cheap, "bucket", "left_anti").select(key_t, "id", "component"))
+    out = durable(join_by_count(durable(rows), groups.select("key", "total"), ["key"], "total", groups.agg(F.sum("total")).first()[0] or 0))
+    dropped(shared, tokens, met, some, whole, cheap)
+    return out, groups
+
+
 def rest_links(now: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
     """Links (a, b) between components that share a bucket, on full sets, in blocks of bounded size; None if no bucket is open.
 
     now: (bucket, id, component). Members of an open bucket meet if they also have one of their rarest
     shingles in common (see prefixes), which all near sets do: texts of one template that differ in the rest don't meet.
-    Keys (bucket, shingle) with the same members are one. Under a key the members of all components but the largest are compared with all
+    Under a key the members of all components but the largest are compared with all
     members: copies of one text meet only the strays. Each block returns only links that join components, never all of its pairs.
     """
-    sums = (F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("x"))  # tell sets of members apart
-    buckets = still_open(now.withColumnRenamed("bucket", "key"), *sums)
-    several = buckets.filter("total > 2").select("key", "total")  # a bucket of two was compared by its pivot
+    buckets = still_open(now, "bucket")
+    several = buckets.filter("total > 2").select("bucket", "total")  # a bucket of two was compared by its pivot
     rows = several.agg(F.sum("total")).first()[0]
     if not rows:
         dropped(buckets)
         return None
-    members = durable(join_by_count(now.withColumnRenamed("bucket", "key"), several, ["key"], "total", rows))
+    members = durable(join_by_count(now, several, ["bucket"], "total", rows))
     with_sets = durable(sets(texts.join(members.select("id").distinct(), "id"), shingle))
     rare = durable(prefixes(with_sets, Frequencies(with_sets), threshold))
-    keyed = durable(members.join(rare, "id").select(F.xxhash64("key", "h").alias("key"), "id", "component"))
-    open_ = still_open(keyed, *sums)
-    once = durable(open_.groupBy("total", "bulk", "strays", "s", "x").agg(F.min("key").alias("key")).select("key", "total", "bulk", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(n) for c, n in (("total", "parts"), ("strays", "strays")))))
-    dropped(buckets, members, rare, open_)
-    n = once.agg(F.sum("total")).first()[0]
-    if not n:
-        dropped(with_sets, keyed, once)
+    met, groups = meetings(members, rare)
+    dropped(buckets, members, rare)
+    if groups.isEmpty():
+        dropped(with_sets, met, groups)
         return None
-    members = durable(join_by_count(keyed, once, ["key"], "total", n))
-    dropped(keyed, once)
+    parts = F.ceil(F.col("total") / BLOCK).cast("int").alias("parts")
+    members = durable(join_by_count(met, groups.select("key", "total", "bulk", parts, F.ceil(F.col("strays") / BLOCK).cast("int").alias("strays")), ["key"], "total", groups.agg(F.sum("total")).first()[0]))
+    dropped(met, groups)
     all_ = members.select("key", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("j"))
     strays = members.filter("component <> bulk").select("key", "id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("strays")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
 

@@ -60,6 +60,19 @@ def test_a_template_alone_makes_no_work(spark):
     assert neardup.rest_links(texts.selectExpr("7L as bucket", "id", "id as component"), texts, 4, 80) is None
 
 
+def test_keys_by_shingle_or_by_bucket(spark):
+    """Two crowds that share one shingle each in a large bucket, and a bucket whose members share many."""
+    rows = [(1, i, i) for i in range(700)] + [(2, 1000 + i, 1000 + i) for i in range(4)] + [(3, 1000 + i, 1000 + i) for i in range(4)]
+    rare = [(i, -(i // 2)) for i in range(600)] + [(1000 + i, h) for i in range(4) for h in range(50, 60) if (i + h) % 3]
+    met, groups = neardup.meetings(spark.createDataFrame(rows, "bucket long, id long, component long"), spark.createDataFrame(rare, "id long, h long"))
+    members = {}
+    for r in met.collect():
+        members.setdefault(r["key"], set()).add(r["id"])
+    sizes = sorted((r["total"], r["strays"]) for r in groups.collect())
+    assert sizes == [(2, 1)] * 300 + [(4, 3)]  # pairs by shingle, the second bucket whole, the third one the same members
+    assert {frozenset(v) for v in members.values()} == {frozenset((2 * k, 2 * k + 1)) for k in range(300)} | {frozenset(range(1000, 1004))}
+
+
 def test_prefixes_of_near_sets_meet(spark):
     rng = np.random.default_rng(2)
     made = [rng.choice(60, 10, replace=False).astype(np.uint64) for _ in range(150)]
