@@ -46,12 +46,11 @@ WEIGHTS = {
     "hybrid": {"lexical": 0.5, "entity": 0.3, "question_type": 0.5, "semantic": 1.0, "complexity": 1.0, "multi_concept": 1.5},
     "hybrid_rerank": {"lexical": 0.0, "entity": 0.0, "question_type": 0.5, "semantic": 0.3, "complexity": 1.5, "multi_concept": 1.0},
 }
-KINDS = ["what", "how", "why", "which", "who", "when", "where", "compare", "define", "other"]
 SUPPORT = {
-    "bm25": [0.6, 0.2, 0.0, 0.7, 0.8, 0.7, 0.7, 0.0, 1.0, 0.3],
-    "dense": [0.6, 0.8, 1.0, 0.3, 0.2, 0.2, 0.2, 0.4, 0.2, 0.6],
-    "hybrid": [0.6, 0.7, 0.7, 0.5, 0.4, 0.4, 0.4, 1.0, 0.5, 0.7],
-    "hybrid_rerank": [0.4, 0.5, 0.4, 0.3, 0.3, 0.3, 0.3, 0.7, 0.3, 0.4],
+    "bm25": {"what": 0.6, "how": 0.2, "why": 0.0, "which": 0.7, "who": 0.8, "when": 0.7, "where": 0.7, "compare": 0.0, "define": 1.0, "other": 0.3},
+    "dense": {"what": 0.6, "how": 0.8, "why": 1.0, "which": 0.3, "who": 0.2, "when": 0.2, "where": 0.2, "compare": 0.4, "define": 0.2, "other": 0.6},
+    "hybrid": {"what": 0.6, "how": 0.7, "why": 0.7, "which": 0.5, "who": 0.4, "when": 0.4, "where": 0.4, "compare": 1.0, "define": 0.5, "other": 0.7},
+    "hybrid_rerank": {"what": 0.4, "how": 0.5, "why": 0.4, "which": 0.3, "who": 0.3, "when": 0.3, "where": 0.3, "compare": 0.7, "define": 0.3, "other": 0.4},
 }
 GROUPS = ["lexical", "semantic", "entity", "complexity", "multi_concept", "question_type"]
 COST_WEIGHT, ENOUGH, MIN_RESULTS, COVERAGE, TOP1_COVERAGE = 0.25, 0.5, 3, 0.5, 0.3
@@ -127,9 +126,11 @@ def ranking(available: list[str] | None = None, groups: list[str] | None = None,
     signal = {"lexical": unit(F.col("lexical_density")), "semantic": unit(F.col("semantic_ratio") * 4.0), "entity": unit(F.col("entity_ratio") * 2.0), "complexity": unit(F.col("complexity_score")), "multi_concept": unit((F.col("concept_count") - 1) / 2.0)}
 
     def total(s: str) -> Column:
-        support = F.element_at(F.create_map(*(F.lit(v) for pair in zip(KINDS, SUPPORT[s]) for v in pair)), F.col("question_type"))
-        parts = [weights[s][g] * (support if g == "question_type" else signal[g]) for g in GROUPS if g in groups and weights[s].get(g)]
-        return F.round(sum(parts, F.lit(0.0)) - cost_weight * COST_MS[s] / dearest, 6)
+        support = F.element_at(F.create_map(*(F.lit(v) for pair in SUPPORT[s].items() for v in pair)), F.col("question_type"))
+        # signals have six decimals and weights two, so parts are added up in whole hundred-millionths and rounded once
+        parts = [F.round(weights[s][g] * (support if g == "question_type" else signal[g]) * 1e8).cast("long") for g in GROUPS if g in groups and weights[s].get(g)]
+        whole = sum(parts, F.lit(-round(cost_weight * COST_MS[s] / dearest * 1e8)).cast("long"))
+        return F.floor((whole + 50) / F.lit(100)) / 1e6
 
     return F.array_sort(F.array(*(F.struct((-total(s)).alias("low"), F.lit(STRATEGIES.index(s)).alias("place"), F.lit(s).alias("strategy")) for s in available)))
 
@@ -138,8 +139,10 @@ def route(analysed: DataFrame, available: list[str] | None = None, groups: list[
     """analysed with strategy, score and confidence."""
     x = analysed.withColumn("_scored", ranking(available, groups, cost_weight, weights))
     best, second = -F.col("_scored")[0]["low"], -F.try_element_at("_scored", F.lit(2))["low"]
-    confidence = F.coalesce(unit(F.try_divide(best - second, F.abs(best) + F.abs(second))), F.lit(0.0))
-    return x.withColumns({"strategy": F.col("_scored")[0]["strategy"], "score": best, "confidence": F.round(confidence, 6)}).drop("_scored")
+    b, c = (F.round(v * 1_000_000).cast("long") for v in (best, second))  # scores have six decimals: the margin is a fraction of whole numbers, rounded once
+    base = F.abs(b) + F.abs(c)
+    millionths = F.floor(F.try_divide(2_000_000 * (b - c) + base, 2 * base))
+    return x.withColumns({"strategy": F.col("_scored")[0]["strategy"], "score": best, "confidence": F.coalesce(F.greatest(F.lit(0), millionths) / 1_000_000, F.lit(0.0))}).drop("_scored")
 
 
 def sufficient(analysed: DataFrame, results: DataFrame, docs: DataFrame, by: str = "query_id") -> DataFrame:

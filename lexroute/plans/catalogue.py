@@ -10,7 +10,7 @@ from lexroute.functions import sessions
 from lexroute.functions import text as T
 from lexroute.operators import chunking, gates, inference, lexical_index, metrics, retrieval, routing, signals, studies
 from lexroute.operators.text_scores import rouge_l
-from lexroute.plans import analytics, experiments, oracles, ordered, statistics, structure
+from lexroute.plans import analytics, experiments, oracles, ordered, runs, statistics, structure
 
 
 def _t(spark, sf_dir, name):
@@ -396,8 +396,8 @@ _QUERIES = (metric_grid, transition_quality, stage_medians, tie_artefacts, corpu
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*_QUERIES, *experiments.QUERIES, *ordered.QUERIES, *structure.QUERIES)} | {n: partial(analytics.run, name=n) for n in (*analytics.SQL, *statistics.SQL)}
+    return {f.__name__: f for f in (*_QUERIES, *experiments.QUERIES, *ordered.QUERIES, *structure.QUERIES, *runs.QUERIES)} | {n: partial(analytics.run, name=n) for n in (*analytics.SQL, *statistics.SQL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | oracles.sql(_BM0, _RANK, _TOK, _QREL) | experiments.oracle_sql() | ordered.SQL | structure.oracle_sql() | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}
+    return ORACLE | oracles.sql(_BM0, _RANK, _TOK, _QREL) | experiments.oracle_sql() | ordered.SQL | structure.oracle_sql() | runs.sql(_BM0, _B10, _QREL) | {n: analytics.duck_text(n) for n in (*analytics.SQL, *statistics.SQL)}

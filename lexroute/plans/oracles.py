@@ -39,12 +39,14 @@ def routes(cost: float = 0.25, groups=tuple(R.GROUPS)) -> str:
     rows = []
     for i, s in enumerate(R.STRATEGIES):
         w = {g: R.WEIGHTS[s][g] if g in groups else 0.0 for g in R.GROUPS}
-        kind = "case question_type " + " ".join(f"when '{k}' then {v}::double" for k, v in zip(R.KINDS, R.SUPPORT[s])) + " end"
-        terms = f"({w['lexical']}::double * least(1, lexical_density) + {w['semantic']}::double * least(1, semantic_ratio * 4) + {w['entity']}::double * least(1, entity_ratio * 2) + {w['complexity']}::double * complexity_score + {w['multi_concept']}::double * least(1, (concept_count - 1) / 2) + {w['question_type']}::double * {kind})"
-        rows.append(f"select k1, k2, {i} as place, '{s}' as strategy, round({terms} - {cost * R.COST_MS[s] / max(R.COST_MS.values())!r}::double, 6) as score from f")
+        kind = "case question_type " + " ".join(f"when '{k}' then {v}::double" for k, v in R.SUPPORT[s].items()) + " end"
+        signals = {"lexical": "least(1, lexical_density)", "semantic": "least(1, semantic_ratio * 4)", "entity": "least(1, entity_ratio * 2)", "complexity": "complexity_score", "multi_concept": "least(1, (concept_count - 1) / 2)", "question_type": kind}
+        terms = " + ".join(f"round({w[g]}::double * ({x}) * 100000000)::bigint" for g, x in signals.items())
+        rows.append(f"select k1, k2, {i} as place, '{s}' as strategy, floor(({terms} - {round(cost * R.COST_MS[s] / max(R.COST_MS.values()) * 1e8)} + 50) / 100::double) / 1000000::double as score from f")
     return f"""s as ({' union all '.join(rows)}),
 r as (select *, row_number() over (partition by k1, k2 order by score desc, place) as rn, lead(score) over (partition by k1, k2 order by score desc, place) as next from s),
-w as (select k1, k2, strategy, score, round(coalesce(least(1, greatest(0, (score - next) / nullif(abs(score) + abs(next), 0))), 0), 6) as confidence from r where rn = 1)"""
+v as (select k1, k2, strategy, score, round(score * 1000000)::bigint as b, round(next * 1000000)::bigint as c from r where rn = 1),
+w as (select k1, k2, strategy, score, coalesce(greatest(0, (2000000 * (b - c) + abs(b) + abs(c)) // nullif(2 * (abs(b) + abs(c)), 0)) / 1000000::double, 0) as confidence from v)"""
 
 
 TURNS = "select conv_id as k1, turn as k2, text as query from conversations where role = 'user'"

@@ -1,8 +1,6 @@
 """Caches, vectors as text, report tables, and gates over runs."""
 
-import csv
 import hashlib
-import io
 import json
 import sys
 from pathlib import Path
@@ -61,26 +59,40 @@ def test_refused_batches_are_halved():
         caches.embed(["a", "bad"], call, 2, OverflowError)
 
 
-def test_cells():
-    assert [reports.number(x, 2) for x in (0.125, 0.375, 1, None, True, "x", float("nan"))] == ["0.12", "0.38", "1.00", "", "", "", ""]
-    assert [reports.percent(x) for x in (0.5, None)] == ["50.0%", ""]
-    assert [reports.few(n) for n in (4, 5, None)] == ["yes", "no", ""] and reports.text(None) == ""
-
-
-def test_tables(spark):
-    df = spark.createDataFrame([("a|b", 0.5, 3), ("c,d", None, 9)], "s string, v double, n int").orderBy("n")
-    cells = {"System": ("s", reports.text), "Mean": ("v", reports.number, 3), "Rate": ("v", reports.percent), "Few": ("n", reports.few)}
-    t = reports.table("t", "Means", df, cells, ("one note",))
-    assert t.markdown() == "## Means\n\n| System | Mean | Rate | Few |\n| --- | --- | --- | --- |\n| a\\|b | 0.500 | 50.0% | yes |\n| c,d |  |  | no |\n\nNotes:\n\n- one note\n"
-    assert list(csv.reader(io.StringIO(t.csv()))) == [list(cells), ["a|b", "0.500", "50.0%", "yes"], ["c,d", "", "", "no"]]
-    assert json.loads(t.json())["rows"][1]["System"] == "c,d"
-    empty = reports.table("e", "None", df.limit(0), cells)
-    assert "**no rows**" in empty.markdown() and "(no data rows) no rows,,," in empty.csv() and json.loads(empty.json())["empty_reason"] == "no rows"
-    assert "- [Means](#means)" in reports.report([t, empty])
-    with pytest.raises(ValueError, match="composite"):
-        reports.table("x", "X", df, {"Overall score": ("v", reports.number)})
-    with pytest.raises(ValueError, match="at most"):
-        reports.table("x", "X", spark.range(reports.MOST_ROWS + 1), {"Id": ("id", reports.text)})
+def test_cells(spark):
+    x = spark.createDataFrame([(0.125, 4), (0.375, 5), (1.0, None), (None, 9), (float("nan"), 9)], "v double, n int")
+    got = x.select(reports.fixed("v", 2).alias("f"), reports.share("v").alias("s"), reports.few().alias("few"), reports.text("n").alias("t")).collect()
+    assert [r["f"] for r in got] == ["0.12", "0.38", "1.00", "", ""] and [r["s"] for r in got] == ["12.5%", "37.5%", "100.0%", "", ""]
+    assert [r["few"] for r in got] == ["yes", "no", "", "no", "no"] and [r["t"] for r in got] == ["4", "5", "", "9", "9"]
+
+
+def test_tables_and_texts(spark):
+    df = spark.createDataFrame([("a|b", 0.5, 3), ("c,d", None, 9)], "s string, v double, n int")
+    cells = reports.table(df, [("System", reports.text("s")), ("Mean", reports.fixed("v", 3)), ("Few", reports.few())])
+    assert [tuple(r) for r in cells.orderBy("System").collect()] == [("a|b", "0.500", "yes"), ("c,d", "", "no")]
+    body = reports.markdown(cells, "Means", ["System"]).first()["body"]
+    assert body == "### Means\n\n| System | Mean | Few |\n| --- | --- | --- |\n| a\\|b | 0.500 | yes |\n| c,d |  | no |\n"
+    assert "_nothing ran_" in reports.markdown(cells.limit(0), "None", ["System"], "nothing ran").first()["body"]
+    with pytest.raises(ValueError, match="apart"):
+        reports.table(df, [("Overall score", reports.text("v"))])
+    with pytest.raises(Exception, match="at most"):
+        reports.markdown(spark.range(reports.MOST_ROWS + 1).selectExpr("string(id) as id"), "Long", ["id"]).collect()
+
+
+def test_all_reports(spark):
+    fields = "system string, category string, recall_at_5 double, mrr double, ndcg_at_5 double, total_latency_ms double, routing_latency_ms double, retrieval_latency_ms double, reranking_latency_ms double, escalated boolean, stage_count int, routing_confidence double, initial_strategy string, final_strategy string, context_tokens int, total_tokens int, estimated_cost_usd double, sufficiency_threshold double"
+    rows = [("x", "k", 1.0, 0.5, 0.25, 100.0, 10.0, 80.0, None, True, 2, 0.5, "bm25", "dense", 100, None, 0.01, 0.5)] * 2 + [("x", "l", 0.0, 0.0, 0.0, 300.0, None, None, None, None, None, None, None, None, None, None, None, None), ("y", "k", None, None, None, None, None, None, None, False, 1, None, "dense", "dense", 5, 7, None, 0.7)]
+    df = spark.createDataFrame(rows, fields)
+    made = {name: [r.asDict() for r in reports.report(df, name).collect()] for name in reports.REPORTS}
+    x = next(r for r in made["systems"] if r["System"] == "x")
+    assert (x["Recall at 5"], x["Median ms"], x["95 % ms"], x["Median reranking ms"], x["Resources"], x["n"], x["Few rows"]) == ("0.6667", "100.00", "300.00", "", "ctx=100 usd=0.010000", "3", "yes")
+    y = next(r for r in made["features"] if r["System"] == "y")
+    assert (y["Recall at 5"], y["First choice"], y["Escalated"], y["Resources"]) == ("", "dense (100%)", "0.0%", "ctx=5 total=7")
+    assert {r["Sufficiency threshold"] for r in made["thresholds"]} == {"", "0.5", "0.7"} and next(r for r in made["overhead"] if r["System"] == "x")["Share of total"] == "10.00%"
+    assert {r["Category"] for r in made["categories"]} == {"k", "l"}
+    runs = spark.createDataFrame([("q1", True, "bm25", "dense", ["a", "b"], ["b", "c"]), ("q2", True, "bm25", "dense", None, ["z"]), ("q3", False, "bm25", "bm25", None, ["a"])], "query_id string, escalated boolean, initial_strategy string, final_strategy string, pre_escalation_chunk_ids array<string>, retrieved_chunk_ids array<string>")
+    gold = spark.createDataFrame([("q1", ["b", "c"]), ("q2", ["z", "y"])], "query_id string, chunk_ids array<string>")
+    assert [tuple(r) for r in reports.transitions(runs, gold).collect()] == [("bm25", "dense", "0.5000", "0.7500", "0.5000", "2", "yes")]
 
 
 def test_gates_over_runs(spark):
