@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lexroute-"))
 
 
+#: Frames stored within each scratch() that is open.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """For a caller that writes its result within the block: what durable() stored in it is deleted at its end."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        dropped(*_open.pop())
+
+
+def _stored(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's JVM ends, if nobody deletes it before."""
+    where, fs = _stored(spark, path)
+    fs.deleteOnExit(where)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
 
-    Shuffle files of what came before are deleted as soon as it is written.
+    Shuffle files of what came before are deleted as soon as it is written. The Parquet itself goes with
+    dropped(), at the end of a scratch() around, or with the session.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
@@ -41,14 +69,17 @@ def durable(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    forget_at_exit(spark, path)
+    if _open:
+        _open[-1].append(out)
     return out
 
 
 def dropped(*frames: DataFrame) -> None:
     """Deletes what durable() wrote, once nothing reads it any more."""
     for df in frames:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        where, fs = _stored(df.sparkSession, df.stored_at)
+        fs.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

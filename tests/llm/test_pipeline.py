@@ -44,3 +44,13 @@ def test_components_by_tasks_and_by_rounds(spark):
     edges = spark.createDataFrame(pairs, "a long, b long")
     for local in (1 << 19, 7):
         assert {r["id"]: r["component"] for r in sparkops.components(edges, local).collect()} == want
+
+
+def test_nothing_is_left_but_the_last_stage(spark, rows, tmp_path):
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(sparkops.shared_folder(spark))
+    before = set(shared.glob("*"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = sorted(p.name for folder in set(shared.glob("*")) - before for p in ([folder] if folder.name.startswith("stored-") else folder.iterdir()))
+    assert left == ["4-best_fit_packing"] and out.count() > 0
