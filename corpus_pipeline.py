@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexroute.llm import langid, neardup, packing, rules, substring
-from lexroute.llm.sparkops import shared_folder
+from lexroute.llm.sparkops import dropped, forget_at_exit, scratch, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with scratch():  # what a stage stored on its way is not read again
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        docs.stored_at = f"{folder}/{k}-{name}"
+        if before is None:
+            forget_at_exit(spark, folder)
+        else:
+            dropped(before)
+        before = docs
     return docs
