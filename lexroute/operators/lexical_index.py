@@ -1,25 +1,32 @@
 """The lexical index of a corpus: postings, terms and statistics, as frames or kept as Parquet.
 
-Texts are dealt by document id once. Counting terms, lengths and sorting then
-need no further shuffle of postings, and a term that stands in every document
-is spread over all partitions, as no partition owns a term.
+The words of a text are counted in its row, so no text is ever shuffled. A kept index is a row of segments, each made of
+some of the corpus' files. When files come or go only the new ones are read; what came from files that are gone or changed is
+left out by their marks, and its counts are taken off. Many segments are merged into one from their postings.
+
+Postings lie in folders by a hash of their term, a term of many documents in many files of its folder, sorted by the hash:
+a search reads the folders, and within them the pages, of the words it asks for.
+
+Ids should be distinct: rows that share one are documents of their own with one name.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
+import functools
+import operator
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexroute.functions import sessions
 from lexroute.functions.text import index_tokens
 
 #: Changes with the tokens or the columns of an index, so that older ones count as stale.
-FORMAT = "1"
+FORMAT = "4"
+#: Folders of postings; rows of a page, the least that is read; segments from which on they are merged; terms that a search hands to the reader.
+BUCKETS, PAGE_ROWS, MOST_SEGMENTS, PUSHED = 32, 1024, 8, 512
 _TABLES = ("postings", "terms", "stats")
 
 
@@ -29,22 +36,47 @@ class StaleIndex(ValueError):
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (doc_id, term, tf, dl), terms (term, df, cf), stats (n_docs, n_tokens, avgdl; one row)."""
+    """postings (doc_id, term, tf, dl; kept ones also h and bucket, see bucket()), terms (term, df, cf), stats (n_docs, n_tokens, avgdl; one row)."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
 
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """The postings of the folders and pages that may hold any of terms (term). More than PUSHED terms choose folders only."""
+        if "bucket" not in self.postings.columns:
+            return self.postings
+        asked = terms.filter("term is not null").select(F.xxhash64("term").alias("h"), bucket().alias("bucket")).distinct()
+        some = asked.groupBy("bucket").agg(F.count("*").alias("n")).collect()  # at most BUCKETS rows
+        found = self.postings.filter(F.col("bucket").isin([r["bucket"] for r in some]))
+        if 0 < sum(r["n"] for r in some) <= PUSHED:  # equalities reach the reader, a long list would not
+            found = found.filter(_any([F.col("h") == r["h"] for r in asked.select("h").collect()]))
+        return found
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Their disjunction, as a tree of little depth."""
+    while len(conditions) > 1:
+        conditions = [functools.reduce(operator.or_, conditions[k : k + 2]) for k in range(0, len(conditions), 2)]
+    return conditions[0]
+
+
+def bucket() -> Column:
+    """The folder of a term: a range of its hash, so that pages sorted by the hash hold none of another folder's terms between their ends."""
+    return F.shiftrightunsigned(F.xxhash64("term"), 64 - BUCKETS.bit_length() + 1).cast("int")
+
 
 def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5) + 1))
 
 
-def _postings(docs: DataFrame, id: str, text: str) -> DataFrame:
-    width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).repartition(width, "doc_id")
-    counted = dealt.select("doc_id", F.explode(index_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
+def _postings(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
+    """(doc_id, term, tf, dl, more): runs of equal words in the sorted words of each row."""
+    x = docs.select(F.col(id).alias("doc_id"), F.array_sort(index_tokens(F.col(text))).alias("w"), *more).filter(F.size("w") > 0)
+    x = x.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))))
+    ends = lambda i, k: F.coalesce(F.get("at", k + 1), F.size("w")) - i
+    x = x.withColumn("dl", F.size("w").cast("long")).withColumn("x", F.explode(F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("term"), ends(i, k).cast("long").alias("tf")))))
+    return x.select("doc_id", "x.term", "x.tf", "dl", *(c for c in x.columns if c not in ("doc_id", "w", "at", "x", "dl")))
 
 
 def _terms(postings: DataFrame) -> DataFrame:
@@ -86,22 +118,150 @@ def load(spark: SparkSession, path: str, version: str) -> LexicalIndex:
     return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in _TABLES))
 
 
-def corpus_version(docs: DataFrame, id: str = "doc_id", text: str = "text") -> str:
-    """A digest of the files behind docs: names, lengths and times of change, and the columns that are indexed."""
-    spark, seen = docs.sparkSession, []
-    for name in sorted(docs.inputFiles()):
-        status = _files(spark, name).getFileStatus(_path(spark, name))
-        seen.append((name, status.getLen(), status.getModificationTime()))
-    return hashlib.sha256(json.dumps([seen, id, text]).encode()).hexdigest()
+# --- an index kept in segments ---
+
+
+def corpus_files(docs: DataFrame) -> DataFrame:
+    """(path, f): the files that rows of docs, read straight from files, come from; f changes with name, length and time of change. No column is read."""
+    m = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return m.distinct().select(F.col("file_path").alias("path"), F.xxhash64("*").alias("f"))
+
+
+class Segments:
+    """The index of one corpus under a folder: generations (which file is in which segment, and which of them count) and segments."""
+
+    def __init__(self, spark: SparkSession, path: str, kind: str = "bigint"):
+        self.spark, self.path, self.schema = spark, path, f"doc_id {kind}, term string, tf long, dl long, f long, h long, bucket int"
+
+    def _names(self, prefix: str) -> list[str]:
+        fs, where = _files(self.spark, self.path), _path(self.spark, self.path)
+        return sorted(n for s in (fs.listStatus(where) if fs.exists(where) else []) if (n := s.getPath().getName()).startswith(prefix))
+
+    def newest(self) -> str | None:
+        return max(self._names("generation-"), default=None)
+
+    def files(self, generation: str | None) -> DataFrame:
+        """(path, f, segment, live) of a generation."""
+        schema = "path string, f long, segment string, live boolean"
+        return self.spark.createDataFrame([], schema) if generation is None else self.spark.read.schema(schema).parquet(f"{self.path}/{generation}")
+
+    def _write_segment(self, postings: DataFrame, docs_of: DataFrame) -> str:
+        """postings with f and docs_of (f, n_docs) as a new segment: sorted postings, terms, terms and sizes by file."""
+        spark, name = self.spark, f"segment-{uuid.uuid4().hex}"
+        width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        salts = 2 * -(-width // BUCKETS)  # so that no task holds all documents of a frequent term
+        dealt = postings.select("doc_id", "term", "tf", "dl", "f", F.xxhash64("term").alias("h"), bucket().alias("bucket")).repartition(width, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        dealt.sortWithinPartitions("bucket", "h", "doc_id").write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/{name}/postings")
+        by_file = self._read(name, "postings").groupBy("f", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        by_file.write.parquet(f"{self.path}/{name}/file_terms")
+        by_file = self._read(name, "file_terms")
+        by_file.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).write.parquet(f"{self.path}/{name}/terms")
+        sizes = by_file.groupBy("f").agg(F.sum("cf").alias("n_tokens"))
+        docs_of.join(sizes, "f", "left").select("f", "n_docs", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens")).write.parquet(f"{self.path}/{name}/files")
+        return name
+
+    def _read(self, segment: str, table: str) -> DataFrame:
+        return self._all([segment], table)
+
+    def update(self, docs: DataFrame, id: str, text: str) -> str:
+        """The generation that tells of docs as they are: the newest, or a new one. Reads the files that are not indexed yet, and no others."""
+        now = corpus_files(docs)
+        while True:
+            old = self.newest()
+            known = self.files(old)
+            live = known.filter("live")
+            fresh = [r["path"] for r in now.join(live, "f", "left_anti").select("path").collect()]  # names of files
+            gone = live.join(now, "f", "left_anti")
+            if old is not None and not fresh and gone.isEmpty():
+                return old
+            made = [self._added(docs, now.join(live, "f", "left_anti"), None if old is None else fresh, id, text)] if fresh or old is None else []
+            if self._publish(old, known, now, gone, made):
+                self._tidy()
+                return self.newest()
+
+    def _added(self, docs: DataFrame, files: DataFrame, names: list[str] | None, id: str, text: str) -> tuple[str, DataFrame]:
+        """A segment of the files of docs that are new (names; all if None)."""
+        rows = docs if names is None else docs.filter(F.col("_metadata.file_path").isin(names))
+        f = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f")
+        count = rows.select(f).groupBy("f").agg(F.count("*").alias("n_docs"))
+        name = self._write_segment(_postings(rows, id, text, f), count)
+        return name, files.select("path", "f").withColumn("segment", F.lit(name))
+
+    def _publish(self, old: str | None, known: DataFrame, now: DataFrame, gone: DataFrame, made: list[tuple[str, DataFrame]]) -> bool:
+        """Writes the next generation; False, and nothing is left, if another writer was first."""
+        kept_ = known.join(gone.select("f", F.lit(True).alias("gone")), "f", "left").select("path", "f", "segment", (F.col("live") & F.col("gone").isNull()).alias("live"))
+        rows = kept_
+        for name, files in made:
+            rows = rows.unionByName(files.withColumn("live", F.lit(True)))
+        alive = rows.filter("live").select("segment").distinct()
+        rows = rows.join(F.broadcast(alive), "segment", "left_semi").select("path", "f", "segment", "live")  # a segment without live files goes as a whole
+        number = 0 if old is None else int(old.split("-")[1]) + 1
+        draft, final = f"{self.path}/draft-{uuid.uuid4().hex}", f"{self.path}/generation-{number:08d}"
+        rows.coalesce(1).write.parquet(draft)
+        rows = self.spark.read.parquet(draft)
+        if rows.filter("live").select("segment").distinct().count() > MOST_SEGMENTS:
+            name, merged = self._merged(rows), f"{draft}-merged"
+            made.append((name, None))
+            rows.filter("live").select("path", "f").withColumns({"segment": F.lit(name), "live": F.lit(True)}).coalesce(1).write.parquet(merged)
+            _files(self.spark, draft).delete(_path(self.spark, draft), True)
+            draft = merged
+        fs, there = _files(self.spark, final), _path(self.spark, final)
+        if not fs.exists(there) and fs.rename(_path(self.spark, draft), there):
+            return True
+        for loser in (draft, *(f"{self.path}/{name}" for name, _ in made)):
+            fs.delete(_path(self.spark, loser), True)
+        return False
+
+    def _merged(self, rows: DataFrame) -> str:
+        """All that is live in one new segment, from postings and counts; no text is read."""
+        names = [r[0] for r in rows.filter("live").select("segment").distinct().collect()]  # a few more than MOST_SEGMENTS
+        live = F.broadcast(rows.filter("live").select("f"))  # 8 bytes for each file
+        every = lambda table: self._all(names, table).join(live, "f", "left_semi")
+        return self._write_segment(every("postings"), every("files").select("f", "n_docs"))
+
+    def _tidy(self) -> None:
+        """Deletes all generations but the last two, and the segments that only those named."""
+        generations = self._names("generation-")
+        named = lambda gs: {r[0] for g in gs for r in self.files(g).select("segment").distinct().collect()}
+        old = generations[:-2]
+        fs = _files(self.spark, self.path)
+        for name in [*(named(old) - named(generations[-2:]) if old else ()), *old]:
+            fs.delete(_path(self.spark, f"{self.path}/{name}"), True)
+
+    def load(self, generation: str) -> LexicalIndex:
+        files = self.files(generation)
+        names = [r[0] for r in files.select("segment").distinct().collect()]  # at most MOST_SEGMENTS
+        if not names:
+            return of(self.spark.createDataFrame([], "doc_id long, text string"))
+        dead = files.filter("not live").select("f")
+        stats = self._all(names, "files").join(F.broadcast(files.filter("live").select("f")), "f", "left_semi").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        stats = stats.select("n_docs", "n_tokens", F.try_divide("n_tokens", "n_docs").alias("avgdl"))
+        postings, terms = self._all(names, "postings"), self._all(names, "terms")
+        some_dead = not dead.isEmpty()
+        if some_dead:
+            off = self._all(names, "file_terms").join(F.broadcast(dead), "f", "left_semi").select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+            postings, terms = postings.join(F.broadcast(dead), "f", "left_anti"), terms.unionByName(off)
+        if some_dead or len(names) > 1:
+            terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0")
+        return LexicalIndex(postings.select("doc_id", "term", "tf", "dl", "h", "bucket"), terms, stats)
+
+    def _all(self, names: list[str], table: str) -> DataFrame:
+        paths = [f"{self.path}/{n}/{table}" for n in names]
+        if table != "postings":
+            return self.spark.read.parquet(*paths)
+        return functools.reduce(DataFrame.unionByName, (self.spark.read.schema(self.schema).parquet(p) for p in paths))  # each with its own folders
 
 
 def kept(docs: DataFrame, id: str = "doc_id", text: str = "text") -> LexicalIndex:
-    """The index of docs read straight from files, made at first use and found again in the shared folder as long as no file changes."""
-    spark, version = docs.sparkSession, corpus_version(docs, id, text)
-    path = f"{sessions.shared_folder(spark)}/lexical-index-{version[:32]}"
-    if not _files(spark, path).exists(_path(spark, path)):
-        save(docs, path, version, id, text)
-    return load(spark, path, version)
+    """The index of docs read straight from files: made at first use, found again in the shared folder, brought up to date where files have changed.
+
+    Its place follows the folders that docs are read from, and the columns.
+    """
+    spark = docs.sparkSession
+    roots = sorted({f.rpartition("/")[0] for f in docs.inputFiles()})
+    place = spark.range(1).select(F.sha2(F.lit("\n".join([FORMAT, id, text, *roots])), 256)).first()[0]
+    store = Segments(spark, f"{sessions.shared_folder(spark)}/lexical-index-{place[:32]}", docs.schema[id].dataType.simpleString())
+    return store.load(store.update(docs, id, text))
 
 
 def _path(spark: SparkSession, name: str):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from lexroute.functions import sessions
 from lexroute.functions.text import index_tokens
 from lexroute.operators.lexical_index import LexicalIndex, idf
 
@@ -32,12 +33,13 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = TOP, among: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank). Statistics are those of the whole index; `among` (doc_id) applies before ranking.
 
-    Postings stay where they are: they meet the asked terms, which are as many as the queries' words.
+    Only folders and pages of asked terms are read. Postings stay where they are: they meet the asked terms, which are as many as the queries' words.
     """
     terms = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     one = F.broadcast(index.stats)  # a single row
     asked = terms.join(index.terms, "term").join(one).select("query_id", "term", (idf(F.col("n_docs"), F.col("df")) * (K1 + 1) * F.col("qtf")).alias("w"))
-    hits = index.postings if among is None else index.postings.join(among.select("doc_id"), "doc_id", "left_semi")
+    hits = index.postings_of(terms)
+    hits = hits if among is None else hits.join(among.select("doc_id"), "doc_id", "left_semi")
     hits = hits.join(one).select("doc_id", "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
     scored = hits.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
     if threshold is not None:
@@ -63,7 +65,8 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     long = F.size("w") >= RUN + 2
     runs = p.filter(long).select("query_id", "query", F.explode(word_runs(F.slice("w", F.lit(2), F.size("w") - 2))).alias("run"))
     every = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(word_runs(F.col("w"))).alias("run"))  # a column first: the lambda would split anew for each run
-    df = every.join(runs.select("run"), "run", "left_semi").groupBy("run").agg(F.count("*").alias("df"))
+    every = sessions.cut(every.join(runs.select("run").distinct(), "run", "left_semi"))  # the passages' own runs alone: texts are read once
+    df = every.groupBy("run").agg(F.count("*").alias("df"))
     rarest = runs.join(df, "run", "left").groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run"))["run"].alias("run"))
     near = every.join(rarest.select("run", F.col("query_id").alias("q")), "run").select("doc_id", "q").distinct()
     d, n = docs.select("doc_id", "text").alias("d"), near.alias("n")
