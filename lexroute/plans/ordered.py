@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexroute.operators import inference, ordering, resampling
+from lexroute.operators import families, inference, ordering, resampling
 from lexroute.plans import oracles
 
 
@@ -142,8 +142,18 @@ def contingency_permutation(spark, sf_dir):
     return _rounded(inference.contingency_permutation(x, "lang", "quality", rounds=1000), 6, "chi_square", "phi", "p_value")
 
 
+def comparison_family(spark, sf_dir):
+    """Users that have all event types: every pair of types by mean value as latency and by number of events as cost, adjusted within each metric."""
+    m = _means(spark, sf_dir).select("user_id", F.col("event_type").alias("system"), F.round("v", 9).alias("total_latency_ms"), F.col("n").alias("context_tokens"))
+    arms = sorted(r[0] for r in m.select("system").distinct().collect())  # event types
+    whole = m.groupBy("user_id").agg(F.count("*").alias("k")).filter(F.col("k") == len(arms)).select("user_id")
+    rows = m.join(whole, "user_id")
+    out = families.compare(rows, families.all_pairs(arms), ["total_latency_ms", "context_tokens"], id="user_id", rounds=1000)
+    return out.select("metric", "treatment", "baseline", "n_pairs", "wins", "losses", F.round("median_d", 6).alias("median_d"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "test", F.round("p_value", 6).alias("p_value"), "p_holm", "family_size")
+
+
 QUERIES = (
-    spearman, average_precision, roc_auc, hanley_mcneil, mid_rank, chunk_stats, p95_nearest_rank, median_split, wilcoxon_statistic, best_fixed,
+    comparison_family, spearman, average_precision, roc_auc, hanley_mcneil, mid_rank, chunk_stats, p95_nearest_rank, median_split, wilcoxon_statistic, best_fixed,
     bootstrap_ci, median_bootstrap, sign_flip_permutation, cluster_bootstrap, rank_interval, random_policy, mean_permutation, contingency_permutation,
 )
 
@@ -161,6 +171,17 @@ def _numbers(stream: int, rounds: int, seed: int = 0) -> str:
 
 
 SQL = {
+    "comparison_family": f"""with m as (select user_id, event_type as s, round(avg(value), 9) as v, count(*)::double as n from events group by all), k as (select user_id from m group by user_id having count(*) = (select count(distinct event_type) from events)),
+l as (select user_id, s, unnest(['total_latency_ms', 'context_tokens']) as metric, unnest([v, n]) as v from m join k using (user_id)),
+e as (select a.metric, a.s as treatment, b.s as baseline, a.v - b.v as d from l a join l b on a.user_id = b.user_id and a.metric = b.metric and a.s > b.s),
+x as (select *, row_number() over (partition by metric, treatment, baseline order by d) - 1 as i, count(*) over (partition by metric, treatment, baseline) as n from e), {_numbers(resampling.DRAW, 1000, 20250101)},
+q as (select x.metric, x.treatment, x.baseline, r, median(t.d) as m from u join x on x.i = u.i join x t on t.metric = x.metric and t.treatment = x.treatment and t.baseline = x.baseline and t.i = u.u * x.n // {_P} group by all),
+c as (select metric, treatment, baseline, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from q group by all),
+w as (select metric, treatment, baseline, count(*) as n_pairs, count(*) filter (d > 0) as wins, count(*) filter (d < 0) as losses, median(d) as median_d from e group by all),
+p as (select *, case when wins + losses = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))) end as p_value from w),
+h as (select *, count(*) over (partition by metric) as family_size, row_number() over (partition by metric order by p_value) as rn from p),
+j as (select *, least(1, max((family_size - rn + 1) * p_value) over (partition by metric order by rn rows between unbounded preceding and current row)) as p_holm from h)
+select j.metric, j.treatment, j.baseline, n_pairs, wins, losses, round(median_d, 6) as median_d, round(lo, 6) as ci_low, round(hi, 6) as ci_high, 'signs' as test, round(p_value, 6) as p_value, round(p_holm, 6) as p_holm, family_size from j join c using (metric, treatment, baseline)""",
     "spearman": """with r as (select rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2::double as a, rank() over (order by doc_id) + (count(*) over (partition by doc_id) - 1) / 2::double as b from documents)
 select round(corr(a, b), 6) as rho from r""",
     "average_precision": f"""with {_GRADED}, r as (select y, row_number() over (order by v desc, id) as rn, sum(y) over (order by v desc, id rows between unbounded preceding and current row) as pos from x)
