@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexroute.functions.sessions import cut
+from lexroute.functions import sessions
 from lexroute.functions.text import metric_tokens
 
 
@@ -48,41 +48,49 @@ def quotas(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 
 def duplicate_pairs(queries: DataFrame, threshold: float = 0.8, id: str = "query_id", text: str = "query") -> DataFrame:
-    """(a, b, jaccard), a < b, of queries whose token sets are that alike; empty sets are alike, and unlike all others.
+    """(a, b, jaccard), a < b, of queries whose token sets are that alike.
 
+    Queries of one token set are a class that its smallest id stands for: each of the others makes a row with it (jaccard 1, which no other pair
+    has), and only those representatives are compared; so copies give as many rows as there are. Empty sets are a class, and unlike all others.
     Candidates share one of the rarest tokens of both: a set of n tokens has to share one of any
     n - ceil(threshold n) + 1 of its tokens with each set that is near it.
     """
-    x = queries.select(F.col(id).alias("id"), F.array_distinct(metric_tokens(F.col(text))).alias("t"))
-    words = x.select("id", F.explode("t").alias("w"))
+    x = queries.select(F.col(id).alias("id"), F.array_sort(F.array_distinct(metric_tokens(F.col(text)))).alias("t"))
+    classes = sessions.cut(x.groupBy("t").agg(F.min("id").alias("id")))
+    copies = x.select(F.col("id").alias("b"), "t").join(classes.select(F.col("id").alias("a"), "t"), "t").filter("a < b").select("a", "b", F.lit(1.0).alias("s"))
+    words = classes.select("id", F.explode("t").alias("w"))
     rank = Window.partitionBy("id").orderBy("df", "w")
     df = words.groupBy("w").agg(F.count("*").alias("df"))
-    sized = words.join(df, "w").join(x.select("id", F.size("t").alias("n")), "id").withColumn("r", F.row_number().over(rank))
+    sized = words.join(df, "w").join(classes.select("id", F.size("t").alias("n")), "id").withColumn("r", F.row_number().over(rank))
     prefix = sized.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("id", "w")
     near = prefix.select(F.col("id").alias("a"), "w").join(prefix.select(F.col("id").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
     score = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    full = near.join(x.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(x.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    full = near.join(classes.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     found = full.select("a", "b", score.alias("s")).filter(F.col("s") >= threshold)
-    none = x.filter(F.size("t") == 0).select("id")
-    first = none.agg(F.min("id").alias("a"))
-    empty = none.join(F.broadcast(first)).filter("id > a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("s"))  # each with the first: alike to all
-    return found.union(empty).select("a", "b", F.round("s", 4).alias("jaccard"))
+    return found.select("a", "b", F.least(F.round("s", 4), F.lit(0.9999)).alias("jaccard")).union(copies.select("a", "b", "s"))
 
 
 def accepted(pairs: DataFrame, queries: DataFrame, id: str = "query_id") -> DataFrame:
     """(id, matches): queries flagged by sequential acceptance in the order of ids, with the first accepted one that each is like.
 
-    Rounds settle every query whose earlier neighbours are settled; a chain of k look-alikes takes k rounds at most.
+    pairs as duplicate_pairs gives them. What is like a copy is like its representative, which comes before it, so only representatives take part in the rounds;
+    a copy matches what its representative matches, or that one itself. Rounds settle every query whose earlier neighbours are
+    settled; a chain of k look-alikes takes k rounds at most.
     """
-    state = queries.select(F.col(id).alias("id"), F.lit(None).cast("long").alias("matches"), F.lit(False).alias("done")).distinct()
+    copies = pairs.filter("jaccard = 1").select(F.col("b").alias("id"), F.col("a").alias("rep"))
+    state = queries.select(F.col(id).alias("id")).distinct().join(copies, "id", "left_anti").select("id", F.lit(None).cast("long").alias("matches"), F.lit(False).alias("done"))
+    near = pairs.filter("jaccard < 1")
     while True:
-        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("matches").alias("m"), F.col("done").alias("d")), "a")
+        seen = near.join(state.select(F.col("id").alias("a"), F.col("matches").alias("m"), F.col("done").alias("d")), "a")
         told = seen.groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("d") & F.col("m").isNull(), F.col("a"))).alias("hit"), F.min(F.when(~F.col("d"), F.col("a"))).alias("open"))
         x = state.join(told, "id", "left")
         settled = F.col("done") | F.col("open").isNull() | F.coalesce(F.col("hit") < F.col("open"), F.lit(False))
-        state = cut(x.select("id", F.when(F.col("done"), F.col("matches")).when(settled, F.col("hit")).alias("matches"), settled.alias("done")))
+        state = sessions.cut(x.select("id", F.when(F.col("done"), F.col("matches")).when(settled, F.col("hit")).alias("matches"), settled.alias("done")))
         if state.filter("not done").isEmpty():
-            return state.filter("matches is not null").select(F.col("id").alias(id), "matches")
+            break
+    flagged = state.filter("matches is not null").select("id", "matches")
+    followed = copies.join(flagged.select(F.col("id").alias("rep"), "matches"), "rep", "left").select("id", F.coalesce("matches", "rep").alias("matches"))
+    return flagged.union(followed).select(F.col("id").alias(id), "matches")
 
 
 def contaminated(runs: DataFrame, arm: str, id: str, status: str = "status") -> DataFrame:

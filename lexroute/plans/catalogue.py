@@ -360,7 +360,22 @@ e as (select t.query_id, round(coalesce(hits, 0) / cast(n_rel as double), 6) as
 case when coalesce(found, 0) > 0 then round(dcg / list_sum(list_transform(range(1, least(found, 5) + 1), lambda i: 1 / log2(i + 1))), 6) else 0.0 end as ndcg from tot t left join s on s.query_id = t.query_id)"""
 _DENSE = "with c as (select q.vec_id as query_id, v.vec_id as doc_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))), 6) as score from embeddings q cross join embeddings v where q.vec_id % 50 = 0 WHERE_), r as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from c) select * from r where rank <= 10"
 
+_TAGS = "|".join(f"<{t}\\b[^>]*>.*?</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"))
+_HTML = f"""hs as (select page_id, regexp_extract_all(html, '(?is){_TAGS}') as l from pages), hx as (select page_id, unnest(range(len(l)))::int as position, unnest(l) as e from hs),
+el as (select page_id, position, lower(regexp_extract(e, '^<(\\w+)', 1)) as kind, trim(regexp_replace(regexp_replace(e, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')) as text from hx)"""
+_LAST = ", ".join(f"last_value(case when level = {k} then position end ignore nulls) over w as a{k}, last_value(case when level = {k} then text end ignore nulls) over w as t{k}" for k in range(1, 7))
+_ABOVE = ", ".join(f"case when a{k} is not null and a{k} > greatest(-1, {', '.join(f'coalesce(a{j}, -1)' for j in range(1, k)) or '-1'}) then t{k} end" for k in range(1, 7))
+_PACK = f"""{_BM0.replace('with ', 'with recursive ', 1)}, {_B10}, t as (select query_id, rank, doc_id, greatest(1, length('[Source 1]' || chr(10) || 'Title: ' || coalesce(source, 'N/A') || chr(10) || 'Section: General' || chr(10) || 'Pages: N/A' || chr(10) || 'Score: ' || printf('%.3f', score) || chr(10) || trim(text)) // 4) as k
+from b10 join documents using (doc_id)),
+st as (select query_id, 0 as rank, 0::bigint as used, []::bigint[] as ids from t group by query_id
+union all select st.query_id, t.rank, case when len(ids) < 5 and (len(ids) = 0 or used + k <= 2000) then used + k else used end, case when len(ids) < 5 and (len(ids) = 0 or used + k <= 2000) then list_append(ids, doc_id) else ids end
+from st join t on t.query_id = st.query_id and t.rank = st.rank + 1)"""
+
 ORACLE = {
+    "html_elements": f"with {_HTML} select page_id, position, kind, text from el",
+    "section_paths": f"""with {_HTML}, h as (select page_id, position, text, substr(kind, 2, 1)::int as level from el where kind like 'h%'), l as (select page_id, position, {_LAST} from h window w as (partition by page_id order by position rows between unbounded preceding and current row)),
+        p as (select page_id, position, list_filter([{_ABOVE}], lambda x: x is not null) as path from l) select page_id, position, len(path)::int as depth, path from p""",
+    "context_pack": f"{_PACK} select query_id, arg_max(used, rank)::int as used, arg_max(ids, rank) as ids from st group by query_id",
     "lexical_index_build": f"with {_POST} select doc_id, term, tf, sum(tf) over (partition by doc_id)::bigint as dl from post",
     "term_stats": f"with {_POST}, n as (select count(*) as n from documents) select term, count(*) as df, sum(tf)::bigint as cf, round(ln((max(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) as idf from post cross join n group by term",
     "corpus_stats": f"select count(*) as n_docs, sum(len({_TOK.format('text')}))::bigint as n_tokens, round(avg(len({_TOK.format('text')})), 6) as avgdl from documents",

@@ -65,8 +65,8 @@ _SWEEP = f"""{_CUTS}, g as (select dir as direction, cut, coalesce(case dir when
 sw as (select 'signal' as signal, direction, cut, count(*) as n, avg(go::int) as rate, avg(case when go then dear else cheap end) as quality, stddev_samp(case when go then dear else cheap end) / sqrt(count(*)) as error,
  avg(cheap_ms + case when go then dear_ms else 0 end) as clock, count(*) filter (go and y) as tp, count(*) filter (go and not y) as fp, count(*) filter (not go and y) as fn, count(*) filter (not go and not y) as tn from g group by direction, cut)"""
 _QTEXT = "q as (select conv_id * 1000 + turn as id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as t from conversations where role = 'user')"
-_DUPS = f"""{_QTEXT}, dp as (select a.id as a, b.id as b, round(case when len(a.t) + len(b.t) = 0 then 1 else len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) end, 4) as jaccard
- from q a join q b on a.id < b.id where (len(a.t) = 0 and len(b.t) = 0 and a.id = (select min(id) from q where len(t) = 0)) or (len(a.t) > 0 and len(b.t) > 0 and len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) >= 0.8))"""
+_DUPS = f"""{_QTEXT}, cl as (select id, list_sort(list_distinct(t)) as t, min(id) over (partition by list_sort(list_distinct(t))) as rep from q), dp as (select rep as a, id as b, 1::double as jaccard from cl where id > rep
+union all select a.id, b.id, least(0.9999, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 4)) from cl a join cl b on a.id < b.id where a.id = a.rep and b.id = b.rep and len(a.t) > 0 and len(b.t) > 0 and len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) >= 0.8)"""
 
 
 def sql(bm: str, rank: str, tok: str, qrel: str) -> dict[str, str]:
@@ -80,7 +80,19 @@ def sql(bm: str, rank: str, tok: str, qrel: str) -> dict[str, str]:
     gap = lambda s: f"round((({s})[1] - ({s})[2]) / nullif(abs(({s})[1]), 0), 5)"
     shared = "sh as (select query_id, corr(rx, ry) as rho from (select b10.query_id, rank() over (partition by b10.query_id order by b10.rank) as rx, rank() over (partition by b10.query_id order by dn.rank) as ry from b10 join dn on dn.query_id = b10.query_id and dn.doc_id = b10.doc_id and dn.rank <= 10) group by query_id having count(*) >= 2)"
     slope = "sl as (select query_id, regr_slope(score, rank) as slope from b10 group by query_id)"
+    words = lambda text: f"list_distinct({tok.format(text)})"
+    # every strategy's results of every question, then those of the strategy it is routed to or sent on to
+    adaptive = f"""{hybrid}, {bench}, {routes()},
+ro as (select hy.query_id, hy.doc_id, hy.rank as first, round(len(list_intersect({words('i.text')}, {words('d.text')})) / greatest(len({words('i.text')}), 1)::double, 6) as score from hy join documents d on d.doc_id = hy.doc_id join benchmark i on i.item_id = hy.query_id where hy.rank <= 20),
+rk as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from ro),
+ev as (select query_id, doc_id, rank::int as rank, 'bm25' as strategy, 1 as rung from {every} where rank <= 10 union all select query_id, doc_id, rank::int, 'dense', 2 from dn where rank <= 10 union all select query_id, doc_id, rank::int, 'hybrid', 3 from hy where rank <= 10
+ union all select query_id, doc_id, rank::int, 'hybrid_rerank', 4 from rk where rank <= 10),
+fi as (select ev.* from ev join w on w.k1 = ev.query_id and w.strategy = ev.strategy), rung as (select k1 as query_id, case strategy when 'bm25' then 1 when 'dense' then 2 when 'hybrid' then 3 else 4 end as lvl from w),
+ha as (select query_id, count(*) as n, string_agg(lower(coalesce(text, '')), ' ' order by rank) as hay, max(lower(coalesce(text, ''))) filter (rank = 1) as one from fi join documents using (doc_id) group by query_id),
+su as (select k1 as query_id, (least(1, coalesce(n, 0) / 3) + {cov("coalesce(hay, '')")} + 0.5::double * case when n is null then 0 else {cov("coalesce(one, '')")} end) / 2.5::double >= 0.5 as enough from f left join ha on ha.query_id = f.k1),
+onto as (select query_id, case when enough or lvl = 4 then lvl else lvl + 1 end as lvl, not enough and lvl < 4 as escalated, case when enough then 'sufficient' when lvl = 4 then 'strongest available' else 'escalated' end as reason from su join rung using (query_id))"""
     return {
+        "adaptive_results": f"{adaptive} select ev.query_id, doc_id, rank, strategy, escalated, reason from ev join onto on onto.query_id = ev.query_id and onto.lvl = ev.rung",
         "hybrid_rrf_top10": f"{hybrid} select * from hy where rank <= 10",
         "query_features": f"with {features(TURNS)} select k1 as conv_id, k2 as turn, {names} from f",
         "route_decisions": f"with {features(TURNS)}, {routes()} select k1 as conv_id, k2 as turn, strategy, score, confidence from w",

@@ -131,11 +131,15 @@ def test_gates(spark):
 def test_duplicate_screen(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)] + ["", None]
+    texts += [rng.choice(texts[:40]) for _ in range(8)]
     q = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
     sets = [set((t or "").split()) for t in texts]
     like = lambda i, j: 1.0 if not sets[i] and not sets[j] else (len(sets[i] & sets[j]) / len(sets[i] | sets[j]))
     pairs = gates.duplicate_pairs(q, 0.6)
-    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(i, j) >= 0.6]
+    first = {i: min(j for j in range(len(texts)) if sets[j] == sets[i]) for i in range(len(texts))}
+    want = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(i, j) >= 0.6 and (first[j] == i or first[i] == i and first[j] == j)]
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == want and sum(first[i] != i for i in first) > 5
+    assert all((r["jaccard"] == 1) == (sets[r["a"]] == sets[r["b"]]) for r in pairs.collect())
     kept, flags = [], []
     for i in range(len(texts)):
         hit = next((j for j in kept if like(i, j) >= 0.6), None)
