@@ -383,6 +383,17 @@ def rest_links(now: DataFrame, texts: DataFrame, shingle: int, threshold: int) -
     return found
 
 
+def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of texts whose id is among ids (durable); a sieve spares all others a shuffle, whatever the number of ids."""
+    sieve = Sieve(ids.select(F.xxhash64("id").alias("h")))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(sieve.passes(batch.column(2).to_numpy().view(np.uint64)))) for c in batch.columns[:2]], ["id", "text"])
+
+    return texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, text string").join(ids, "id")
+
+
 def class_components(classes: DataFrame, source: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
     """(id, component) of the class representatives that are linked with another; None if no two share a bucket."""
     reps = classes.select(F.col("rep").alias("id"), "n", "registers")
@@ -397,12 +408,14 @@ def class_components(classes: DataFrame, source: DataFrame, shingle: int, thresh
     ranked = members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("top"), F.max("size").alias("k"))
     lead = durable(ranked.select("bucket", (-F.col("top.m")).alias("p"), "k"))
     pairs = durable(join_by_count(members, lead, ["bucket"], "k", total).filter("id <> p").select("p", "id").distinct())
-    texts = source.join(members.select("id").distinct(), "id")
+    ids = durable(members.select("id").distinct())
+    texts = durable(only(source, ids))
     links = verified(pairs, reps, texts, shingle, threshold)
     final = components(links)
     dropped(pairs, lead)
     now = durable(members.join(final, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
     more = rest_links(now, texts, shingle, threshold)
+    dropped(texts, ids, now)
     return final if more is None or more.isEmpty() else components(links.union(more))
 
 
