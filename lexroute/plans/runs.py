@@ -55,13 +55,13 @@ def trace_losses(spark, sf_dir):
 
 
 def _rows(spark, sf_dir):
-    """Events as evaluation rows: types as systems, users modulo 4 as categories."""
+    """Events as evaluation rows: types as systems, users modulo 4 as categories; clocks by odd factors, so that no cell lies on a tie of its decimals."""
     e, v = _t(spark, sf_dir, "events"), F.col("value")
     nothing = F.lit(None).cast("double")
     routed = F.col("event_type").isin("click", "purchase")
     return e.select(
         F.col("event_type").alias("system"), F.concat(F.lit("kind "), F.col("user_id") % 4).alias("category"), F.when(v > 50, 1.0).otherwise(0.0).alias("recall_at_5"), (1 / (1 + F.col("user_id") % 5)).alias("mrr"), F.when(v > 20, 0.5).otherwise(0.25).alias("ndcg_at_5"),
-        v.alias("total_latency_ms"), F.when(routed, v / 8).alias("routing_latency_ms"), (v / 2).alias("retrieval_latency_ms"), nothing.alias("reranking_latency_ms"), F.when(routed, v > 60).alias("escalated"), F.when(routed, F.when(v > 60, 2).otherwise(1)).alias("stage_count"),
+        (v * 1.01371).alias("total_latency_ms"), F.when(routed, v * 0.13137).alias("routing_latency_ms"), (v * 0.51731).alias("retrieval_latency_ms"), nothing.alias("reranking_latency_ms"), F.when(routed, v > 60).alias("escalated"), F.when(routed, F.when(v > 60, 2).otherwise(1)).alias("stage_count"),
         F.when(routed, 0.75).alias("routing_confidence"), F.when(routed, F.when(F.col("user_id") % 3 == 0, "dense").otherwise("bm25")).alias("initial_strategy"), F.when(routed, "hybrid").alias("final_strategy"),
         (F.col("event_id") % 1000).alias("context_tokens"), nothing.alias("total_tokens"), nothing.alias("estimated_cost_usd"), F.when(v > 40, 0.5).otherwise(0.25).alias("sufficiency_threshold"),
     )
@@ -115,12 +115,12 @@ count(*) * 1.5::double as total_latency_ms, null::boolean as escalated from j gr
 select event_id::varchar as query_id, round(k / 100::double, 6) as sufficiency_score, k >= 50 as sufficient, event_type as initial_strategy, null::varchar as final_strategy,
 array_to_string(list_filter([case when k > 30 then 'many' end, case when k % 2 = 0 then 'even' end], lambda x: x is not null), ',') as passed from e""",
         "trace_losses": """select count(*) as traces, count(*) filter (event_id % 10 = 9) as unreadable, 0::bigint as nameless, count(*) filter (event_id % 10 <> 9 and event_id not in (select user_id from events)) as unknown from events""",
-        "report_systems": f"""with {_EVENT_ROWS} select event_type as "System", {_cell('avg((v > 50)::int)', 4)} as "Recall at 5", {_cell('avg(1 / (1 + user_id % 5)::double)', 4)} as "Reciprocal rank", {_cell('median(v)', 2)} as "Median ms", {_cell(_p95('v'), 2)} as "95 % ms", {_cell('avg(v)', 2)} as "Mean ms",
-{_cell('median(v / 8) filter (routed)', 2)} as "Median routing ms", {_cell('median(v / 2)', 2)} as "Median retrieval ms", '' as "Median reranking ms", 'ctx=' || {_cell('avg(event_id % 1000)', 0)} as "Resources", count(*)::varchar as n, case when count(*) < 5 then 'yes' else 'no' end as "Few rows" from e group by event_type""",
-        "report_features": f"""with {_EVENT_ROWS} select event_type as "System", {_cell('avg((v > 50)::int)', 4)} as "Recall at 5", {_cell('avg(1 / (1 + user_id % 5)::double)', 4)} as "Reciprocal rank", {_cell('median(v)', 2)} as "Median ms", {_cell(_p95('v'), 2)} as "95 % ms",
+        "report_systems": f"""with {_EVENT_ROWS} select event_type as "System", {_cell('avg((v > 50)::int)', 4)} as "Recall at 5", {_cell('avg(1 / (1 + user_id % 5)::double)', 4)} as "Reciprocal rank", {_cell('median(v * 1.01371::double)', 2)} as "Median ms", {_cell(_p95('(v * 1.01371::double)'), 2)} as "95 % ms", {_cell('avg(v * 1.01371::double)', 2)} as "Mean ms",
+{_cell('median(v * 0.13137::double) filter (routed)', 2)} as "Median routing ms", {_cell('median(v * 0.51731::double)', 2)} as "Median retrieval ms", '' as "Median reranking ms", 'ctx=' || {_cell('avg(event_id % 1000)', 0)} as "Resources", count(*)::varchar as n, case when count(*) < 5 then 'yes' else 'no' end as "Few rows" from e group by event_type""",
+        "report_features": f"""with {_EVENT_ROWS} select event_type as "System", {_cell('avg((v > 50)::int)', 4)} as "Recall at 5", {_cell('avg(1 / (1 + user_id % 5)::double)', 4)} as "Reciprocal rank", {_cell('median(v * 1.01371::double)', 2)} as "Median ms", {_cell(_p95('(v * 1.01371::double)'), 2)} as "95 % ms",
 case when any_value(routed) then '0.7500' else '' end as "Confidence", coalesce({_top('first').replace('{by}', 'event_type')}, '') as "First choice", case when any_value(routed) then 'hybrid (100%)' else '' end as "Last choice",
 case when any_value(routed) then {_cell('100 * avg((v > 60)::int)', 1)} || '%' else '' end as "Escalated", case when any_value(routed) then {_cell('avg(1 + (v > 60)::int)', 2)} else '' end as "Mean stages",
 'ctx=' || {_cell('avg(event_id % 1000)', 0)} as "Resources", count(*)::varchar as n, case when count(*) < 5 then 'yes' else 'no' end as "Few rows" from e group by event_type""",
-        "report_text": f"""with {_EVENT_ROWS}, c as (select category, {_cell('avg((v > 50)::int)', 4)} as a, {_cell('median(v)', 2)} as b, coalesce({_top('first').replace('{by}', 'category')}, '') as f, count(*)::varchar as n from e group by category)
+        "report_text": f"""with {_EVENT_ROWS}, c as (select category, {_cell('avg((v > 50)::int)', 4)} as a, {_cell('median(v * 1.01371::double)', 2)} as b, coalesce({_top('first').replace('{by}', 'category')}, '') as f, count(*)::varchar as n from e group by category)
 select 'Kinds of questions' as title, '### Kinds of questions' || chr(10) || chr(10) || '| Category | Recall at 5 | Median ms | First choice | n |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg('| ' || category || ' | ' || a || ' | ' || b || ' | ' || f || ' | ' || n || ' |', chr(10) order by category) || chr(10) as body from c""",
     }
