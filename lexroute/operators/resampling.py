@@ -27,6 +27,8 @@ PRIME = 2147483579
 #: First digits of pi, e, the roots of 2, 3 and 5, and the golden ratio.
 STEPS = (314159265, 271828182, 141421356, 173205080, 223606797, 161803398)
 BLOCK, CHUNK, ROUNDS = 1 << 14, 128, 10_000
+#: How far apart the signs and picks of two blocks' first rows are numbered: as the rows themselves.
+STRIDE = BLOCK
 #: What a number is for.
 DEAL, DRAW, SIGN, PICK = 1, 2, 3, 4
 
@@ -44,15 +46,16 @@ def keys(seed: int, stream: int, rounds: np.ndarray, block: int) -> tuple[np.nda
 
 
 def numbers(seed: int, stream: int, rounds: np.ndarray, block: int, n: int) -> np.ndarray:
-    """(rounds, n) whole numbers from 0 to PRIME - 1, as good as evenly spread."""
-    x = np.arange(n, dtype=np.int64)[None, :]
-    for k in keys(seed, stream, rounds, block):
+    """(rounds, n) whole numbers from 0 to PRIME - 1, as good as evenly spread. Signs and picks are a row's own by its number in the group, so its block's keys are those of block 0."""
+    own = stream in (SIGN, PICK)
+    x = (np.arange(n, dtype=np.int64) + (block * STRIDE if own else 0))[None, :]
+    for k in keys(seed, stream, rounds, 0 if own else block):
         x = _cube((x + k[:, None]) % PRIME)
     return x
 
 
 def sql(seed: int, stream: int, rounds: str, rows: str) -> str:
-    """CTEs that end in u (r, i, u): the same numbers for block 0; rounds gives r, rows gives r and i (or i alone, for every round)."""
+    """CTEs that end in u (r, i, u): the same numbers for block 0 (signs and picks: for all blocks); rounds gives r, rows gives r and i (or i alone, for every round)."""
     start = _cube((_cube((seed + STEPS[0]) % PRIME) + stream) % PRIME)
     cube = f"(x * x % {PRIME} * x % {PRIME})"
     return f"""g0 as (select r, ({start} + r + {STEPS[1]}) % {PRIME} as x from ({rounds}) q), g1 as (select r, ({cube} + {STEPS[2]}) % {PRIME} as x from g0), g2 as (select r, {cube} as k1 from g1),

@@ -4,6 +4,7 @@ import math
 import sys
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -169,3 +170,13 @@ def test_tests_of_samples(spark):
 def test_laws():
     assert inference.sign_test(3000, 2800) == pytest.approx(math.erfc((200 - 1) / math.sqrt(5800) / math.sqrt(2)), rel=0.01)
     assert inference.sign_test(600, 500) == pytest.approx(2 * sum(math.comb(1100, i) for i in range(501)) / 2**1100)
+
+
+@pytest.mark.parametrize("stream", [SIGN, PICK])
+def test_numbers_of_later_blocks_are_those_of_the_sql(stream):
+    """A row has the same sign and pick in the SQL, which knows no blocks."""
+    size = resampling.BLOCK
+    text = resampling.sql(7, stream, "select unnest(range(3)) as r", f"select unnest(range({size - 2}, {2 * size + 3})) as i")
+    want = np.array(duckdb.sql(f"with {text} select u from u order by r, i").fetchall()).reshape(3, -1)
+    got = np.concatenate([resampling.numbers(7, stream, np.arange(3), b, size) for b in range(3)], axis=1)
+    assert (got[:, size - 2 : 2 * size + 3] == want).all()
