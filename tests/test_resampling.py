@@ -180,3 +180,17 @@ def test_numbers_of_later_blocks_are_those_of_the_sql(stream):
     want = np.array(duckdb.sql(f"with {text} select u from u order by r, i").fetchall()).reshape(3, -1)
     got = np.concatenate([resampling.numbers(7, stream, np.arange(3), b, size) for b in range(3)], axis=1)
     assert (got[:, size - 2 : 2 * size + 3] == want).all()
+
+
+def test_permutations_of_more_rows_than_a_block(spark):
+    """Against the SQL's own way: rows in order, each with its number of the round."""
+    n, rounds = resampling.BLOCK + 3000, 40
+    x = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("v"), (F.col("id") % 3 == 0).alias("on"))
+    r = inference.mean_permutations(x, [], "v", "on", rounds).first()
+    rows = x.toPandas()
+    v, k, total = np.sort(rows["v"].to_numpy()), int(rows["on"].sum()), rows["v"].sum()
+    text = resampling.sql(0, PICK, f"select unnest(range({rounds})) as r", f"select unnest(range({n})) as i")
+    u = np.array(duckdb.sql(f"with {text} select u from u order by r, i").fetchall()).reshape(rounds, n)
+    first = np.array([v[np.lexsort((np.arange(n), row))[:k]].sum() for row in u])
+    gap = np.abs(first / k - (total - first) / (n - k))
+    assert r["p_value"] == pytest.approx(((gap >= abs(r["difference"]) - 1e-12).sum() + 1) / (rounds + 1))
