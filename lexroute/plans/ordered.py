@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexroute.functions.totals import mean
 from lexroute.operators import families, inference, ordering, resampling
 from lexroute.plans import oracles
 
@@ -22,7 +23,7 @@ def _means(spark, sf_dir):
 
 def records(spark, sf_dir):
     """Users as queries: the clicks' mean as the cheap arm, the purchases' as the dear one, the views' as a signal."""
-    x = _t(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.avg("value"))
+    x = _t(spark, sf_dir, "events").groupBy("user_id").agg(*(mean(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in ("view", "click", "purchase")))
     one = x.select("user_id", F.col("view").alias("signal"), F.col("click").alias("cheap"), F.col("purchase").alias("dear"), F.col("click").alias("cheap_ms"), (F.col("purchase") * 10).alias("dear_ms"))
     return one.filter("cheap is not null and dear is not null")
 
