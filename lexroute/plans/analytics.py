@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexroute.functions.totals import mean_sql, total_sql
+
 PANEL = "panel as (select user_id as q, event_type as s, avg(value) as v, count(*) as n from {events} group by user_id, event_type)"
 LABELLED = "x as (select d.doc_id as id, cast(d.n_chars as double) as v, l.quality as y from {documents} d join {labels} l on d.doc_id = l.doc_id)"
 
@@ -92,8 +94,17 @@ def plans() -> dict[str, str]:
     return SQL | statistics.SQL
 
 
+#: What Spark adds up without regard to the order of rows, by query; DuckDB keeps the text above.
+ORDERLESS = {
+    "gain_concentration": {"avg(value)": mean_sql("value"), "sum(top - v)": total_sql("top - v")},
+}
+
+
 def spark_text(name: str) -> str:
-    return plans()[name].replace("{half_even}", "bround").replace("div_int", "div").replace("{sha}(coalesce(text, ''))", "sha2(coalesce(text, ''), 256)")
+    text = plans()[name]
+    for plain, orderless in ORDERLESS.get(name, {}).items():
+        text = text.replace(plain, orderless)
+    return text.replace("{half_even}", "bround").replace("div_int", "div").replace("{sha}(coalesce(text, ''))", "sha2(coalesce(text, ''), 256)")
 
 
 def duck_text(name: str) -> str:

@@ -32,3 +32,8 @@ def test_equal_signals_make_one_cut(spark, tmp_path):
     sf = folder(spark, tmp_path, [(u, t, UP if u % 2 else DOWN) for u in range(8) for t in ("view", "click", "purchase")])
     got = [r.asDict() for r in catalogue.rule_sweep(spark, sf).collect()]
     assert [(r["n"], r["cut"], r["rate"]) for r in got] == [(8, 0.2, 1.0)] * 2
+
+
+def test_equal_means_win_together(spark, tmp_path):
+    sf = folder(spark, tmp_path, [(1, "click", UP), (1, "view", DOWN)])
+    assert {(r["s"], r["wins"], r["regret"]) for r in catalogue.queries()["gain_concentration"](spark, sf).collect()} == {("click", 1, 0.0), ("view", 1, 0.0)}
