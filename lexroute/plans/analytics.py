@@ -97,6 +97,7 @@ def plans() -> dict[str, str]:
 #: What Spark adds up without regard to the order of rows, by query; DuckDB keeps the text above.
 ORDERLESS = {
     "gain_concentration": {"avg(value)": mean_sql("value"), "sum(top - v)": total_sql("top - v")},
+    "paired_effect": {"avg(value)": mean_sql("value"), "avg(d)": mean_sql("d")},
 }
 
 

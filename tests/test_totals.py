@@ -37,3 +37,9 @@ def test_equal_signals_make_one_cut(spark, tmp_path):
 def test_equal_means_win_together(spark, tmp_path):
     sf = folder(spark, tmp_path, [(1, "click", UP), (1, "view", DOWN)])
     assert {(r["s"], r["wins"], r["regret"]) for r in catalogue.queries()["gain_concentration"](spark, sf).collect()} == {("click", 1, 0.0), ("view", 1, 0.0)}
+
+
+def test_equal_means_are_ties(spark, tmp_path):
+    sf = folder(spark, tmp_path, [(1, "click", UP), (1, "view", DOWN), (2, "click", (3.0,)), (2, "view", (1.0,))])
+    r = catalogue.queries()["paired_effect"](spark, sf).first()
+    assert (r["n"], r["wins"], r["ties"], r["losses"], r["mean_d"]) == (2, 1, 1, 0, 1.0)
