@@ -22,6 +22,8 @@ from lexroute.operators.lexical_index import LexicalIndex, idf
 
 DIM = 64
 K1, B, RRF_K, DEPTH, TOP = 1.2, 0.75, 60, 20, 10
+#: Words of all queries, each query's counted apart, that are sent to every worker: a few MB.
+SENT = 1 << 17
 #: Words of a run that a document and a passage must share to be compared.
 RUN = 5
 
@@ -33,13 +35,17 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = TOP, among: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank). Statistics are those of the whole index; `among` (doc_id) applies before ranking.
 
-    Only folders and pages of asked terms are read. Postings stay where they are: they meet the asked terms, which are as many as the queries' words.
+    Only folders and pages of asked terms are read. Up to SENT words of queries travel to the postings; those that are asked for are then dealt by document
+    once, before each is multiplied by the queries that ask for it, and the sums need no further shuffle. With more, Spark joins by term.
     """
     terms = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     one = F.broadcast(index.stats)  # a single row
     asked = terms.join(index.terms, "term").join(one).select("query_id", "term", (idf(F.col("n_docs"), F.col("df")) * (K1 + 1) * F.col("qtf")).alias("w"))
     hits = index.postings_of(terms)
     hits = hits if among is None else hits.join(among.select("doc_id"), "doc_id", "left_semi")
+    if terms.count() <= SENT:
+        hits = hits.select("doc_id", "term", "tf", "dl").join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("doc_id")
+        asked = F.broadcast(asked)
     hits = hits.join(one).select("doc_id", "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
     scored = hits.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
     if threshold is not None:

@@ -133,3 +133,17 @@ def test_query_words_count_each_time(spark):
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.bm25(index, asked).collect()}
     assert set(got) == {(1, 1), (1, 5), (2, 1), (2, 5)}
     assert got[2, 5] == pytest.approx(2 * got[1, 5], abs=2e-6)
+
+
+def test_postings_are_dealt_by_document_once(spark, tmp_path, monkeypatch):
+    """Words of queries travel to the postings: one shuffle of asked postings, none of their sums; more words are joined, with the same result."""
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 5} beta" if i % 3 else f"gamma w{i % 7}") for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha w3 w3"), (2, "gamma w1 w4"), (3, "nothing"), (4, "beta alpha")], "query_id long, query string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    index = lexical_index.of(spark.read.parquet(f"{tmp_path}/docs"))
+    sent = retrieval.bm25(index, queries)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan and not any("doc_id#" in x.split("hashpartitioning(query_id#")[1].split(")")[0] for x in plan.split("\n") if "hashpartitioning(query_id#" in x)
+    got = sorted(map(tuple, sent.select("query_id", "doc_id", "score", "rank").collect()))
+    monkeypatch.setattr(retrieval, "SENT", 0)
+    assert got == sorted(map(tuple, retrieval.bm25(index, queries).select("query_id", "doc_id", "score", "rank").collect())) and len(got) == 30
