@@ -1,10 +1,10 @@
 """The lexical index of a corpus: postings, terms and statistics, as frames or kept as Parquet.
 
-The words of a text are counted in its row, so no text is ever shuffled. A kept index is a row of segments, each made of
+The words of a text are counted in its row and its postings are written where it was read, so neither is ever shuffled. A kept index is a row of segments, each made of
 some of the corpus' files. When files come or go only the new ones are read; what came from files that are gone or changed is
 left out by their marks, and its counts are taken off. Many segments are merged into one from their postings.
 
-Postings lie in folders by a hash of their term, a term of many documents in many files of its folder, sorted by the hash:
+Postings lie in folders by a hash of their term, in a file for each task that read some of the corpus, sorted by the hash:
 a search reads the folders, and within them the pages, of the words it asks for.
 
 Ids should be distinct: rows that share one are documents of their own with one name.
@@ -146,12 +146,10 @@ class Segments:
         return self.spark.createDataFrame([], schema) if generation is None else self.spark.read.schema(schema).parquet(f"{self.path}/{generation}")
 
     def _write_segment(self, postings: DataFrame, docs_of: DataFrame) -> str:
-        """postings with f and docs_of (f, n_docs) as a new segment: sorted postings, terms, terms and sizes by file."""
-        spark, name = self.spark, f"segment-{uuid.uuid4().hex}"
-        width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        salts = 2 * -(-width // BUCKETS)  # so that no task holds all documents of a frequent term
-        dealt = postings.select("doc_id", "term", "tf", "dl", "f", F.xxhash64("term").alias("h"), bucket().alias("bucket")).repartition(width, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        dealt.sortWithinPartitions("bucket", "h", "doc_id").write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/{name}/postings")
+        """postings with f and docs_of (f, n_docs) as a new segment: sorted postings, terms, terms and sizes by file. Each task writes what it has read into the folders: postings are not shuffled."""
+        name = f"segment-{uuid.uuid4().hex}"
+        hashed = postings.select("doc_id", "term", "tf", "dl", "f", F.xxhash64("term").alias("h"), bucket().alias("bucket"))
+        hashed.sortWithinPartitions("bucket", "h", "doc_id").write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/{name}/postings")
         by_file = self._read(name, "postings").groupBy("f", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         by_file.write.parquet(f"{self.path}/{name}/file_terms")
         by_file = self._read(name, "file_terms")

@@ -7,6 +7,7 @@ row_number() <= k, which Spark turns into a per-partition group limit before the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -24,6 +25,8 @@ DIM = 64
 K1, B, RRF_K, DEPTH, TOP = 1.2, 0.75, 60, 20, 10
 #: Words of all queries, each query's counted apart, that are sent to every worker: a few MB.
 SENT = 1 << 17
+#: Ids of documents that are sent to the texts at once, 8 bytes each; more go in several passes.
+ASKED = 1 << 20
 #: Words of a run that a document and a passage must share to be compared.
 RUN = 5
 
@@ -53,6 +56,14 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = TOP, among: DataFrame
     return top_k(scored, k, F.desc("score"), F.asc("doc_id"))
 
 
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs whose doc_id is in rows, null ones too. Ids travel to the texts, in passes of ASKED, so that only texts that are asked for can be shuffled. rows should be cut: they are read for their number and in each pass."""
+    ids = rows.select(F.col("doc_id").alias("_asked")).distinct()
+    parts = max(1, -(-ids.count() // ASKED))
+    passes = (ids.filter(F.pmod(F.xxhash64("_asked"), F.lit(parts)) == k) for k in range(parts))
+    return functools.reduce(DataFrame.union, (docs.join(F.broadcast(x), F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi") for x in passes))
+
+
 def word_runs(words: Column) -> Column:
     """Distinct hashes of all runs of RUN words."""
     starts = F.when(F.size(words) >= RUN, F.sequence(F.lit(1), F.size(words) - RUN + 1)).otherwise(F.array().cast("array<int>"))
@@ -74,8 +85,8 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     every = sessions.cut(every.join(runs.select("run").distinct(), "run", "left_semi"))  # the passages' own runs alone: texts are read once
     df = every.groupBy("run").agg(F.count("*").alias("df"))
     rarest = runs.join(df, "run", "left").groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run"))["run"].alias("run"))
-    near = every.join(rarest.select("run", F.col("query_id").alias("q")), "run").select("doc_id", "q").distinct()
-    d, n = docs.select("doc_id", "text").alias("d"), near.alias("n")
+    near = sessions.cut(every.join(rarest.select("run", F.col("query_id").alias("q")), "run").select("doc_id", "q").distinct())
+    d, n = texts_of(docs.select("doc_id", "text"), near).alias("d"), near.alias("n")
     both = n.join(d, F.col("n.doc_id").eqNullSafe(F.col("d.doc_id"))).select("q", "d.doc_id", "text").join(p.filter(long), F.col("q").eqNullSafe(F.col("query_id")))
     plain = docs.select("doc_id", "text").join(p.filter(~long), F.contains("text", "query"))
     return both.filter(F.contains("text", "query")).select("query_id", "doc_id").union(plain.select("query_id", "doc_id"))
