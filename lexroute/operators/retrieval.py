@@ -185,7 +185,8 @@ def rrf(lists: list[DataFrame], k: int = TOP, rrf_k: int = RRF_K) -> DataFrame:
 def overlap_scores(first: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The deterministic second-stage scorer: share of distinct query tokens in the passage."""
     q = queries.select("query_id", F.array_distinct(index_tokens(F.col("query"))).alias("qt"))
-    asked = docs.select("doc_id", "text").join(first.select("doc_id").distinct(), "doc_id", "left_semi")  # texts of candidates alone
+    first = sessions.cut(first.select("query_id", "doc_id", "score", "rank"))
+    asked = texts_of(docs.select("doc_id", "text"), first)
     d = asked.select("doc_id", F.array_distinct(index_tokens(F.col("text"))).alias("dt"))
     both = first.join(q, "query_id").join(d, "doc_id")
     return both.select("query_id", "doc_id", F.col("score").alias("first_score"), F.col("rank").alias("first_rank"), F.round(F.size(F.array_intersect("qt", "dt")) / F.greatest(F.size("qt"), F.lit(1)), 6).alias("score"))

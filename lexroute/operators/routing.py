@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexroute.functions import sessions
 from lexroute.functions.text import substring_coverage
+from lexroute.operators import retrieval
 
 # --- fixed values: word lists, patterns, weights and costs that results depend on ---
 STOPWORDS = (
@@ -147,7 +149,8 @@ def route(analysed: DataFrame, available: list[str] | None = None, groups: list[
 
 def sufficient(analysed: DataFrame, results: DataFrame, docs: DataFrame, by: str = "query_id") -> DataFrame:
     """(query_id, n_results, coverage, top1_coverage, score, sufficient) of every analysed query, from its ranked results alone."""
-    hits = results.select(by, "doc_id", "rank").join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    results = sessions.cut(results.select(by, "doc_id", "rank"))
+    hits = results.join(retrieval.texts_of(docs.select("doc_id", "text"), results).select("doc_id", F.lower("text").alias("low")), "doc_id")
     packed = hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "low"))).alias("hits"))
     x = analysed.select(by, "content_terms").join(packed, by, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<rank:int,low:string>>")))
     hay, one = F.array_join(F.transform("hits", lambda h: F.coalesce(h["low"], F.lit(""))), " "), F.coalesce(F.try_element_at("hits", F.lit(1))["low"], F.lit(""))
