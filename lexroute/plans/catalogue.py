@@ -302,8 +302,9 @@ def citations(spark, sf_dir):
 
 def context_pack(spark, sf_dir):
     """Rendered passages by rank under a token budget; the first is always kept, oversize ones are skipped, five at most."""
-    docs = _t(spark, sf_dir, "documents")
-    top = bm25_top10(spark, sf_dir).join(docs.select("doc_id", F.coalesce("source", F.lit("N/A")).alias("title"), F.trim("text").alias("text")), "doc_id")
+    found = sessions.cut(bm25_top10(spark, sf_dir))
+    docs = retrieval.texts_of(_t(spark, sf_dir, "documents").select("doc_id", "source", "text"), found)
+    top = found.join(docs.select("doc_id", F.coalesce("source", F.lit("N/A")).alias("title"), F.trim("text").alias("text")), "doc_id")
     # the number of a source in its block has one digit, whichever it will be
     block = F.concat(F.lit("[Source 1]\nTitle: "), "title", F.lit("\nSection: General\nPages: N/A\nScore: "), F.format_string("%.3f", "score"), F.lit("\n"), "text")
     runs = top.withColumn("k", T.token_estimate(block)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "k"))).alias("xs"))
