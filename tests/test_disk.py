@@ -50,7 +50,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["trace_rows", "metric_means", "adaptive_results", "context_pack", "rerank_top10"])
+@pytest.mark.parametrize("name", ["trace_rows", "metric_means", "adaptive_results", "context_pack", "sufficiency", "rerank_top10"])
 def test_texts_that_are_not_asked_for_are_not_shuffled(spark, folder, name):
     size = spark.read.parquet(f"{folder}/documents.parquet").agg(F.sum("n_chars")).first()[0]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
