@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Shuffle files of a finished SQL execution are deleted at its end, not when the collector of garbage meets them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[key]
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is written or cut within the block leaves no shuffle files behind."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
+    """df.checkpoint() in the shared folder; the shuffle files it took are deleted."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    with shuffles_deleted(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan of its own, made under the switch

@@ -42,6 +42,12 @@ class LexicalIndex:
     terms: DataFrame
     stats: DataFrame
 
+    def asked(self, terms: DataFrame) -> int:
+        """How many postings terms (term) ask for, by their counts; 0 if the index is not kept, where counting would make it."""
+        if "bucket" not in self.postings.columns:
+            return 0
+        return self.terms.join(terms.select("term").distinct(), "term", "left_semi").agg(F.sum("df")).first()[0] or 0
+
     def postings_of(self, terms: DataFrame) -> DataFrame:
         """The postings of the folders and pages that may hold any of terms (term). More than PUSHED terms choose folders only."""
         if "bucket" not in self.postings.columns:
@@ -148,15 +154,19 @@ class Segments:
     def _write_segment(self, postings: DataFrame, docs_of: DataFrame) -> str:
         """postings with f and docs_of (f, n_docs) as a new segment: sorted postings, terms, terms and sizes by file. Each task writes what it has read into the folders: postings are not shuffled."""
         name = f"segment-{uuid.uuid4().hex}"
+        with sessions.shuffles_deleted(self.spark):
+            self._write_tables(name, postings, docs_of)
+        return name
+
+    def _write_tables(self, name: str, postings: DataFrame, docs_of: DataFrame) -> None:
         hashed = postings.select("doc_id", "term", "tf", "dl", "f", F.xxhash64("term").alias("h"), bucket().alias("bucket"))
-        hashed.sortWithinPartitions("bucket", "h", "doc_id").write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/{name}/postings")
+        hashed.sortWithinPartitions("bucket", "h", "doc_id").write.partitionBy("bucket").options(**{"parquet.page.row.count.limit": PAGE_ROWS, "compression": "zstd"}).parquet(f"{self.path}/{name}/postings")
         by_file = self._read(name, "postings").groupBy("f", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        by_file.write.parquet(f"{self.path}/{name}/file_terms")
+        by_file.write.option("compression", "zstd").parquet(f"{self.path}/{name}/file_terms")
         by_file = self._read(name, "file_terms")
         by_file.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).write.parquet(f"{self.path}/{name}/terms")
         sizes = by_file.groupBy("f").agg(F.sum("cf").alias("n_tokens"))
         docs_of.join(sizes, "f", "left").select("f", "n_docs", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens")).write.parquet(f"{self.path}/{name}/files")
-        return name
 
     def _read(self, segment: str, table: str) -> DataFrame:
         return self._all([segment], table)

@@ -25,6 +25,8 @@ DIM = 64
 K1, B, RRF_K, DEPTH, TOP = 1.2, 0.75, 60, 20, 10
 #: Words of all queries, each query's counted apart, that are sent to every worker: a few MB.
 SENT = 1 << 17
+#: Asked postings that are dealt by document at once, about 13 bytes of disk each, and in a task; more go in several passes, as many as PASSES, since each reads all that are asked for.
+HITS, TASK_HITS, PASSES = 1 << 24, 1 << 19, 8
 #: Ids of documents that are sent to the texts at once, 8 bytes each; more go in several passes.
 ASKED = 1 << 20
 #: Words of a run that a document and a passage must share to be compared.
@@ -39,21 +41,34 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = TOP, among: DataFrame
     """(query_id, doc_id, score, rank). Statistics are those of the whole index; `among` (doc_id) applies before ranking.
 
     Only folders and pages of asked terms are read. Up to SENT words of queries travel to the postings; those that are asked for are then dealt by document
-    once, before each is multiplied by the queries that ask for it, and the sums need no further shuffle. With more, Spark joins by term.
+    once, before each is multiplied by the queries that ask for it, and the sums need no further shuffle. Many postings go in passes over documents, of which
+    each keeps its first k, so that what is shuffled lies on disk for a pass only. With more words, Spark joins by term.
     """
     terms = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     one = F.broadcast(index.stats)  # a single row
     asked = terms.join(index.terms, "term").join(one).select("query_id", "term", (idf(F.col("n_docs"), F.col("df")) * (K1 + 1) * F.col("qtf")).alias("w"))
     hits = index.postings_of(terms)
     hits = hits if among is None else hits.join(among.select("doc_id"), "doc_id", "left_semi")
-    if terms.count() <= SENT:
-        hits = hits.select("doc_id", "term", "tf", "dl").join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("doc_id")
-        asked = F.broadcast(asked)
-    hits = hits.join(one).select("doc_id", "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
-    scored = hits.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
-    if threshold is not None:
-        scored = scored.filter(F.col("score") >= threshold)
-    return top_k(scored, k, F.desc("score"), F.asc("doc_id"))
+
+    def best(hits: DataFrame, asked: DataFrame) -> DataFrame:
+        hits = hits.join(one).select("doc_id", "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
+        scored = hits.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
+        if threshold is not None:
+            scored = scored.filter(F.col("score") >= threshold)
+        return top_k(scored, k, F.desc("score"), F.asc("doc_id"))
+
+    if terms.count() > SENT:
+        return best(hits, asked)
+    n = index.asked(terms)
+    passes = max(1, min(PASSES, -(-n // HITS)))
+    tasks = -(-n // (passes * TASK_HITS))
+    by_doc = (tasks, "doc_id") if tasks > hits.sparkSession.sparkContext.defaultParallelism else ("doc_id",)  # few may be dealt anew by size
+    hits = hits.select("doc_id", "term", "tf", "dl").join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    if passes == 1:
+        return best(hits.repartition(*by_doc), F.broadcast(asked))
+    asked = F.broadcast(sessions.cut(asked))
+    each = [sessions.cut(best(hits.filter(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == p).repartition(*by_doc), asked)) for p in range(passes)]
+    return top_k(functools.reduce(DataFrame.union, each), k, F.desc("score"), F.asc("doc_id"))
 
 
 def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """What is shuffled stays far below the corpus: neither its postings, when the index is made, nor texts that are not asked for."""
 
 import sys
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
+from lexroute.functions import sessions  # noqa: E402
 from lexroute.operators import lexical_index, retrieval  # noqa: E402
 from lexroute.plans import catalogue  # noqa: E402
 
@@ -70,3 +72,53 @@ def test_texts_in_passes_are_the_same(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "ASKED", most)
         assert sorted(map(tuple, retrieval.texts_of(docs, rows).collect()), key=lambda r: (r[0] or 0, r[1])) == want
     assert retrieval.texts_of(docs, rows.limit(0)).count() == 0
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for k in range(found.size()) if (n := found.apply(k).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+
+def left_behind(spark, work):
+    """Shuffle files of work that are there half a minute later; Spark deletes in the background."""
+    before = shuffle_files(spark)
+    work()
+    for _ in range(60):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.5)
+    return left
+
+
+def test_index_and_cut_leave_no_shuffle_files(spark, tmp_path):
+    spark.range(400).selectExpr("id as doc_id", "concat('a', id % 7, ' b', id % 11, ' c', id) as text").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    made = []
+    tables = lexical_index.Segments(spark, f"{tmp_path}/index")
+    assert not left_behind(spark, lambda: made.append(tables._added(docs, lexical_index.corpus_files(docs), None, "doc_id", "text")))
+    assert not left_behind(spark, lambda: made.append(sessions.cut(docs.groupBy("doc_id").count())))
+    assert made[1].count() == 400 and tables._read(made[0][0], "terms").count() == 418
+
+
+@pytest.mark.parametrize("name", ["metric_means", "bm25_top10", "bm25_filtered", "bm25_threshold"])
+def test_postings_in_passes_give_the_same(spark, folder, monkeypatch, name):
+    run = lambda: sorted(map(tuple, catalogue.queries()[name](spark, folder).collect()))
+    want, cuts, cut = run(), [], sessions.cut
+    monkeypatch.setattr(retrieval, "HITS", 60)  # of 360
+    monkeypatch.setattr(retrieval, "TASK_HITS", 3)
+    monkeypatch.setattr(sessions, "cut", lambda df: cuts.append(cut(df)) or cuts[-1])
+    assert run() == want
+    assert len(cuts) > 6 and sum("score" in x.columns and "rank" in x.columns for x in cuts) == 6
+
+
+def test_a_pass_deals_its_share_of_postings(spark, folder, monkeypatch):
+    most = []
+    for hits in (1 << 24, 45):
+        monkeypatch.setattr(retrieval, "HITS", hits)
+        gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+        stages = lambda: (lambda s: {s.apply(k).stageId(): s.apply(k).shuffleWriteRecords() for k in range(s.size())})(sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()))
+        before = set(stages())
+        catalogue.bm25_top10(spark, folder).collect()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        most.append(max(n for k, n in stages().items() if k not in before))
+    assert most[0] == 360 and most[1] < 130  # 120 words are asked for
