@@ -100,7 +100,7 @@ def test_index_and_cut_leave_no_shuffle_files(spark, tmp_path):
     assert made[1].count() == 400 and tables._read(made[0][0], "terms").count() == 418
 
 
-@pytest.mark.parametrize("name", ["metric_means", "bm25_top10", "bm25_filtered", "bm25_threshold"])
+@pytest.mark.parametrize("name", ["metric_means", "sufficiency", "bm25_top10", "bm25_filtered", "bm25_threshold"])
 def test_postings_in_passes_give_the_same(spark, folder, monkeypatch, name):
     run = lambda: sorted(map(tuple, catalogue.queries()[name](spark, folder).collect()))
     want, cuts, cut = run(), [], sessions.cut
