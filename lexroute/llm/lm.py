@@ -5,7 +5,8 @@ count as context and token). A count n is quantised to its level, the number of
 bounds 1, 2, 3, 4, 5, 7, 9, 12, ... (each BASE times the last, or one more) that it reaches,
 and an n-gram of level q is put into the filter q times, as (n-gram, 1) to (n-gram, q). A reader
 probes 1, 2, ... until one is missing and so recovers the level; a false positive can only
-raise it. A level is read as the geometric mean of its counts; counts up to 5 are exact.
+raise it. A level is read as the geometric mean of its counts; counts up to 5 are exact. A worker remembers
+levels it has read, in PLACES of 9 bytes, as frequent n-grams take the most probes.
 
 The filter is cut into slots of SLOT_BITS; an n-gram's bits all lie in one slot,
 so slots are built apart, by the workers, and joined end to end. Its size
@@ -45,6 +46,10 @@ from lexroute.llm.textops import LOWER, blocks, byte_prefix, mix, utf8, word_spa
 BASE, DISCOUNT, BITS, PROBES, SLOT_BITS = 1.25, 0.75, 10, 4, 1 << 12
 FOLLOW = 0x2FE94F82A
 BROADCAST_BYTES, PART_BYTES, HOT, BLOCK, ASKED = 128 << 20, 4 << 20, 1e-6, 1 << 20, 1 << 22
+#: N-grams probed together, so that what is probed stays near the processor, and the levels up to which they are.
+TOGETHER, FIRST = 1 << 14, 8
+#: Places of a worker's memory of levels, 9 bytes each, and the least level that is kept there.
+PLACES, KEPT = 1 << 20, 4
 _END, _START = np.uint64(0x1B873593CC9E2D50), np.uint64(0xE6546B64A1B2C3D4)
 
 
@@ -99,9 +104,13 @@ def following(prev: np.ndarray) -> np.ndarray:
     return context_bits(prev) | np.uint64(FOLLOW)
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
 def bits_of(h: np.ndarray, lev: np.ndarray) -> np.ndarray:
     """A 64-bit number whose lowest fields name the PROBES bits of (n-gram, level) within their slot."""
-    return mix(h * np.uint64(0xD6E8FEB86659FD93) + np.asarray(lev).astype(np.uint64))
+    return mix(spread(h) + np.asarray(lev).astype(np.uint64))
 
 
 def field(bits: np.ndarray, probe: int) -> np.ndarray:
@@ -112,27 +121,79 @@ def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
     return (mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)) % np.uint64(slots)).astype(np.int64)
 
 
-def levels_in(table: np.ndarray, slots: int, h: np.ndarray, first: int = 0) -> np.ndarray:
+class Memory:
+    """Levels that a worker has read from a filter, of n-grams met often: one n-gram a place, the last one stays."""
+
+    def __init__(self):
+        self.keys, self.levels = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint8)
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(3)) ^ (h >> np.uint64(28)) ^ (h >> np.uint64(45))).view(np.int64) & (PLACES - 1)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Their levels, 0 if not known."""
+        at = self.place(h)
+        return np.where(self.keys[at] == h, self.levels[at], 0).astype(np.int64)
+
+    def keep(self, h: np.ndarray, levels: np.ndarray) -> None:
+        on = np.flatnonzero(levels >= KEPT)
+        at, h, levels = self.place(h[on]), h[on], levels[on]
+        self.keys[at] = h
+        same = self.keys[at] == h  # of several at one place, whichever was written last
+        self.levels[at[same]] = levels[same]
+
+
+_memories: list[tuple[np.ndarray, Memory]] = []
+
+
+def memory_of(table: np.ndarray) -> Memory:
+    """This worker's memory of a filter, kept for its next tasks."""
+    if not _memories or _memories[0][0] is not table:
+        _memories[:] = [(table, Memory())]
+    return _memories[0][1]
+
+
+def put(table: np.ndarray, base: np.ndarray, key: np.ndarray, q: int) -> np.ndarray:
+    """Those whose bits of level q are all set, by number; base: the first byte of their slots, key: spread()."""
+    bits, ok = mix(key + np.uint64(q)), None
+    for p in range(PROBES):
+        bit = field(bits, p)
+        one = table[base + (bit >> 3)] >> (bit & 7).astype(np.uint8)
+        ok = one if ok is None else ok & one
+    return np.flatnonzero(ok & 1)
+
+
+def levels_in(table: np.ndarray, slots: int, h: np.ndarray, first: int = 0, memory: Memory | None = None) -> np.ndarray:
     """The level of each n-gram, by probing until one is missing; 0 if the first is. The table starts at slot first.
 
-    N-grams are probed in the order of their slots, so that memory is read from end to end.
+    N-grams are probed in the order of their slots, so that memory is read from end to end. What a memory knows
+    is not probed again: frequent n-grams have the most levels, and most probes were theirs.
     """
+    if memory is not None:
+        out = memory.of(h)
+        new = np.flatnonzero(out == 0)
+        asked = h[new]
+        out[new] = found = levels_in(table, slots, asked, first)
+        memory.keep(asked, found)
+        return out
     slot = slot_of(h, slots) - first
     order = np.argsort(slot)
-    base, h = slot[order] * SLOT_BITS, h[order]
-    found, live = np.zeros(len(h), np.int64), np.arange(len(h))
-    for q in range(1, LEVELS + 1):
-        bits, on = bits_of(h, np.uint64(q)), np.arange(len(h))
-        for p in range(PROBES):
-            bit = base[on] + field(bits[on], p) if p else base + field(bits, p)
-            ok = ((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).view(bool)
-            on = on[ok]
-        live, base, h = live[on], base[on], h[on]
-        if not len(live):
-            break
-        found[live] = q
-    out = np.empty(len(found), np.int64)
-    out[order] = found
+    base, key = slot[order] * (SLOT_BITS >> 3), spread(h[order])
+    out, rest = np.zeros(len(h), np.int64), []
+
+    def probed(x, levels):
+        for q in levels:
+            on = put(table, x[1], x[2], q)
+            x = [y[on] for y in x]
+            if not len(on):
+                break
+            out[x[0]] = q
+        return x
+
+    for a in range(0, len(h), TOGETHER):
+        rest.append(probed([y[a : a + TOGETHER] for y in (order, base, key)], range(1, FIRST + 1)))
+    if rest:
+        probed([np.concatenate(y) for y in zip(*rest)], range(FIRST + 1, LEVELS + 1))
     return out
 
 
@@ -250,10 +311,11 @@ def by_broadcast(rows: DataFrame, table: np.ndarray, slots: int, shared, norm: f
     filter_ = rows.sparkSession.sparkContext.broadcast(table)  # at most BROADCAST_BYTES
 
     def run(batches):
+        memory = memory_of(filter_.value)
         for batch in batches:
             for a, b, data, off in blocks(batch.column(2), BLOCK):
                 block = Block(data, off)
-                levels = levels_in(filter_.value, slots, block.grams)
+                levels = levels_in(filter_.value, slots, block.grams, memory=memory)
                 cols = block.columns(levels, *shared.value, norm)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols, batch.column(1).slice(a, b - a)], [*COLUMNS, "doc_id"])
 
