@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 #: Shuffle files of a finished SQL execution are deleted at its end, not when the collector of garbage meets them.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SPLIT = "spark.sql.files.maxPartitionBytes"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +41,20 @@ def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEAN, before)
 
 
+@contextmanager
+def splits_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is read from files within the block goes to tasks of at most so many bytes, or fewer if the session says so: what a task sorts, and spills, is bounded."""
+    before = spark.conf.get(_SPLIT, None)
+    spark.conf.set(_SPLIT, min(most, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SPLIT)
+        else:
+            spark.conf.set(_SPLIT, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder; the shuffle files it took are deleted."""
     sc = df.sparkSession.sparkContext

@@ -27,6 +27,8 @@ from lexroute.functions.text import index_tokens
 FORMAT = "4"
 #: Folders of postings; rows of a page, the least that is read; segments from which on they are merged; terms that a search hands to the reader.
 BUCKETS, PAGE_ROWS, MOST_SEGMENTS, PUSHED = 32, 1024, 8, 512
+#: Bytes of files whose postings a task sorts at once: larger splits do not fit memory, and what is spilled lies on disk for all tasks that run.
+SPLIT = 16 << 20
 _TABLES = ("postings", "terms", "stats")
 
 
@@ -78,7 +80,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def _postings(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
     """(doc_id, term, tf, dl, more): runs of equal words in the sorted words of each row."""
-    x = docs.select(F.col(id).alias("doc_id"), F.array_sort(index_tokens(F.col(text))).alias("w"), *more).filter(F.size("w") > 0)
+    x = docs.select(F.col(id).alias("doc_id"), F.sort_array(index_tokens(F.col(text))).alias("w"), *more).filter(F.size("w") > 0)
     x = x.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))))
     ends = lambda i, k: F.coalesce(F.get("at", k + 1), F.size("w")) - i
     x = x.withColumn("dl", F.size("w").cast("long")).withColumn("x", F.explode(F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("term"), ends(i, k).cast("long").alias("tf")))))
@@ -154,7 +156,7 @@ class Segments:
     def _write_segment(self, postings: DataFrame, docs_of: DataFrame) -> str:
         """postings with f and docs_of (f, n_docs) as a new segment: sorted postings, terms, terms and sizes by file. Each task writes what it has read into the folders: postings are not shuffled."""
         name = f"segment-{uuid.uuid4().hex}"
-        with sessions.shuffles_deleted(self.spark):
+        with sessions.shuffles_deleted(self.spark), sessions.splits_of(self.spark, SPLIT):
             self._write_tables(name, postings, docs_of)
         return name
 

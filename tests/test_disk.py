@@ -122,3 +122,16 @@ def test_a_pass_deals_its_share_of_postings(spark, folder, monkeypatch):
         sc.listenerBus().waitUntilEmpty(30_000)
         most.append(max(n for k, n in stages().items() if k not in before))
     assert most[0] == 360 and most[1] < 130  # 120 words are asked for
+
+
+def test_a_task_of_the_index_sorts_a_bounded_part_of_the_corpus(spark, tmp_path, monkeypatch):
+    """One file of several row groups, in a session of large splits: postings are written by a task for each split of SPLIT at most."""
+    words = "concat_ws(' ', transform(sequence(1, 30), k -> sha2(concat(id, '/', k), 256)))"
+    docs = spark.range(2000).selectExpr("id as doc_id", f"{words} as text").coalesce(1)
+    docs.write.options(**{"parquet.block.size": 1 << 17, "compression": "none"}).parquet(f"{tmp_path}/docs")
+    docs, split = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert docs.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(lexical_index, "SPLIT", 1 << 19)
+    index = lexical_index.kept(docs)
+    assert len({Path(f).name.split("-")[1] for f in index.postings.inputFiles()}) > 3
+    assert index.postings.count() == 60_000 and spark.conf.get("spark.sql.files.maxPartitionBytes") == split
